@@ -21,13 +21,13 @@ def contained_fragments(fragments: DataFrame, bodies: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("width", width).withColumn(
         "piece", F.xxhash64(F.expr("substring(fragment, 1, width)")))
     widths = F.coalesce(wanted.agg(F.collect_set("width")).scalar(), F.array().cast("array<int>"))
-    places = F.flatten(F.transform(widths, lambda w: F.when(
+    places = F.flatten(F.transform("_widths", lambda w: F.when(
         F.length("body") >= w,
         F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.length("body") - w + 1),
             lambda i: F.struct(w.alias("width"), F.xxhash64(F.substring(F.col("body"), i, w)).alias("piece")))),
     ).otherwise(F.array().cast("array<struct<width:int,piece:bigint>>"))))
-    grams = bodies.where("body IS NOT NULL").distinct().select("body", F.explode(places).alias("g")).select(
+    grams = bodies.where("body IS NOT NULL").distinct().withColumn("_widths", widths).select("body", F.explode(places).alias("g")).select(
         "body", "g.width", "g.piece")
     return (wanted.join(grams, ["width", "piece"]).where(F.contains("body", F.col("fragment")))
             .select("fragment").distinct())

@@ -15,9 +15,10 @@ def venue_key(venue: Column) -> Column:
     return F.regexp_replace(F.lower(text_or_empty(venue)), "[^a-z0-9]", "")
 
 
-def _values(lookup: DataFrame, column: str) -> Column:
-    """The values of a lookup list as one array, evaluated once per query."""
-    return F.coalesce(lookup.agg(F.collect_set(column)).scalar(), F.array().cast("array<string>"))
+def _with_values(df: DataFrame, name: str, lookup: DataFrame, column: str) -> DataFrame:
+    """Adds the values of a lookup list as one array, evaluated once per query."""
+    return df.withColumn(name, F.coalesce(
+        lookup.agg(F.collect_set(column)).scalar(), F.array().cast("array<string>")))
 
 
 def drop_blacklisted(papers: DataFrame, blacklist: DataFrame) -> DataFrame:
@@ -30,18 +31,19 @@ def drop_blacklisted(papers: DataFrame, blacklist: DataFrame) -> DataFrame:
     own = F.transform(
         F.concat(F.array("issn_l"), F.coalesce("issn", F.array().cast("array<string>"))), F.lower)
     publisher = venue_key(F.col("publisher"))
-    flagged = (F.coalesce(F.arrays_overlap(F.filter(own, lambda i: i.isNotNull()), _values(issns, "issn")), F.lit(False))
-               | F.exists(_values(publishers, "publisher_key"), lambda p: F.contains(publisher, p)))
-    return (papers.where(~flagged).withColumn("_vk", F.nullif(venue_key(F.col("venue")), F.lit("")))
+    flagged = (F.coalesce(F.arrays_overlap(F.filter(own, lambda i: i.isNotNull()), F.col("_issns")), F.lit(False))
+               | F.exists("_publishers", lambda p: F.contains(publisher, p)))
+    df = _with_values(_with_values(papers, "_issns", issns, "issn"), "_publishers", publishers, "publisher_key")
+    return (df.where(~flagged).drop("_issns", "_publishers").withColumn("_vk", F.nullif(venue_key(F.col("venue")), F.lit("")))
             .join(names, "_vk", "left_anti").drop("_vk"))
 
 
-def is_listed_conference(venue: Column, conferences: DataFrame) -> Column:
+def is_listed_conference(venue: Column, names: Column) -> Column:
     """Substring match in either direction against abbreviations and full
     names. A venue without ASCII letters or digits matches; an empty one does not."""
     key = venue_key(venue)
     return (text_or_empty(venue) != "") & F.exists(
-        _values(conferences, "name_key"), lambda k: F.contains(key, k) | F.contains(k, key))
+        names, lambda k: F.contains(key, k) | F.contains(k, key))
 
 
 def tier_scores(papers: DataFrame, conferences: DataFrame, sources: DataFrame) -> DataFrame:
@@ -56,10 +58,10 @@ def tier_scores(papers: DataFrame, conferences: DataFrame, sources: DataFrame) -
         "rank", "citedness").where("_sk IS NOT NULL"))
     answers = first_per_key(answers, ["_sk"], ["rank"]).select("_sk", "citedness", F.lit(True).alias("_found"))
     conference = (F.coalesce(F.col("venue_type") == "conference", F.lit(False))
-                  | is_listed_conference(F.col("venue"), conferences))
+                  | is_listed_conference(F.col("venue"), F.col("_names")))
     score = F.when(F.col("_conf"), F.lit(S.CONFERENCE_TIER)).otherwise(
         S.citedness_tier(F.col("_found"), F.col("citedness")))
-    return (papers.withColumn("_conf", conference).withColumn("_sk", F.when(~F.col("_conf"), key))
+    return (_with_values(papers, "_names", conferences, "name_key").withColumn("_conf", conference).drop("_names").withColumn("_sk", F.when(~F.col("_conf"), key))
             .join(broadcast_checked(answers), "_sk", "left")
             .withColumn("tier", score).drop("_conf", "_sk", "_found", "citedness"))
 
