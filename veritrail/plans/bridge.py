@@ -12,15 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import claim_id
+from ..session import spread
 
 CURRENT_YEAR = 2026
 FAMILY_NAMES = ("Adams", "Baker", "Clark", "Davis", "Evans", "Foster", "Green", "Hughes", "Irwin", "Jones")
 GIVEN_NAMES = ("Ann", "Bo Lee", "Carl", "Dana-Eve")
+# Tables whose rows cost enough work to be spread when the scan is small.
+_TEXT_TABLES = ("documents", "pages", "conversations")
 SOURCES = ("crossref", "openalex", "semantic_scholar")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _TEXT_TABLES else df
 
 
 def headline(text: Column) -> Column:

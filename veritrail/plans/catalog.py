@@ -105,7 +105,8 @@ def bibtex_keys(spark, sf):
 def claim_extraction(spark, sf):
     return doc_claims(spark, sf).select(
         "doc_id", F.col("claim_no").cast("bigint").alias("claim_no"), "claim_id", "original_text", "paragraph_id", "sentence_id",
-        "char_start", "char_end", "split_from_compound")
+        F.coalesce("char_start", F.lit(-1)).alias("char_start"), F.coalesce("char_end", F.lit(-1)).alias("char_end"),
+        "split_from_compound")
 
 
 @query
@@ -305,8 +306,8 @@ def page_titles(spark, sf):
 @query
 def dedup_doi_merge(spark, sf):
     merged = dedup.merge_by_doi(B.papers(spark, sf))
-    return merged.select("doi_key", F.col("n").cast("bigint").alias("n"), "title", joined("authors").alias("authors"), "year", "venue",
-                         "citation_count", "source", joined("source_apis").alias("source_apis"), "is_oa",
+    return merged.select("doi_key", F.col("n").cast("bigint").alias("n"), "title", joined("authors").alias("authors"),
+                         F.coalesce("year", F.lit(-1)).alias("year"), "venue", "citation_count", "source", joined("source_apis").alias("source_apis"), "is_oa",
                          F.length("abstract").alias("abstract_chars"), "publisher", "volume", "pages")
 
 
@@ -335,8 +336,10 @@ def verified(spark, sf):
 def verification(spark, sf):
     d = F.col("verification_details")
     return verified(spark, sf).select(
-        "doc_id", "verification_status", d["year_match"].alias("year_match"), d["doi_status"].alias("doi_status"),
-        F.size(d["conflict_reasons"]).alias("reasons"), F.array_join(d["matched_sources"], "+").alias("matched"),
+        "doc_id", "verification_status", F.coalesce(d["year_match"].cast("string"), F.lit("")).alias("year_match"),
+        F.coalesce(d["doi_status"], F.lit("")).alias("doi_status"),
+        F.coalesce(F.size(d["conflict_reasons"]), F.lit(0)).alias("reasons"),
+        F.coalesce(F.array_join(d["matched_sources"], "+"), F.lit("")).alias("matched"),
         joined("authors").alias("authors"))
 
 
@@ -418,8 +421,13 @@ def support_top1(spark, sf):
     keywords, coverage, gates, greedy choice."""
     selected, _ = rank.rank_all(scored_pairs(spark, sf, GATE_COVERAGE), YEAR)
     best = selected.where("pick = 1").select("claim_id", "doc_id", "support_score", "support_level", "composite_score")
-    return (B.claims(spark, sf).select("claim_id").join(best, "claim_id", "left")
-            .withColumn("selection_status", F.when(F.col("doc_id").isNotNull(), F.lit("SELECTED")).otherwise(F.lit("NO_SUPPORT"))))
+    none = F.col("doc_id").isNull()
+    return B.claims(spark, sf).select("claim_id").join(best, "claim_id", "left").select(
+        "claim_id", F.coalesce("doc_id", F.lit(-1)).cast("bigint").alias("doc_id"),
+        F.coalesce("support_score", F.lit(-1.0)).alias("support_score"),
+        F.coalesce("support_level", F.lit("")).alias("support_level"),
+        F.coalesce("composite_score", F.lit(-1.0)).alias("composite_score"),
+        F.when(none, F.lit("NO_SUPPORT")).otherwise(F.lit("SELECTED")).alias("selection_status"))
 
 
 @query

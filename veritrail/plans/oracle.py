@@ -264,7 +264,7 @@ _SCORE = (f"CASE WHEN ev = '' THEN {pyround('t * 0.5::DOUBLE', 2)} WHEN contra T
 _LEVEL = f"CASE WHEN ev = '' THEN 'INSUFFICIENT_EVIDENCE' WHEN contra THEN 'CONTRADICTORY' ELSE {level('r1')} END"
 
 PAIRS = KEYWORDED + "," + keyword_ctes("ck", "benchmark", "item_id", "text", 50) + f""",
-ov AS (SELECT 'C' || lpad(item_id::VARCHAR, greatest(3, length(item_id::VARCHAR)), '0') AS claim_id, b.text AS claim, kp.doc_id, ev, year, n_chars, title, quality,
+ov AS (SELECT 'C' || lpad(item_id::VARCHAR, greatest(3, length(item_id::VARCHAR))::INT, '0') AS claim_id, b.text AS claim, kp.doc_id, ev, year, n_chars, title, quality,
     {coverage('ck.kw', 'evk')} AS a, {coverage('ck.kw', 'tik')} AS t, ({_contra('b.text', 'ev')}) AS contra, ck.kw AS ckw
   FROM benchmark b JOIN ck ON ck.k = item_id, kp LEFT JOIN labels ON labels.doc_id = kp.doc_id
   WHERE len(list_intersect(ck.kw, evk)) >= {GATE_COVERAGE!r} * len(ck.kw) - 1e-9),""" + SCORE_STEPS + f""",
@@ -309,9 +309,9 @@ ORACLE: dict[str, str] = {
     "paper_ids": f"WITH {PAPERS} SELECT doc_id, {PAPER_ID} AS paper_id FROM p",
     "bibtex_keys": rf"""WITH {PAPERS}, w AS (SELECT doc_id, list_filter(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{{4,}}')
         AND NOT list_contains({_list(STOPWORDS)}, lower(x)))[1] AS kw FROM p)
-      SELECT doc_id, coalesce({last_name('authors[1]')}, 'unknown') || '_' || coalesce(year::VARCHAR, 'xxxx') || '_' || lower(coalesce(kw, 'paper')) AS bibtex_key FROM p JOIN w USING (doc_id)""",
-    "claim_extraction": f"""WITH {CLAIMS} SELECT doc_id, claim_no, 'C' || lpad(claim_no::VARCHAR, greatest(3, length(claim_no::VARCHAR)), '0') AS claim_id, original_text,
-      pid::INT AS paragraph_id, part::INT AS sentence_id, CASE WHEN NOT cut THEN (start_ + off)::INT END AS char_start, CASE WHEN NOT cut THEN (fin + off)::INT END AS char_end,
+      SELECT doc_id, coalesce(nullif({last_name('authors[1]')}, ''), 'unknown') || '_' || coalesce(year::VARCHAR, 'xxxx') || '_' || lower(coalesce(kw, 'paper')) AS bibtex_key FROM p JOIN w USING (doc_id)""",
+    "claim_extraction": f"""WITH {CLAIMS} SELECT doc_id, claim_no, 'C' || lpad(claim_no::VARCHAR, greatest(3, length(claim_no::VARCHAR))::INT, '0') AS claim_id, original_text,
+      pid::INT AS paragraph_id, part::INT AS sentence_id, CASE WHEN NOT cut THEN (start_ + off)::INT ELSE -1 END AS char_start, CASE WHEN NOT cut THEN (fin + off)::INT ELSE -1 END AS char_end,
       cut AS split_from_compound FROM cl""",
     "claim_classes": f"WITH {CLAIMS} SELECT doc_id, claim_no, {_case_type('original_text')} AS claim_type, {_case_need('original_text')} AS citation_need FROM cl",
     "claim_class_counts": f"WITH {CLAIMS} SELECT {_case_type('original_text')} AS claim_type, {_case_need('original_text')} AS citation_need, count(*) AS n FROM cl GROUP BY 1, 2",
@@ -348,15 +348,15 @@ ORACLE: dict[str, str] = {
     "dedup_doi_merge": f"""WITH {PAPERS}, r AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY doc_id % 3, doc_id) AS rn,
         len(list_filter(authors, lambda a: contains(a, ','))) * 1000 + len(authors) * 10 + length(array_to_string(authors, '')) AS aq FROM p WHERE doi IS NOT NULL),
       s AS (SELECT doi, string_agg(src, '|' ORDER BY rn) AS apis FROM (SELECT doi, src, min(rn) AS rn FROM r GROUP BY doi, src) GROUP BY doi)
-      SELECT doi AS doi_key, count(*) AS n, arg_min(title, rn) AS title, array_to_string(arg_min(authors, aq * -1000000 + rn), '|') AS authors, arg_min(year, rn) FILTER (year IS NOT NULL) AS year,
+      SELECT doi AS doi_key, count(*) AS n, arg_min(title, rn) AS title, array_to_string(arg_min(authors, aq * -1000000 + rn), '|') AS authors, coalesce(arg_min(year, rn) FILTER (year IS NOT NULL), -1)::INT AS year,
         arg_min(venue, rn) AS venue, max(n_chars) AS citation_count, replace(any_value(apis), '|', '+') AS source, any_value(apis) AS source_apis, bool_or(doc_id % 7 = 0) AS is_oa,
         arg_min(length(abstract), rn)::INT AS abstract_chars, CASE WHEN bool_or(doc_id % 17 <> 0) THEN 'Open Press' ELSE 'MDPI AG' END AS publisher, NULL::VARCHAR AS volume, '1-' || max(n_chars) AS pages
       FROM r JOIN s USING (doi) GROUP BY doi""",
     "dedup_copies": f"WITH {PAPERS} SELECT sha256({norm('abstract')} || lang) AS doi_key, count(*) AS n, min(doc_id) AS ord FROM p GROUP BY 1",
-    "verification": rf"""WITH {VERIFIED} SELECT doc_id, status AS verification_status, CASE WHEN doi IS NOT NULL AND rid IS NOT NULL THEN year_ok END AS year_match,
-      CASE WHEN doi IS NOT NULL AND rid IS NULL THEN 'NOT_FOUND' END AS doi_status,
-      CASE WHEN status = 'CONFLICT' THEN (NOT title_ok)::INT + (NOT year_ok)::INT END AS reasons,
-      CASE WHEN doi IS NULL THEN concat_ws('+', CASE WHEN in_s2 THEN 'semantic_scholar' END, CASE WHEN in_oa THEN 'openalex' END) END AS matched,
+    "verification": rf"""WITH {VERIFIED} SELECT doc_id, status AS verification_status, CASE WHEN doi IS NOT NULL AND rid IS NOT NULL THEN year_ok::VARCHAR ELSE '' END AS year_match,
+      CASE WHEN doi IS NOT NULL AND rid IS NULL THEN 'NOT_FOUND' ELSE '' END AS doi_status,
+      CASE WHEN status = 'CONFLICT' THEN (NOT title_ok)::INT + (NOT year_ok)::INT ELSE 0 END AS reasons,
+      CASE WHEN doi IS NULL THEN concat_ws('+', CASE WHEN in_s2 THEN 'semantic_scholar' END, CASE WHEN in_oa THEN 'openalex' END) ELSE '' END AS matched,
       array_to_string(CASE WHEN status = 'VERIFIED' AND len(real_authors) > 0 THEN list_transform(authors, lambda a: CASE WHEN contains(a, ',') THEN a ELSE
         regexp_extract(a, '(\S+)$', 1) || ', ' || regexp_replace(a, ' \S+$', '') END) ELSE authors END, '|') AS authors FROM v""",
     "verdict_counts": f"WITH {VERIFIED} SELECT count(*) FILTER (status = 'VERIFIED') AS VERIFIED, count(*) FILTER (status = 'LIKELY_REAL') AS LIKELY_REAL, "
@@ -374,6 +374,17 @@ ORACLE: dict[str, str] = {
     + f", ov AS (SELECT kp.doc_id, ev, {coverage('ck.kw', 'evk')} AS a, {coverage('ck.kw', 'tik')} AS t, {_contra('claim', 'ev')} AS contra FROM kp JOIN c0 USING (doc_id) LEFT JOIN ck ON ck.k = kp.doc_id),"
     + SCORE_STEPS + f" SELECT doc_id, {_SCORE} AS support_score, {_LEVEL} AS support_level, 'heuristic' AS scoring_method FROM low",
     "gate_reasons": f"WITH {PAIRS} SELECT claim_id, doc_id, score AS support_score, reason AS reject_reason FROM gt WHERE score >= 0.6 OR lvl = 'CONTRADICTORY'",
+    "support_top1": f"""WITH {PAIRS}, g AS (SELECT *, {authority('n_chars')} AS auth, {recency('year')} AS rec, {originality('year')} AS orig FROM gt WHERE reason = ''),
+      h AS (SELECT *, {pyround('auth * 0.7::DOUBLE + 0.4::DOUBLE * 0.3::DOUBLE', 4)} AS mauth FROM g),
+      c AS (SELECT *, {pyround("""CASE kind WHEN 'DEFINITION' THEN score * 0.5::DOUBLE + 0.4::DOUBLE * 0.0::DOUBLE + rec * 0.0::DOUBLE + orig * 0.3::DOUBLE + auth * 0.2::DOUBLE + mauth * 0.0::DOUBLE + 1.0::DOUBLE * 0.0::DOUBLE
+        WHEN 'METHOD' THEN score * 0.4::DOUBLE + 0.4::DOUBLE * 0.0::DOUBLE + rec * 0.05::DOUBLE + orig * 0.0::DOUBLE + auth * 0.0::DOUBLE + mauth * 0.35::DOUBLE + 1.0::DOUBLE * 0.0::DOUBLE
+        WHEN 'THEORETICAL' THEN score * 0.4::DOUBLE + 0.4::DOUBLE * 0.0::DOUBLE + rec * 0.05::DOUBLE + orig * 0.35::DOUBLE + auth * 0.2::DOUBLE + mauth * 0.0::DOUBLE + 1.0::DOUBLE * 0.0::DOUBLE
+        WHEN 'HISTORICAL' THEN score * 0.4::DOUBLE + 0.4::DOUBLE * 0.0::DOUBLE + rec * 0.05::DOUBLE + orig * 0.35::DOUBLE + auth * 0.2::DOUBLE + mauth * 0.0::DOUBLE + 1.0::DOUBLE * 0.0::DOUBLE
+        ELSE score * 0.4::DOUBLE + 0.4::DOUBLE * 0.25::DOUBLE + rec * 0.25::DOUBLE + orig * 0.0::DOUBLE + auth * 0.0::DOUBLE + mauth * 0.0::DOUBLE + 1.0::DOUBLE * 0.1::DOUBLE END""", 4)} AS comp FROM h),
+      r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY comp DESC, doc_id) AS n FROM c)
+      SELECT 'C' || lpad(item_id::VARCHAR, greatest(3, length(item_id::VARCHAR))::INT, '0') AS claim_id, coalesce(r.doc_id, -1) AS doc_id, coalesce(r.score, -1.0)::DOUBLE AS support_score, coalesce(r.lvl, '') AS support_level,
+        coalesce(r.comp, -1.0)::DOUBLE AS composite_score, CASE WHEN r.doc_id IS NULL THEN 'NO_SUPPORT' ELSE 'SELECTED' END AS selection_status
+      FROM benchmark LEFT JOIN r ON r.claim_id = 'C' || lpad(item_id::VARCHAR, greatest(3, length(item_id::VARCHAR))::INT, '0') AND r.n = 1""",
     "greedy_selection": f"WITH {GREEDY} SELECT claim_id, doc_id, pick::INT AS pick, composite_score FROM sel",
     "topk_first_pick": f"WITH {GREEDY} SELECT claim_id, doc_id, composite_score FROM sel WHERE pick = 1",
     "rejected_pairs": f"WITH {GREEDY} SELECT t1.claim_id, coalesce(reason, 'outranked') AS reject_reason, count(*) AS n FROM t1 LEFT JOIN sel USING (claim_id, doc_id) WHERE pick IS NULL GROUP BY 1, 2",
@@ -385,7 +396,7 @@ ORACLE: dict[str, str] = {
     "CASE WHEN year IS NULL THEN '*' || venue || '*.' ELSE '*' || venue || '* (' || year || ').' END) AS entry FROM n",
     "vancouver_entries": f"WITH {STYLED} SELECT doc_id, concat_ws(' ', (doc_id + 1) || '.', nullif(array_to_string({_VANC}, ', '), '') || '.', title || '.', venue || '.', year || '.') AS entry FROM q",
     "gbt_entries": f"WITH {STYLED} SELECT doc_id, '[' || (doc_id + 1) || '] ' || concat_ws(' ', nullif(array_to_string({_VANC}, ', '), '') || '.', title || '[J].', venue || ',', year || '.', 'DOI: ' || doi || '.') AS entry FROM q",
-    "bibtex_entries": rf"""WITH {STYLED}, w AS (SELECT *, coalesce({last_name('authors[1]')}, 'unknown') || '_' || coalesce(year::VARCHAR, 'xxxx') || '_' || lower(coalesce(list_filter(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+'),
+    "bibtex_entries": rf"""WITH {STYLED}, w AS (SELECT *, coalesce(nullif({last_name('authors[1]')}, ''), 'unknown') || '_' || coalesce(year::VARCHAR, 'xxxx') || '_' || lower(coalesce(list_filter(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+'),
         lambda x: regexp_full_match(x, '[A-Za-z]{{4,}}') AND NOT list_contains({_list(STOPWORDS)}, lower(x)))[1], 'paper')) AS base FROM q
         WHERE doi IS NULL OR doi NOT IN (SELECT doi FROM p WHERE doc_id % 6 = 0 AND doi IS NOT NULL)),
       n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS nth FROM w),

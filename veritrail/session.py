@@ -41,6 +41,14 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has slots, so
+    that per-row work uses all of them. Large inputs already have more
+    partitions than that and are returned as they are, without a shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names. Only when no
     folder is set (local tests) is one chosen here."""
