@@ -170,7 +170,17 @@ TYPE_QUERY_SUFFIX = {
 def any_pattern(patterns) -> str:
     """One alternation for a pattern group, so a row is scanned once. Unicode
     classes, and a dot that stops at line feeds only."""
-    return "(?dU)" + "|".join(f"(?{flag}:{body})" if flag else f"(?:{body})" for flag, body in patterns)
+    return "(?dU)" + "|".join(f"(?:{body})" for _, body in patterns)
+
+
+def matches_any(text: Column, patterns) -> Column:
+    """Whether a pattern of the group occurs. Patterns that ignore case run in
+    lower case on the lower-case text, which is much cheaper than ignoring case
+    at every position (the patterns hold no upper-case escapes)."""
+    folded = [(flag, body.lower()) for flag, body in patterns if flag]
+    exact = [(flag, body) for flag, body in patterns if not flag]
+    hit = F.lower(text).rlike(any_pattern(folded))
+    return hit | text.rlike(any_pattern(exact)) if exact else hit
 
 
 def split_compound(sentence: Column) -> Column:
@@ -178,12 +188,13 @@ def split_compound(sentence: Column) -> Column:
     six words on both sides and no enumeration on its left."""
 
     def halves(word: str) -> Column:
-        parts = F.split(sentence, rf"(?U){SPACE}+{word}{SPACE}+", 2)
-        return F.transform(parts, strip)
+        pattern = rf"(?sU)^(.*?){SPACE}+{word}{SPACE}+(.*)\z"
+        return F.when(F.contains(sentence, F.lit(word)), F.array(
+            strip(F.regexp_extract(sentence, pattern, 1)), strip(F.regexp_extract(sentence, pattern, 2))))
 
     def usable(h: Column) -> Column:
         left, right = F.get(h, 0), F.get(h, 1)
-        return ((F.size(h) == 2) & (word_count(left) >= 6) & (word_count(right) >= 6)
+        return (h.isNotNull() & (word_count(left) >= 6) & (word_count(right) >= 6)
                 & ~F.contains(F.lower(left), F.lit(" and ")) & ~F.contains(left, F.lit(", and ")))
 
     tries = F.array(*[halves(w) for w in CONJUNCTIONS])
@@ -201,16 +212,16 @@ def is_noise(text: Column) -> Column:
 def claim_type(text: Column) -> Column:
     t = text_or_empty(text)
     cases = reduce(
-        lambda acc, group: acc.when(t.rlike(any_pattern(group[1])), F.lit(group[0])),
+        lambda acc, group: acc.when(matches_any(t, group[1]), F.lit(group[0])),
         TYPE_PATTERNS[1:],
-        F.when(t.rlike(any_pattern(TYPE_PATTERNS[0][1])), F.lit(TYPE_PATTERNS[0][0])))
+        F.when(matches_any(t, TYPE_PATTERNS[0][1]), F.lit(TYPE_PATTERNS[0][0])))
     return cases.otherwise(F.lit(DEFAULT_TYPE))
 
 
 def citation_need(text: Column) -> Column:
     t = strip(text_or_empty(text))
-    return (F.when(t.rlike(any_pattern(NOT_NEEDED_PATTERNS)), F.lit("NOT_NEEDED"))
-            .when(t.rlike(any_pattern(REQUIRED_PATTERNS)), F.lit("REQUIRED"))
+    return (F.when(matches_any(t, NOT_NEEDED_PATTERNS), F.lit("NOT_NEEDED"))
+            .when(matches_any(t, REQUIRED_PATTERNS), F.lit("REQUIRED"))
             .otherwise(F.lit("RECOMMENDED")))
 
 
@@ -261,23 +272,24 @@ def concepts_and_synonyms(original: Column, normalized: Column) -> Column:
 
 
 def truncate_query(query: Column) -> Column:
-    tokens = words(query)
-    return F.when(F.size(tokens) <= MAX_QUERY_WORDS, query).otherwise(
-        F.array_join(F.slice(tokens, 1, MAX_QUERY_WORDS), " "))
+    return bind(query, lambda q: bind(words(q), lambda tokens: F.when(
+        F.size(tokens) <= MAX_QUERY_WORDS, q).otherwise(
+        F.array_join(F.slice(tokens, 1, MAX_QUERY_WORDS), " "))))
 
 
 def synonym_swap(norm: Column, concepts: Column, synonyms: Column) -> Column:
     """The claim with one concept replaced by a synonym of two or more words
     that the claim does not contain yet; null when no concept can be swapped."""
     low = F.lower(norm)
+    new = F.filter(synonyms, lambda a: (word_count(a) >= 2) & ~F.contains(low, F.lower(a)))
 
-    def alternative(concept: Column) -> Column:
-        fits = F.filter(synonyms, lambda a: (F.lower(a) != F.lower(concept)) & (word_count(a) >= 2)
-                        & ~F.contains(low, F.lower(a)))
+    def alternative(concept: Column, alts: Column) -> Column:
+        fits = F.filter(alts, lambda a: F.lower(a) != F.lower(concept))
         return F.struct(concept.alias("concept"), F.get(fits, 0).alias("alt"))
 
     present = F.filter(concepts, lambda c: (c != "") & F.contains(low, F.lower(c)))
-    pick = F.get(F.filter(F.transform(present, alternative), lambda s: s["alt"].isNotNull()), 0)
+    pick = bind(new, lambda alts: F.get(F.filter(F.transform(
+        present, lambda c: alternative(c, alts)), lambda s: s["alt"].isNotNull()), 0))
 
     def swap(p: Column) -> Column:
         pattern = F.concat(F.lit(r"(?isU)^(.*?)\b\Q"), p["concept"], F.lit(r"\E\b"))
@@ -295,6 +307,11 @@ def search_queries(norm: Column, concepts: Column, synonyms: Column, population:
     def query(kind: str, text: Column, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("type"), truncate_query(text).alias("query")))
 
+    return bind(norm, lambda n: _offered(n, concepts, synonyms, population, context, ctype, query))
+
+
+def _offered(norm: Column, concepts: Column, synonyms: Column, population: Column, context: Column,
+             ctype: Column, query) -> Column:
     has_concepts = F.size(concepts) > 0
     broad = F.array_join(F.slice(concepts, 1, 6), " ")
     hints = F.filter(F.array(text_or_empty(population), text_or_empty(context)), lambda w: w != "")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -44,6 +44,11 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def text_or_null(col: Column) -> Column:
+    """Empty text as null; the value is computed once."""
+    return bind(col, lambda v: F.when(v != "", v))
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
@@ -53,8 +58,9 @@ def rstrip(col: Column, chars: str) -> Column:
 
 
 def words(col: Column) -> Column:
-    """Whitespace tokens without empty ones."""
-    return F.filter(F.split(col, f"(?U){SPACE}+"), lambda t: t != "")
+    """Whitespace tokens. Extraction keeps its compiled pattern from row to
+    row, which `split` does not."""
+    return F.regexp_extract_all(col, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
 
 
 def word_count(col: Column) -> Column:
@@ -155,6 +161,15 @@ def sentence_spans(text: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
+def unnest(df: DataFrame, array: Column | str, *keep: Column | str, value: str,
+           position: str | None = None) -> DataFrame:
+    """A row per array element. Written as an outer explode with a filter behind
+    it: the plain one makes the optimizer test the array's size at the scan,
+    which computes an expensive array a second time."""
+    rows = F.posexplode_outer(array).alias(position, value) if position else F.explode_outer(array).alias(value)
+    return df.select(*keep, rows).where(F.col(value).isNotNull())
+
+
 # --- names -----------------------------------------------------------------
 
 def author_name(author: Column) -> Column:
@@ -195,7 +210,7 @@ def family_given(name: Column) -> Column:
 
 
 def initials(given: Column) -> Column:
-    parts = F.filter(F.split(strip(given), r"(?U)[\s\x1c-\x1f\-]+"), lambda p: p != "")
+    parts = F.regexp_extract_all(given, F.lit(r"(?U)[^\s\x1c-\x1f\-]+"), F.lit(0))
     return F.array_join(
         F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit("."))), " ")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.ids import normalize_doi, paper_id_of
-from ..functions.text import coverage, first_author, keywords, strip, text_or_empty
+from ..functions.text import coverage, first_author, keywords, strip, text_or_empty, unnest
 from .contain import contained_fragments
 from .keys import first_per_key, last_per_key
 from .logs import latest_verdicts
@@ -60,7 +60,7 @@ def verdict_findings(final: DataFrame, log: DataFrame, allow_likely_real: bool =
 def orphan_doi_findings(final: DataFrame, references: DataFrame, text: str = "text") -> DataFrame:
     """DOIs in the reference texts that no final paper has."""
     links = F.regexp_extract_all(F.col(text), F.lit(DOI_LINK), F.lit(1))
-    listed = (references.select(F.explode(links).alias("d")).select(normalize_doi(F.col("d")).alias("doi"))
+    listed = (unnest(references, links, value="d").select(normalize_doi(F.col("d")).alias("doi"))
               .where("doi IS NOT NULL").distinct())
     known = final.select(normalize_doi(F.col("doi")).alias("doi")).where("doi IS NOT NULL").distinct()
     return listed.join(known, "doi", "left_anti").select(*_finding(
@@ -76,7 +76,7 @@ def document_markers(documents: DataFrame, text: str = "text", key: str | None =
         F.transform(F.regexp_extract_all(F.col(text), F.lit(NUMERIC_MARKER), F.lit(0)),
                     lambda m: F.struct(F.lit("numeric").alias("kind"), m.alias("marker"))))
     keep = [key] if key else []
-    return (documents.select(*keep, F.posexplode(found).alias("marker_no", "m"))
+    return (unnest(documents, found, *keep, value="m", position="marker_no")
             .select(*keep, "marker_no", "m.kind", "m.marker"))
 
 
@@ -91,8 +91,8 @@ def mapped_markers(markers: DataFrame, final: DataFrame) -> DataFrame:
     names = (final.select(first.alias("name"), year.alias("year")).where("name <> ''").distinct()
              .withColumn("word", F.lower(F.regexp_extract("name", _WORD, 0))).where("word <> ''"))
     texts = markers.select("marker").distinct()
-    words = texts.select("marker", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("marker"), F.lit(_WORD), F.lit(0)))).alias("word"))
+    words = unnest(texts, F.array_distinct(F.regexp_extract_all(F.lower("marker"), F.lit(_WORD), F.lit(0))),
+                   "marker", value="word")
     pattern = F.concat(F.lit(r"(?iU)\b\Q"), "name", F.lit(r"\E\b"))
     return (words.join(names, "word")
             .where(F.contains("marker", F.col("year")) & F.regexp_like("marker", pattern))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import unnest
+
 # Lengths of the leading pieces that serve as join keys.
 _WIDE, _NARROW = 24, 8
 
@@ -21,13 +23,13 @@ def contained_fragments(fragments: DataFrame, bodies: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("width", width).withColumn(
         "piece", F.xxhash64(F.expr("substring(fragment, 1, width)")))
     widths = F.coalesce(wanted.agg(F.collect_set("width")).scalar(), F.array().cast("array<int>"))
-    places = F.flatten(F.transform("_widths", lambda w: F.when(
-        F.length("body") >= w,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("body") - w + 1),
-            lambda i: F.struct(w.alias("width"), F.xxhash64(F.substring(F.col("body"), i, w)).alias("piece")))),
-    ).otherwise(F.array().cast("array<struct<width:int,piece:bigint>>"))))
-    grams = bodies.where("body IS NOT NULL").distinct().withColumn("_widths", widths).select("body", F.explode(places).alias("g")).select(
-        "body", "g.width", "g.piece")
-    return (wanted.join(grams, ["width", "piece"]).where(F.contains("body", F.col("fragment")))
+    texts = bodies.where("body IS NOT NULL").distinct().withColumn("bid", F.xxhash64("body"))
+    grams = (texts.withColumn("_widths", widths).select("bid", "body", F.explode("_widths").alias("width"))
+             .where(F.length("body") >= F.col("width")))
+    grams = unnest(grams, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("body") - F.col("width") + 1),
+        lambda i: F.xxhash64(F.substring(F.col("body"), i, F.col("width"))))), "bid", "width", value="piece")
+    # Only hashes meet; the texts are fetched for the few candidates.
+    candidates = wanted.join(grams, ["width", "piece"]).select("fragment", "bid").distinct()
+    return (candidates.join(texts, "bid").where(F.contains("body", F.col("fragment")))
             .select("fragment").distinct())

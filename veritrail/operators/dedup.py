@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import normalize_doi, paper_id_of
-from ..functions.text import indel_ratio, match_last_name, normalize_title, normalized_similarity
+from ..functions.text import indel_ratio, match_last_name, normalize_title, normalized_similarity, unnest
 from ..session import broadcast_checked, cut_lineage
 from ..sources.mappers import OTHER_PRIORITY, SOURCE_PRIORITY, source_priority
 from .components import connected_components
@@ -84,7 +84,7 @@ def _piece_rows(nodes: DataFrame) -> DataFrame:
     starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * width)
     blocks = F.when(F.col("last") == "", F.array(F.lit(_UNKNOWN), F.lit(_ANY))).otherwise(
         F.array(F.col("last"), F.lit(_ANY)))
-    return (nodes.select("*", F.explode(starts).alias("at"), width.alias("width"), blocks.alias("blocks"))
+    return (unnest(nodes, starts, "*", width.alias("width"), blocks.alias("blocks"), value="at")
             .withColumn("piece", F.substring("title", F.col("at") + 1, F.col("width")))
             .withColumn("block", F.explode("blocks")).drop("blocks", "width", "title", "last"))
 
@@ -100,7 +100,7 @@ def _probe_rows(nodes: DataFrame) -> DataFrame:
     ).otherwise(F.array().cast("array<struct<at:int,w:int>>"))))
     blocks = F.when(F.col("last") == "", F.array(F.lit(_ANY))).otherwise(
         F.array(F.col("last"), F.lit(_UNKNOWN)))
-    return (nodes.select("*", F.explode(spots).alias("s"), blocks.alias("blocks"))
+    return (unnest(nodes, spots, "*", blocks.alias("blocks"), value="s")
             .select("*", F.col("s.at").alias("at"), F.substring("title", F.col("s.at") + 1, F.col("s.w")).alias("piece"))
             .withColumn("block", F.explode("blocks")).drop("blocks", "s", "title", "last"))
 

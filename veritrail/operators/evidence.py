@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import normalize_doi, paper_id_of
-from ..functions.text import SPACE, strip, text_or_empty
+from ..functions.text import SPACE, strip, text_or_empty, text_or_null
 from ..sources.mappers import inverted_abstract
-from .keys import first_per_key
 from .logs import utc_stamp
 
 # Fixed value: characters of evidence that are kept.
@@ -41,14 +40,15 @@ def fetch_evidence(papers: DataFrame, openalex: DataFrame, semantic_scholar: Dat
             .withColumn("evidence_source", F.lit("search_result")).withColumn("evidence_text", cut(own)))
 
     oa = openalex.select(normalize_doi(F.col("doi")).alias("_doi"),
-                         F.nullif(inverted_abstract(F.col("abstract_inverted_index")), F.lit("")).alias("_oa"))
+                         text_or_null(inverted_abstract(F.col("abstract_inverted_index"))).alias("_oa"))
     s2 = semantic_scholar.select(normalize_doi(F.col("doi")).alias("_doi"),
-                                 F.nullif(strip(text_or_empty(F.col("abstract"))), F.lit("")).alias("_s2"))
+                                 text_or_null(strip(text_or_empty(F.col("abstract")))).alias("_s2"))
     ax = arxiv.select(F.col("arxiv_id").alias("_ax"),
-                      F.nullif(arxiv_summary(F.col("response")), F.lit("")).alias("_sum"))
-    oa = first_per_key(oa.where("_doi IS NOT NULL AND _oa IS NOT NULL"), ["_doi"], ["_oa"])
-    s2 = first_per_key(s2.where("_doi IS NOT NULL AND _s2 IS NOT NULL"), ["_doi"], ["_s2"])
-    ax = first_per_key(ax.where("_ax IS NOT NULL AND _sum IS NOT NULL"), ["_ax"], ["_sum"])
+                      text_or_null(arxiv_summary(F.col("response"))).alias("_sum"))
+    # Least non-null text per key; a filter on the text would compute it twice.
+    oa = oa.where("_doi IS NOT NULL").groupBy("_doi").agg(F.min("_oa").alias("_oa"))
+    s2 = s2.where("_doi IS NOT NULL").groupBy("_doi").agg(F.min("_s2").alias("_s2"))
+    ax = ax.where("_ax IS NOT NULL").groupBy("_ax").agg(F.min("_sum").alias("_sum"))
     # Rows without a key would all meet in one task; a row hash keeps them apart.
     spread = lambda key: F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64("title", "url").cast("string")))
     looked_up = (papers.where(own == "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as C
 from ..functions.ids import claim_id
-from ..functions.text import bind, sentence_spans, strip, text_or_empty
+from ..functions.text import bind, sentence_spans, strip, text_or_empty, unnest
 
 
 
@@ -52,9 +52,8 @@ def extract_claims(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = F.flatten(F.transform(
         _paragraphs(F.col(text)), lambda p: _paragraph_claims(p, compound, noise_filter)))
     empty = F.array().cast("array<string>")
-    return (docs
-            .select(F.col(doc_id), (source_format if source_format is not None else F.lit("text")).alias("source_format"),
-                    F.posexplode(found).alias("pos", "c"))
+    form = (source_format if source_format is not None else F.lit("text")).alias("source_format")
+    return (unnest(docs, found, doc_id, form, value="c", position="pos")
             .select(
                 doc_id, (F.col("pos") + 1).alias("claim_no"), claim_id(F.col("pos") + 1).alias("claim_id"),
                 F.col("c.original_text"), F.lit("").alias("normalized_claim"), F.lit("").alias("claim_type"),
@@ -114,9 +113,8 @@ def planned_searches(claims: DataFrame, limit: int, key: str = "claim_id") -> Da
         F.lit("precise").alias("type"),
         F.coalesce(F.nullif("normalized_claim", F.lit("")), F.col("original_text"), F.lit("")).alias("query")))
     queries = F.when(F.coalesce(F.size("queries"), F.lit(0)) == 0, fallback).otherwise(F.col("queries"))
-    return (claims.where(F.coalesce(F.col("citation_need"), F.lit("")) != "NOT_NEEDED")
-            .select(key, queries.alias("q"))
-            .select(key, F.greatest(F.lit(1), F.floor(F.lit(limit) / F.size("q"))).cast("int").alias("budget"),
-                    F.posexplode(F.slice("q", 1, 4)).alias("query_no", "item"))
+    budget = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.size("q"))).cast("int").alias("budget")
+    asked = claims.where(F.coalesce(F.col("citation_need"), F.lit("")) != "NOT_NEEDED").select(key, queries.alias("q"))
+    return (unnest(asked, F.slice("q", 1, 4), key, budget, value="item", position="query_no")
             .select(key, "query_no", F.col("item.type").alias("type"), F.col("item.query").alias("query"), "budget")
             .where(text_or_empty(F.col("query")) != ""))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.ids import paper_id_of
 from ..functions.text import first_author, text_or_empty
+from ..session import cut_lineage
 from .keys import first_per_key
 
 # Penalties for a first author or venue that is already selected.
@@ -54,7 +55,9 @@ def select_for_claims(pairs: DataFrame, current_year: int, key: str = "claim_id"
         key, order, k.alias("_k"), "claim_type", "support_score", "tier_score", "recency_score", "year",
         "citation_count", F.lower(first_author(F.col("authors"))).alias("author"),
         F.lower(text_or_empty(F.col("venue"))).alias("venue"))
-    pool = pool.withColumn("c1", base_composite(current_year))
+    # Every step reads the pool again, so it is written once: matching columns
+    # and scores only, no texts.
+    pool = cut_lineage(pool.withColumn("c1", base_composite(current_year)))
     picks = None
     chosen = None
     for step in range(1, _STEPS + 1):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cite
 from ..functions.cite import PaperColumns
 from ..functions.ids import bibtex_key, normalize_doi, paper_id_of, year_or
-from ..functions.text import first_author, strip, text_or_empty
+from ..functions.text import first_author, strip, text_or_empty, unnest
 from .keys import running_number
 
 DOI_IN_ENTRY = r"doi\.org/([^\s\)\]]+)"
@@ -93,7 +93,7 @@ def bibtex_entries(papers: DataFrame, order: str = "ord", existing: DataFrame |
 def numeric_markers_max(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row: the highest first number of the [n] markers in the texts."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\[\s*(\d+)(?:\s*[,-]\s*\d+)*\s*\]"), F.lit(1))
-    return texts.select(F.explode(found).alias("n")).agg(
+    return unnest(texts, found, value="n").agg(
         F.coalesce(F.max(F.col("n").try_cast("int")), F.lit(0)).alias("last_number"))
 
 
@@ -132,7 +132,7 @@ def bibitems(papers: DataFrame, style: str, existing_keys: DataFrame | None = No
 def bibitem_keys(texts: DataFrame, text: str = "text") -> DataFrame:
     r"""Distinct keys of \bibitem entries."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"\\bibitem[^}{]*\{([^}]*)\}"), F.lit(1))
-    return texts.select(F.explode(found).alias("key")).distinct()
+    return unnest(texts, found, value="key").distinct()
 
 
 def insert_bibitems(texts: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:

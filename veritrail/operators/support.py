@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.ids import paper_id_of
-from ..functions.text import bind, coverage, keywords, strip, text_or_empty
+from ..functions.text import bind, coverage, keywords, strip, text_or_empty, unnest
 from .keys import last_per_key
 from .logs import utc_stamp
 
@@ -155,7 +155,7 @@ def keyword_pairs(claims: DataFrame, papers: DataFrame, min_coverage: float,
     words = claims.where(k > 0).select(
         claim_key, F.explode("claim_kw").alias("word"), k.alias("k"))
     wanted = words.select("word").distinct()
-    paper_words = papers.select(paper_key, F.explode("evidence_kw").alias("word"))
+    paper_words = unnest(papers, "evidence_kw", paper_key, value="word")
     seen = paper_words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarity = F.row_number().over(W.partitionBy(claim_key).orderBy("df", "word"))
     need = F.greatest(F.lit(1), F.ceil(F.col("k") * F.lit(min_coverage) - F.lit(1e-9)))

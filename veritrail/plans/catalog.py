@@ -15,6 +15,7 @@ from ..functions.cite import PaperColumns
 from ..functions.ids import bibtex_key, normalize_doi, paper_id_of
 from ..operators import (audit, dedup, documents, evidence, extract, keys, logs, quality, rank, references,
                          retrieve, support, verify)
+from ..session import broadcast_checked, cut_lineage
 from ..sources import files, mappers
 from . import bridge as B
 from .texts import word_index
@@ -56,7 +57,7 @@ def keyword_overlap(spark, sf):
 
 @query
 def sentence_list(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return X.unnest(docs(spark, sf), X.sentences(F.col("text")), "doc_id", value="sentence", position="sentence_no")
 
 
 @query
@@ -168,7 +169,7 @@ def claim_concepts(spark, sf):
 @query
 def claim_queries(spark, sf):
     df = extract.generate_queries(normalized(spark, sf))
-    return df.select("doc_id", F.posexplode("queries").alias("query_no", "q")).select(
+    return X.unnest(df, "queries", "doc_id", value="q", position="query_no").select(
         "doc_id", "query_no", "q.type", "q.query")
 
 
@@ -400,11 +401,14 @@ def scored_pairs(spark, sf, min_coverage: float):
     claims = B.claims(spark, sf).withColumn("claim_kw", X.keywords(F.col("original_text"), 50))
     claims = extract.detect_citation_need(extract.classify_claims(claims))
     labels = B.table(spark, sf, "labels").select("doc_id", "quality")
-    # The papers' keywords are needed twice: to find the pairs and to score them.
+    # The keywords are read several times, so they are written once; the texts
+    # are joined last, for the pairs that are left.
     papers = keyworded(spark, sf)
-    pairs = support.keyword_pairs(claims, papers.select("doc_id", "evidence_kw"), min_coverage)
+    kw = cut_lineage(papers.select("doc_id", "evidence_kw", "title_kw"))
+    claims = broadcast_checked(cut_lineage(claims))
+    pairs = support.keyword_pairs(claims, kw.select("doc_id", "evidence_kw"), min_coverage)
     full = (pairs.join(claims.withColumnRenamed("original_text", "claim_text"), "claim_id")
-            .join(papers, "doc_id").join(labels, "doc_id", "left"))
+            .join(kw, "doc_id").join(papers.drop("evidence_kw", "title_kw"), "doc_id").join(labels, "doc_id", "left"))
     scored = support.score_support(full.drop("support_score"))
     return (scored.withColumn("verification_status", F.when(F.col("quality") == 0, F.lit("UNVERIFIED")).otherwise(F.lit("VERIFIED")))
             .withColumn("tier_score", F.lit(0.4)).withColumn("recency_score", S.recency(F.col("year"), YEAR)))
@@ -617,7 +621,7 @@ def entailment_review(spark, sf):
 
 @query
 def citation_spans(spark, sf):
-    marked = marked_documents(spark, sf).withColumn("s", F.explode(documents.citation_spans(F.col("text"))))
+    marked = X.unnest(marked_documents(spark, sf), documents.citation_spans(F.col("text")), "doc_id", value="s")
     return marked.select("doc_id", "s.start", "s.end", F.col("s.text").alias("marker"))
 
 
