@@ -182,15 +182,19 @@ def test_latex_plan(spark):
     assert "One here.\\cite{k1} Two there.\n\\cite{k2}\\section{Method}" in changed.first().text
 
 
-def test_support_report(spark):
+def test_support_report(spark, tmp_path):
     rows = [("C1", "claim", 0, "T1", 2020, ["A B"], "V", "10.1/x", "ABSTRACT", "openalex", "text", "", 0.8, "DIRECT", "r", "heuristic"),
             ("C1", "claim", 1, "T2", None, [], None, None, "METADATA_ONLY", None, "", "", 0.74, "PARTIAL", "r [capped: METADATA_ONLY]", "llm"),
             ("C1", "claim", 2, "T3", 2019, [], None, None, "ABSTRACT", None, "neg", "", 0.1, "CONTRADICTORY", "r", "heuristic")]
     df = spark.createDataFrame(rows, "claim_id string, claim_text string, ord int, title string, year int, authors array<string>, venue string, doi string, evidence_level string, "
                                "evidence_source string, evidence_text string, abstract string, support_score double, support_level string, support_reasoning string, scoring_method string")
-    text = report.support_reports(df).first().report
+    lines = report.support_report_lines(df, at=F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    text = "\n".join(r.text for r in lines.orderBy("section", "position").collect())
     assert "| 1 | T1 | 2020 | ABSTRACT | 0.80 | DIRECT | ✅ 可引用 |" in text and "- 通过（≥0.60）: **2** 篇" in text
     assert "### 3. T3（2019）" in text and "  - T2 → 0.74 PARTIAL" in text
+    report.write_reports(lines, str(tmp_path / "md"))
+    parts = sorted((tmp_path / "md" / "claim_id=C1").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).rstrip("\n") == text.rstrip("\n")
     assert report.report_buckets(df).first().asDict() == {"claim_id": "C1", "passed": 2, "rejected": 0, "contradictory": 1, "insufficient": 0}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unnest
+from ..session import broadcast_checked
 
 # Lengths of the leading pieces that serve as join keys.
 _WIDE, _NARROW = 24, 8
@@ -30,6 +31,7 @@ def contained_fragments(fragments: DataFrame, bodies: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length("body") - F.col("width") + 1),
         lambda i: F.xxhash64(F.substring(F.col("body"), i, F.col("width"))))), "bid", "width", value="piece")
     # Only hashes meet; the texts are fetched for the few candidates.
-    candidates = wanted.join(grams, ["width", "piece"]).select("fragment", "bid").distinct()
+    # A small set of fragments filters the pieces where they arise.
+    candidates = broadcast_checked(wanted).join(grams, ["width", "piece"]).select("fragment", "bid").distinct()
     return (candidates.join(texts, "bid").where(F.contains("body", F.col("fragment")))
             .select("fragment").distinct())

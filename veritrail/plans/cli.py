@@ -92,7 +92,7 @@ def score_support(spark, a):
         scored = support.score_support(pairs)
     _out(scored, a.output)
     if a.report_md:
-        report.support_reports(scored, a.threshold, a.high_rigor).write.mode("overwrite").json(a.report_md)
+        report.write_reports(report.support_report_lines(scored, a.threshold, a.high_rigor), a.report_md)
     if a.log:
         logs.append_log(support.support_log(scored), a.log)
 
