@@ -209,6 +209,13 @@ def family_given(name: Column) -> Column:
     return F.when((F.instr(name, ",") == 0) & (F.size(parts) >= 2), flipped).otherwise(name)
 
 
+def last_token_first(name: Column) -> Column:
+    """Last word, comma, the rest; also for names that already hold a comma."""
+    parts = words(name)
+    return F.when(F.size(parts) >= 2, F.concat(
+        F.element_at(parts, -1), F.lit(", "), F.array_join(F.slice(parts, 1, F.size(parts) - 1), " "))).otherwise(name)
+
+
 def initials(given: Column) -> Column:
     parts = F.regexp_extract_all(given, F.lit(r"(?U)[^\s\x1c-\x1f\-]+"), F.lit(0))
     return F.array_join(

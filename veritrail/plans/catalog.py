@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cite
@@ -295,6 +296,40 @@ def openalex_mapped(spark, sf):
         F.length("abstract").alias("abstract_chars"))
 
 
+def source_responses(spark, sf):
+    """Search responses of two sources for one query per venue, ranked."""
+    p = B.papers(spark, sf)
+    place = W.partitionBy("journal").orderBy("doc_id")
+    people = F.transform("authors", lambda a: F.struct(a.alias("name")))
+    ranked = lambda keep: p.where(keep).withColumn("rank", F.row_number().over(place) - 1).withColumn("query", F.col("journal"))
+    s2 = ranked("source = 'semantic_scholar'").select(
+        "query", "rank", "title", "year", "venue", "abstract", F.col("citation_count").alias("citationCount"),
+        F.struct(F.col("doi").alias("DOI")).alias("externalIds"), people.alias("authors"))
+    pop = ranked("source <> 'semantic_scholar'").select(
+        "query", "rank", F.col("doc_id").cast("string").alias("uid"), "title", people.alias("authors"), "year",
+        F.col("venue").alias("source"), "publisher", "doi", "abstract", "volume", "issue",
+        F.lit("1").alias("startpage"), F.lit(None).cast("string").alias("endpage"), F.col("citation_count").alias("cites"))
+    return {"semantic_scholar": s2, "publish_or_perish": pop}
+
+
+@query
+def source_union(spark, sf):
+    """Candidates of two sources within budget, page limit and years."""
+    searches = B.papers(spark, sf).select(F.col("journal").alias("claim_id"), F.col("journal").alias("query"), F.lit(10).alias("budget")).distinct()
+    found = retrieve.union_sources(searches, source_responses(spark, sf), ["claim_id"], (2005, 2020))
+    return found.select("claim_id", F.col("ord").cast("bigint").alias("ord"), "title", "year", "source", joined("authors").alias("authors"),
+                        "venue_type", F.coalesce("doi", F.lit("")).alias("doi"), "pages", "citation_count")
+
+
+@query
+def retrieval(spark, sf):
+    """The same candidates deduplicated per claim, filtered and enriched."""
+    searches = B.papers(spark, sf).select(F.col("journal").alias("claim_id"), F.col("journal").alias("query"), F.lit(10).alias("budget")).distinct()
+    found = retrieve.search_all(searches, source_responses(spark, sf), files.read_blacklist(spark), files.read_conferences(spark),
+                                source_table(spark, sf), YEAR, scope=("claim_id",), years=(2005, 2020))
+    return found.select("claim_id", "paper_id", "title", "source", "tier_score", "recency_score", F.col("merged_from").cast("bigint").alias("merged_from"))
+
+
 @query
 def page_titles(spark, sf):
     """Title element of every web page, cleaned like a title."""

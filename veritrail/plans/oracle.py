@@ -285,8 +285,8 @@ ref AS (SELECT DISTINCT lower({APA_ENTRY}) AS body FROM q WHERE doc_id % 4 <> 1)
 gap AS (SELECT frag FROM fin WHERE NOT EXISTS (SELECT 1 FROM ref WHERE contains(body, frag))),
 own AS (SELECT DISTINCT doi FROM p WHERE doc_id % 3 = 0 AND doi IS NOT NULL)"""
 
-LATEX_DOC = (r"'\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || '\section{Intro}' || chr(10) || replace(replace(text, '%', ''), '\', '') "
-             r"|| chr(10) || '\section{Method} Known \cite{old' || source || '}. More text.' || chr(10) || '\end{document}' || chr(10)")
+_FLIP = rf"CASE WHEN contains(a, ',') THEN a ELSE {last_name('a')} || ', ' || regexp_replace(a, '\s+\S+$', '') END"
+_FLIP_ALL = rf"regexp_extract(a, '(\S+)$', 1) || ', ' || regexp_replace(a, '\s+\S+$', '')"
 
 VENUES = "['Oncotarget', 'Nature', 'Proc. of ICML', 'machine letters', '学报', '', 'Plos One', 'Journal X']"
 
@@ -428,4 +428,31 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, coalesce(list_filter(regexp_extract_all(split_part(text, chr(10), 1), '[^.!?。！？；]*[.!?。！？；]["'')】」』”]*|[^.!?。！？；]+\z'), lambda y: {strip('y')} <> '')[1], '') AS f FROM documents)""",
     "latex_insertions": r"""SELECT doc_id, unnest([1, 2, 3, 4]) AS ord, unnest(['new1', 'new2', 'new1', 'old' || source]) AS key, unnest(['inserted', 'skip', 'skipped_existing', 'skipped_existing']) AS status,
       unnest(['', 'sentence out of range', 'key already cited', 'key already cited']) AS reason FROM documents""",
+    "claim_concepts": f"""WITH {TAILED},""" + keyword_ctes("kw", "tc", "doc_id", "original_text", 6) + f""",
+      m AS (SELECT doc_id, coalesce(kw, []) AS kw,
+        CASE WHEN regexp_matches(original_text, '[一-鿿]') THEN list_transform(list_filter([{", ".join("{'zh': " + _text(k) + ", 'en': " + _text(v) + "}" for k, v in C.CHINESE_TERMS.items())}],
+          lambda e: contains(original_text, e.zh)), lambda e: e.en) ELSE [] END AS z,
+        flatten(list_transform(list_filter([{", ".join("{'p': " + _text(k) + ", 'a': " + _list(v) + "}" for k, v in C.SYNONYMS.items())}],
+          lambda e: contains(lower(original_text), e.p)), lambda e: e.a)) AS al FROM tc LEFT JOIN kw ON k = doc_id),
+      d AS (SELECT doc_id, kw, list_filter(z, lambda x, i: list_position(z, x) = i) AS z, list_filter(al, lambda x, i: list_position(al, x) = i) AS al FROM m),
+      c AS (SELECT *, list_concat(z, list_filter(kw, lambda x: NOT list_contains(z, x))) AS base FROM d),
+      e AS (SELECT *, list_filter(al, lambda x: NOT list_contains(base, x)) AS added,
+        CASE WHEN len(kw) > 0 THEN list_concat(z, list_filter(al, lambda x: NOT list_contains(z, x))) ELSE z END AS syn FROM c)
+      SELECT doc_id, array_to_string(list_concat(base, added)[1:8], '|') AS concepts, array_to_string(list_concat(syn, added)[1:8], '|') AS synonyms FROM e""",
+    "source_union": f"""WITH {PAPERS}, r AS (SELECT *, src = 'semantic_scholar' AS s2, row_number() OVER (PARTITION BY venue, src = 'semantic_scholar' ORDER BY doc_id) - 1 AS rank FROM p)
+      SELECT venue AS claim_id, rank + CASE WHEN s2 THEN 0 ELSE 1000000 END AS ord, title, year::INT AS year, CASE WHEN s2 THEN 'semantic_scholar' ELSE 'publish_or_perish' END AS source,
+        array_to_string(list_transform(authors, lambda a: CASE WHEN s2 THEN {_FLIP_ALL} ELSE {_FLIP} END), '|') AS authors, 'journal' AS venue_type, coalesce(doi, '') AS doi, CASE WHEN NOT s2 THEN '1' END AS pages, n_chars AS citation_count
+      FROM r WHERE rank < 10 AND year BETWEEN 2005 AND 2020 AND (s2 OR title <> '')""",
+    "entailment_review": f"WITH {KEYWORDED}, c0 AS (SELECT doc_id, concat_ws(' ', {headline('text')}, 'reliability accuracy', {headline('reverse(text)')}) AS claim FROM documents),"
+    + keyword_ctes("ck", "c0", "doc_id", "claim", 50) + f""", o AS (SELECT doc_id, ev, {coverage('ck.kw', 'evk')} AS s FROM kp LEFT JOIN ck ON ck.k = doc_id),
+      f AS (SELECT *, 'heuristic overlap ' || printf('%.2f', {pyround('s', 2)}) AS shown FROM o)
+      SELECT doc_id::VARCHAR AS claim_id, CASE WHEN length({strip('ev')}) < 40 THEN 'FAIL' WHEN s >= 0.3 THEN 'PASS' WHEN s >= 0.15 THEN 'WEAK' ELSE 'FAIL' END AS entailment_verdict,
+        CASE WHEN length({strip('ev')}) < 40 THEN 'no usable evidence text to review' WHEN s >= 0.3 THEN shown WHEN s >= 0.15 THEN shown || ' — weak topical link' ELSE shown || ' — no substantive link' END AS entailment_reason,
+        'heuristic' AS review_method FROM f""",
+    "latex_texts": rf"""SELECT doc_id, regexp_replace(chr(10) || ' ' || chr(10) || regexp_replace(replace(replace(text, '%', ''), '\', ''), '\s+', ' ', 'g') || chr(10) || '  Known  . More text.' || chr(10), '\s+', ' ', 'g') AS body FROM documents""",
+    "citation_spans": f"""WITH {STYLED}, m AS (SELECT doc_id, title, {APA_MARKER} AS own, '[' || doc_id || ']' AS num, '(Nobody' || (doc_id % 3) || ', 1999)' AS nob, year IS NOT NULL AS dated FROM q),
+      s AS (SELECT doc_id, length(title) + 1 AS start, own AS marker FROM m WHERE dated
+        UNION ALL SELECT doc_id, length(title) + 1 + length(own) + 5, num FROM m
+        UNION ALL SELECT doc_id, length(title) + 1 + length(own) + 5 + length(num) + 4, nob FROM m)
+      SELECT doc_id, start::INT AS start, (start + length(marker))::INT AS "end", marker FROM s""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.ids import normalize_doi
-from ..functions.text import family_given, strip, text_or_empty
+from ..functions.text import family_given, last_token_first, strip, text_or_empty
 
 # The order of trust between sources; anything else is 9.
 SOURCE_PRIORITY = {
@@ -56,11 +57,11 @@ def unified(df: DataFrame, source: str, layer: str | None = "api", extra: dict |
     return df.select(*keep, *columns)
 
 
-def flip_names(names: Column) -> Column:
-    """'Last, First' for every non-empty name."""
+def flip_names(names: Column, flip: Callable[[Column], Column] = family_given) -> Column:
+    """'Last, First' for every non-empty name. Semantic Scholar, Exa and Google
+    Scholar serve 'First Last' only, so their mappers do not look for commas."""
     return F.transform(
-        F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: text_or_empty(n) != ""),
-        family_given)
+        F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: text_or_empty(n) != ""), flip)
 
 
 def inverted_abstract(index: Column) -> Column:
@@ -144,7 +145,7 @@ def map_semantic_scholar(papers: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     return unified(
         papers, "semantic_scholar", keep=keep,
         title=text_or_empty(F.col("title")),
-        authors=flip_names(F.transform("authors", lambda a: a["name"])),
+        authors=flip_names(F.transform("authors", lambda a: a["name"]), last_token_first),
         year=F.col("year"), venue=venue,
         venue_type=F.when(journal, F.lit("journal")).otherwise(F.lit("preprint")),
         doi=normalize_doi(F.col("externalIds.DOI")),
@@ -177,7 +178,7 @@ def map_exa(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     year = some(meta("year"), F.substring(meta("publishedDate"), 1, 4))
     return unified(
         results, "exa", "web", keep=keep,
-        title=some(meta("title"), F.col("title")), authors=flip_names(names),
+        title=some(meta("title"), F.col("title")), authors=flip_names(names, last_token_first),
         year=year.try_cast("int"), venue=venue,
         venue_type=F.when(text_or_empty(meta("journal")) != "", F.lit("journal")).otherwise(F.lit("other")),
         doi=normalize_doi(meta("doi")), url=F.col("url"),
@@ -190,7 +191,7 @@ def map_google_scholar(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
     names = F.transform("bib.author", strip)
     return unified(
         results, "google_scholar", "web", keep=keep,
-        title=text_or_empty(F.col("bib.title")), authors=flip_names(names),
+        title=text_or_empty(F.col("bib.title")), authors=flip_names(names, last_token_first),
         year=F.nullif(F.col("bib.pub_year").try_cast("int"), F.lit(0)), venue=venue,
         venue_type=F.when(venue != "", F.lit("journal")).otherwise(F.lit("other")),
         doi=normalize_doi(F.col("bib.doi")), url=F.col("pub_url"),
