@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -143,6 +143,14 @@ def shown_findings(findings: DataFrame) -> DataFrame:
 
 # --- chain ---------------------------------------------------------------------
 
+def run_artifacts(spark: SparkSession, run_dir: str) -> DataFrame:
+    """(name, bytes) of the files and folders of a run; only sizes are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(run_dir)
+    inside = F.split_part(F.col("path"), F.lit(run_dir.rstrip("/") + "/"), F.lit(-1))
+    return found.select(F.split_part(inside, F.lit("/"), F.lit(1)).alias("name"), "length").groupBy("name").agg(
+        F.sum("length").alias("bytes"))
+
+
 def artifact_findings(present: DataFrame) -> DataFrame:
     """`present`: (name, bytes) of the files of a run. Missing and empty ones fail."""
     spark = present.sparkSession

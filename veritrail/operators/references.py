@@ -111,8 +111,10 @@ def new_reference_entries(entries: DataFrame, existing: DataFrame, entry: str =
     from .contain import contained_fragments
     known = contained_fragments(fresh.select(F.col("_head").alias("fragment")),
                                 existing.select(F.col(text).alias("body")))
-    return (fresh.where("_head <> ''").join(known, F.col("_head") == F.col("fragment"), "left_anti")
-            .drop("_doi", "_head"))
+    # An empty start is part of every reference, if there is one.
+    none_yet = existing.where(strip(F.col(text)) != "").limit(1).agg(F.count(F.lit(1)).alias("c")).scalar() == 0
+    return (fresh.where((F.col("_head") != "") | none_yet)
+            .join(known, F.col("_head") == F.col("fragment"), "left_anti").drop("_doi", "_head"))
 
 
 def bibitems(papers: DataFrame, style: str, existing_keys: DataFrame | None = None,

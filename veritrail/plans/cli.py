@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scores as S
-from ..operators import audit, evidence, extract, logs, rank, references, report, support, verify
+from ..operators import audit, documents, evidence, extract, logs, rank, references, report, support, verify
 from ..session import build_session
 from ..sources import files
 
@@ -132,6 +132,49 @@ def audit_pipeline(spark, a):
     logs.write_report(out, a.output)
 
 
+def insert_latex(spark, a):
+    docs = spark.read.text(a.input, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+    plan = spark.read.schema(schemas.LATEX_INSERTIONS + ", doc_id STRING, ord INT").json(a.plan)
+    changed, reports = documents.apply_latex_plan(docs, plan, command=a.command_name)
+    _out(reports, f"{a.output}/report")
+    if not a.dry_run:
+        _out(changed, f"{a.output}/documents")
+
+
+def insert_docx(spark, a):
+    source = spark.read.format("binaryFile").load(a.input)
+    plan = spark.read.schema(schemas.INSERTIONS + ", path STRING, ord INT").json(a.plan)
+    changed, reports = documents.apply_docx_plan(files.read_docx_paragraphs(spark, a.input), plan, dry_run=a.dry_run)
+    _out(reports, f"{a.output}/report")
+    if not a.dry_run:
+        documents.render_docx(source, changed).write.mode("overwrite").parquet(f"{a.output}/documents")
+
+
+def update_references(spark, a):
+    papers = _papers(spark, a.input)
+    if a.mode == "bibtex":
+        return logs.append_bibtex(papers, references.bibtex_entries(papers), a.output)
+    existing = spark.read.text(a.existing).withColumnRenamed("value", "text")
+    start = references.numeric_markers_max(existing).first()["last_number"] + 1
+    entries = references.style_entries(papers, a.style, start=start)
+    references.new_reference_entries(entries, existing).select("position", "entry").write.mode("overwrite").json(a.output)
+
+
+def audit_bibliography(spark, a):
+    refs = spark.read.text(a.references).withColumnRenamed("value", "text")
+    found = audit.bibliography_findings(files.read_documents(spark, a.document), _papers(spark, a.input), refs,
+                                        logs.read_verification_log(spark, a.verification_log), not a.strict)
+    _out(audit.shown_findings(found), f"{a.output}/findings")
+    logs.write_report(audit.fold(found), f"{a.output}/summary")
+
+
+def audit_entailment(spark, a):
+    reviewed = audit.review_links(files.read_jsonl(spark, a.links, schemas.LINKS), files.read_claims(spark, a.claims),
+                                  _papers(spark, a.input))
+    _out(reviewed, f"{a.output}/links")
+    logs.write_report(audit.review_summary(reviewed), f"{a.output}/summary")
+
+
 # name -> (function, options). An option is (flag, default); a bool is a switch
 # and None is a required value.
 COMMANDS = {
@@ -149,6 +192,11 @@ COMMANDS = {
     "rank-candidates": (rank_candidates, {"--claims": None, "--threshold": S.SUPPORT_THRESHOLD, "--current-year": 2026}),
     "format-citations": (format_citations, {"--style": "ieee"}),
     "format-bibtex": (format_bibtex, {"--existing": ""}),
+    "insert-latex": (insert_latex, {"--plan": None, "--command-name": "cite", "--dry-run": False}),
+    "insert-docx": (insert_docx, {"--plan": None, "--dry-run": False}),
+    "update-references": (update_references, {"--mode": "bibtex", "--style": "apa", "--existing": ""}),
+    "audit-bibliography": (audit_bibliography, {"--document": None, "--references": None, "--verification-log": None, "--strict": False}),
+    "audit-entailment": (audit_entailment, {"--links": None, "--claims": None}),
     "audit-pipeline": (audit_pipeline, {"--document": None, "--references": None, "--verification-log": None,
                                         "--evidence-log": None, "--links": None, "--claims": None, "--strict": False}),
 }

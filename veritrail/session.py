@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder is set (local tests) is one chosen here."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             folder = context.getConf().get("spark.checkpoint.dir", None)

@@ -231,4 +231,10 @@ def bib_dois(bib: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_bib_dois(spark: SparkSession, path: str) -> DataFrame:
-    return bib_dois(spark.read.text(path, wholetext=True))
+    """DOIs of a .bib file or folder; none when it does not exist yet."""
+    try:
+        return bib_dois(spark.read.text(path, wholetext=True))
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" in str(err):
+            return _empty(spark, "doi STRING")
+        raise
