@@ -1,0 +1,146 @@
+"""Quality, line dedup, n-gram join, secrets and mixing against plain versions."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from veritrail.llm import line_dedup, mixing, ngram_join, quality, secrets
+
+from . import brute
+from .conftest import pairs
+
+
+def key(rows):
+    return sorted(rows, key=repr)
+
+
+def test_quality_counts(all_docs):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = quality.verdicts(all_docs).select("doc_id", *[f"_counts.{n}" for n in names], "_failed").collect()
+    want = [(i, *brute.quality(t).values()) for i, t in pairs(all_docs)]
+    assert key(tuple(r) for r in got) == key(want)
+
+
+def test_quality_keeps_clean_and_drops_outliers(spark):
+    words = [f"w{chr(97 + i % 26)}{'x' * (i % 5)}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 7:] + [str(i)]), "en", f"s{i % 2}") for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "###" for w in words) + f" {i}", "en", "s0") for i in range(40)]
+    rows += [(2000, " ".join(words).upper(), None, "rare"), (2001, "few words", "en", "s0")]
+    kept = {r["doc_id"] for r in quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(400))
+
+
+def test_sketch_quantiles_are_close_and_merge(spark):
+    values = [(i, " ".join(["x" * (1 + i % 9)] * 25)[:-1] + str(i)) for i in range(500)]
+    docs = spark.createDataFrame(values, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn(
+        "source", (F.col("doc_id") % 5).cast("string"))
+    docs = docs.withColumn("text", F.regexp_replace("text", "x ", "x y "))
+    whole = quality.sketches(quality.with_counts(docs))
+    halves = quality.sketches(quality.with_counts(docs.where("doc_id < 200"))).union(
+        quality.sketches(quality.with_counts(docs.where("doc_id >= 200"))))
+    merged = halves.groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    assert key(map(tuple, whole.collect())) == key(map(tuple, merged.collect()))
+
+
+def test_line_dedup(all_docs):
+    got = line_dedup.digests(all_docs).collect()
+    assert key(tuple(r) for r in got) == key(brute.line_dedup(pairs(all_docs)))
+
+
+def test_line_index_is_reversible(spark, edge_docs):
+    old, new = edge_docs.where("doc_id < 40"), edge_docs.where("doc_id >= 40")
+    whole = line_dedup.build(edge_docs, shards=5)
+    grown = line_dedup.insert(line_dedup.build(old, shards=5), new)
+    back = line_dedup.delete(grown, new)
+    for a, b in ((whole, grown), (line_dedup.build(old, shards=5), back)):
+        for x, y in ((a.refs, b.refs), (a.counts, b.counts), (a.filters, b.filters)):
+            assert key(map(tuple, x.collect())) == key(map(tuple, y.collect()))
+
+
+def test_cuckoo_filter():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    k = rng.integers(-2**63, 2**63 - 1, (4, 3000), np.int64)
+    f = line_dedup.CuckooFilter.sized(1200)  # too small on purpose: overflow and kicks
+    f.insert(k[0], k[1])
+    assert f.contains(k[0], k[1]).all()
+    assert line_dedup.CuckooFilter.load(f.n_buckets, f.dump()).contains(k[0], k[1]).all()
+    f.delete(k[0][:1500], k[1][:1500])
+    assert f.contains(k[0][1500:], k[1][1500:]).all()
+    g = line_dedup.CuckooFilter.sized(3000)
+    g.insert(k[0], k[1])
+    assert g.contains(k[2], k[3]).mean() < 0.01
+    g.delete(k[0], k[1])
+    assert not g.table.any() and not g.overflow
+
+
+def test_ngram_join(all_docs):
+    got = ngram_join.classes(all_docs).collect()
+    assert key(tuple(r) for r in got) == key(brute.ngram(pairs(all_docs)))
+
+
+def test_ngram_join_near_copies(spark):
+    import random
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        own = list(base if i % 3 else [f"v{rng.randrange(9000)}" for _ in range(60)] + base[:60])
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(99999)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(map(tuple, ngram_join.classes(df).collect())) == key(brute.ngram(rows))
+    kept = {r["doc_id"] for r in ngram_join.keep_one(df).collect()}
+    assert kept == {c for _, _, c in brute.ngram(rows)}
+
+
+def test_secrets_base(all_docs):
+    got = secrets.scan(all_docs, repository="doc_id", owner="source").select("doc_id", secrets.written("base")).collect()
+    assert key(tuple(r) for r in got) == key((i, brute.secrets(t)[1]) for i, t in pairs(all_docs))
+
+
+def test_secrets_ownership(spark):
+    one, many = "abcDEF0123456789ghiJKLmno", "zzzXYZ9876543210abcABCdef"
+    rows = [(1, f"k {one}", "s1"), (2, f"k {one} {many}", "s1"), (3, f"q {many} é", "s2"), (4, None, None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r[0]: (r[1], r[2]) for r in got.select("doc_id", secrets.written("spans"), "n_examples").collect()}
+    assert got == {1: ("live:2:27", 0), 2: ("live:2:27", 1), 3: ("", 1), 4: ("", 0)}
+
+
+def test_mixing_targets(spark):
+    sizes = [("a", 100), ("b", 1000), ("c", 10), ("d", 0), (None, 400)]
+    rows = {r["source"]: r["target"] for r in mixing.source_targets(
+        spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    left, cap = 1.5 * 1510, {k: 2.0 * v for k, v in sizes}
+    weight, target = dict(zip(["a", "b", "c", "d", None], [5, 2, 1, 5, 2], strict=True)), {}
+    free = set(cap)
+    while True:
+        share = {k: left * weight[k] / sum(weight[f] for f in free) for k in free}
+        over = {k for k in free if share[k] > cap[k]}
+        if not over:
+            target |= share
+            break
+        target |= {k: cap[k] for k in over}
+        left -= sum(cap[k] for k in over)
+        free -= over
+    assert rows == pytest.approx(target)
+
+
+def test_mixing_emits_what_it_plans(all_docs):
+    planned = mixing.plan(all_docs)
+    rows = [(r["_row"]["doc_id"], r["size"], r["copies"], r["source_size"], r["target"]) for r in planned.collect()]
+    assert sorted((i, n) for i, n, *_ in rows if i is not None) == sorted(
+        (i, len(brute.WORD.findall(t or ""))) for i, t in pairs(all_docs) if i is not None)
+    assert all(0 <= c <= 2 for _, _, c, *_ in rows)
+    emitted = mixing.mix(all_docs)
+    assert emitted.columns == all_docs.columns
+    assert emitted.count() == sum(c for _, _, c, *_ in rows)
+
+
+@pytest.mark.parametrize("call", [
+    quality.keep, line_dedup.dedup, ngram_join.keep_one, mixing.mix,
+    lambda d: quality.verdicts(d), lambda d: line_dedup.digests(d), lambda d: ngram_join.classes(d),
+    lambda d: secrets.scan(d), lambda d: mixing.plan(d)])
+def test_empty_and_clashing_tables(call, clashing):
+    assert call(clashing.where("false")).count() == 0
+    assert call(clashing).count() > 0

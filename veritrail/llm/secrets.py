@@ -1,0 +1,115 @@
+"""Secret scans with corpus-wide ownership frequency. DataFrame operations only.
+
+Base kinds are patterns over the whole text. Candidates of a further kind,
+`live`, are long mixed-class tokens; the hash of each is aggregated over the
+corpus by distinct repositories and owners. A token that several owners hold is
+a widely copied example; one that a single owner holds is reported as a
+live-looking credential.
+
+Defined cases: a null text is empty; a null repository or owner counts as one of
+its own; repeated rows give repeated results; other columns stay out of the way.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import rows_of, stored
+
+# The kinds in their order, with pattern, group and least length.
+ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+KINDS = ("assign", "access", "hex", "live")
+# Tokens of the added kind: 24 or more characters with a digit, an upper-case
+# and a lower-case letter.
+LIVE = r"[A-Za-z0-9+/_-]{24,}"
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<from, to, hit>> of all matches, leftmost and without
+    overlap, in code points. The pieces between matches give the offsets."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    step = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(
+        F.length(g).alias("gap"), F.length(h).alias("len"), h.alias("hit")))
+    empty = F.array().cast("array<struct<from:bigint,to:bigint,hit:string>>")
+    walk = F.aggregate(step, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), lambda a, s: F.struct(
+        (a["at"] + s["gap"] + s["len"]).alias("at"),
+        F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).cast("bigint").alias("from"),
+                                            (a["at"] + s["gap"] + s["len"]).cast("bigint").alias("to"),
+                                            s["hit"].alias("hit")))).alias("out")))["out"]
+    return walk
+
+
+def _kind(text: Column, kind: str) -> Column:
+    """Spans of one kind; texts without any are passed over by a plain search.
+    For the run patterns, runs of the least length are the same matches."""
+    if kind == "assign":
+        found = F.filter(spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 6)
+        test = text.rlike(ASSIGN)
+    elif kind == "access":
+        pattern = ACCESS[:-1] + "{16,}"
+        found, test = spans(text, pattern), text.rlike(pattern)
+    elif kind == "hex":
+        pattern = HEX[:-1] + "{24,}"
+        found, test = spans(text, pattern), text.rlike(pattern)
+    else:
+        found = F.filter(spans(text, LIVE), lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Z]")
+                         & s["hit"].rlike("[a-z]"))
+        test = text.rlike(LIVE)
+    return F.when(test, found).otherwise(F.array().cast("array<struct<from:bigint,to:bigint,hit:string>>"))
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id",
+         owner: str = "source") -> DataFrame:
+    """(doc_id, row_key, repository, owner, base, live): base spans as
+    array<struct<from, kind, to, digest>> and candidates of the added kind, in
+    one pass over the texts. Secrets themselves leave it only as digests."""
+    rows = rows_of(docs, {"doc_id": doc_id, "text": text, "repository": repository, "owner": owner})
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+
+    def coded(kind: str) -> Column:
+        return F.transform(_kind(F.col("text"), kind), lambda s: F.struct(
+            s["from"].alias("from"), F.lit(KINDS.index(kind)).alias("kind"), s["to"].alias("to"),
+            F.sha2(s["hit"], 256).alias("digest")))
+
+    rows = rows.select("doc_id", "repository", "owner", F.sha2("text", 256).alias("row_key"),
+                       F.sort_array(F.concat(*[coded(k) for k in KINDS[:3]])).alias("base"),
+                       coded("live").alias("live"))
+    apart = F.filter("live", lambda s: ~F.exists("base", lambda b: (b["from"] < s["to"]) & (s["from"] < b["to"])))
+    return rows.withColumn("live", apart)
+
+
+def ownership(found: DataFrame, spans_column: str = "live") -> DataFrame:
+    """(digest, n_repositories, n_owners) over the corpus. Copies combine before
+    each shuffle; the digests a key can hold never meet in one task."""
+    seen = found.select(F.explode(spans_column).alias("s"), "repository", "owner").select(
+        F.col("s.digest").alias("digest"), "repository", "owner")
+    once = seen.groupBy("digest", "owner", "repository").agg(F.lit(1).alias("one"))
+    by_owner = once.groupBy("digest", "owner").agg(F.sum("one").alias("n"))
+    return by_owner.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+
+
+def scan(docs: DataFrame, **columns) -> DataFrame:
+    """One row per row of docs: doc_id, base and spans (base plus the
+    owner-specific candidates) and the number of widely copied candidates."""
+    found = stored(find(docs, **columns))
+    owners = ownership(found)
+    single = owners.where("n_owners = 1").select("digest")
+    hits = found.select("doc_id", "row_key", F.explode("live").alias("s")).distinct().join(
+        single, F.col("s.digest") == F.col("digest"))
+    live = hits.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(
+        F.collect_list("s").alias("kept"))
+    joined = found.join(live, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left")
+    none = F.array().cast("array<struct<from:bigint,kind:int,to:bigint,digest:string>>")
+    kept = F.coalesce("kept", none)
+    return joined.select("doc_id", "base", F.sort_array(F.concat("base", kept)).alias("spans"),
+                         (F.size("live") - F.size(kept)).cast("bigint").alias("n_examples"))
+
+
+def written(array: str) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(array, lambda s: F.concat_ws(
+        ":", F.element_at(names, s["kind"] + 1), s["from"].cast("string"), s["to"].cast("string"))), ",")
