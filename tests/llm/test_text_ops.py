@@ -15,7 +15,7 @@ def key(rows):
 
 def test_quality_counts(all_docs):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    got = quality.verdicts(all_docs).select("doc_id", *[f"_counts.{n}" for n in names], "_failed").collect()
+    got = quality.verdicts(all_docs).select("doc_id", *[f"counts.{n}" for n in names], "base_failed").collect()
     want = [(i, *brute.quality(t).values()) for i, t in pairs(all_docs)]
     assert key(tuple(r) for r in got) == key(want)
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import as_bytes, rows_of, scan_partitions, stored
 
@@ -231,21 +232,19 @@ def drops(index: Index, refs: DataFrame | None = None) -> DataFrame:
 
 
 def apply(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `_text` (the lines that stay), `_n_lines` and `_n_dropped`."""
-    lost = drops(index).withColumnsRenamed({"doc_id": "_id", "keys": "_keys"})
-    joined = docs.join(lost, F.col(f"`{doc_id}`") == F.col("_id"), "left").drop("_id")
-    names = joined.columns
-    rows = joined.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(names)})
-    at, keys = f"c{names.index(text)}", f"c{names.index('_keys')}"
-    rest = [c for c in rows.columns if c != keys]
-    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != keys)
+    """(row, text, n_lines, n_dropped): every row of docs as a struct, with the
+    lines that stay."""
+    lost = drops(index).withColumnRenamed("doc_id", "_id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{doc_id}`").alias("id")).join(lost, F.col("id") == F.col("_id"), "left")
+    rows = rows.select("row", "keys")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, lines, dropped = [], [], []
-            for text, gone in zip(as_bytes(batch.column(at)), batch.column(keys).to_pylist(), strict=True):
-                own = text.split(b"\n")
-                kept = own
+            for text, gone in zip(as_bytes(batch.column(0).field(at)), batch.column(1).to_pylist(), strict=True):
+                own = kept = text.split(b"\n")
                 if gone:
                     gone = {(k["k1"], k["k2"]) for k in gone}
                     kept = [x for x in own if (k := line_key(x)) is None or _halves(k) not in gone]
@@ -253,24 +252,27 @@ def apply(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
                 lines.append(len(own))
                 dropped.append(len(own) - len(kept))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in rest], pa.array(out, pa.string()), pa.array(lines, pa.int64()),
-                 pa.array(dropped, pa.int64())], names=[*rest, "_text", "_n_lines", "_n_dropped"])
+                [batch.column(0), pa.array(out, pa.string()), pa.array(lines, pa.int64()),
+                 pa.array(dropped, pa.int64())], names=["row", "text", "n_lines", "n_dropped"])
 
-    done = rows.mapInArrow(run, f"{fields}, _text string, _n_lines bigint, _n_dropped bigint")
-    return done.withColumnsRenamed({f"c{i}": c for i, c in enumerate(names)})
+    schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()),
+                         StructField("n_dropped", LongType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _few(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines an earlier one holds. A document that
     loses no line keeps its text as it is, null included."""
-    few = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    done = apply(docs, build(few), doc_id, text)
-    new = F.when(F.col("_n_dropped") > 0, F.col("_text")).otherwise(F.col(f"`{text}`"))
-    return done.select(*[(new.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    done = apply(docs, build(_few(docs, doc_id, text)), doc_id, text)
+    new = F.when(F.col("n_dropped") > 0, F.col("text")).otherwise(F.col(f"row.`{text}`"))
+    return done.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    few = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    done = apply(few, build(few))
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                       F.sha2("_text", 256).alias("kept_sha256"))
+    few = _few(docs, doc_id, text)
+    return apply(few, build(few)).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped",
+                                         F.sha2("text", 256).alias("kept_sha256"))

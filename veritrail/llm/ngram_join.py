@@ -236,4 +236,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """The first document of every class, columns unchanged."""
     lost = classes(docs, doc_id=doc_id, text=text, **options).where("component_id < doc_id").select(
         F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(lost, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    return docs.join(lost, docs[f"`{doc_id}`"] == lost["_gone"], "left_anti")

@@ -79,28 +79,31 @@ def count_block(texts: list[bytes]) -> np.ndarray:
     return out.T
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `_counts`."""
-    rows = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns)})
-    at = rows.columns[docs.columns.index(text)]
-    schema = StructType([*rows.schema.fields, *[StructField(f"q_{c}", LongType()) for c in _COUNTS]])
+def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
+                carry: bool = True) -> DataFrame:
+    """(row, lang, source, counts): every row of docs as a struct `row` (only
+    when carried) with the struct of its counts."""
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(f"`{text}`").alias("text")])
+    at = docs.columns.index(text) if carry else 0
+    rows = docs.select(held.alias("row"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    kept = rows.schema.fields if carry else rows.schema.fields[1:]
+    schema = StructType([*kept, *[StructField(c, LongType()) for c in _COUNTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = as_bytes(batch.column(at))
+            texts = as_bytes(batch.column(0).field(at))
             counts = np.concatenate([count_block(texts[i:j]) for i, j in blocks(texts)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(np.ascontiguousarray(counts[:, k])) for k in range(len(_COUNTS))]],
-                names=[*batch.schema.names, *[f"q_{c}" for c in _COUNTS]])
+                [*batch.columns[3 - len(kept):], *[pa.array(np.ascontiguousarray(c)) for c in counts.T]],
+                names=[f.name for f in schema.fields])
 
     done = rows.mapInArrow(run, schema)
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)],
-                       F.struct(*[F.col(f"q_{c}").alias(c) for c in _COUNTS]).alias("_counts"))
+    return done.select(*[f.name for f in kept], F.struct(*_COUNTS).alias("counts"))
 
 
-def _ratios(counts: str = "_counts") -> dict[str, Column]:
+def _ratios(counts: str = "counts") -> dict[str, Column]:
     c = {k: F.col(f"{counts}.{k}") for k in _COUNTS}
     chars = F.greatest(c["word_chars"], F.lit(1))
     return {"word_length": c["word_chars"] / F.greatest(c["n_words"], F.lit(1)),
@@ -108,20 +111,19 @@ def _ratios(counts: str = "_counts") -> dict[str, Column]:
             "dup_line_share": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1))}
 
 
-def base_failed(counts: str = "_counts") -> Column:
+def base_failed(counts: str = "counts") -> Column:
     n, repeat = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
     return (n < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n)
 
 
-def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): one row per non-empty bucket. Documents
     that fail the base rules do not shape the thresholds."""
     names = list(RATIOS)
     values = _ratios()
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("ratio"), values[r].alias("value"))
                                   for i, r in enumerate(names)])).alias("e")
-    rows = counted.where(~base_failed()).select(
-        F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), entries)
+    rows = counted.where(~base_failed()).select("lang", "source", entries)
     bucket = F.when(F.col("e.value") > 0, F.ceil(F.ln("e.value") / F.lit(math.log(GAMMA)))).cast("int")
     return rows.groupBy("lang", "source", F.col("e.ratio").alias("ratio"), bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -166,37 +168,36 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return fences.groupBy("lang", "source").agg(*columns)
 
 
-def judge(counted: DataFrame, fences: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     """counted with base_failed and kept, by a join with the fences. A group in
     which every document fails the base rules has no fences and needs none."""
     fences = broadcast_checked(fences.withColumnsRenamed({"lang": "_l", "source": "_s"}))
-    joined = counted.join(fences, F.col(f"`{lang}`").eqNullSafe(F.col("_l"))
-                          & F.col(f"`{source}`").eqNullSafe(F.col("_s")), "left")
+    joined = counted.join(fences, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")),
+                          "left")
     inside = F.lit(True)
     for name, value in _ratios().items():
         inside = inside & value.between(F.col(f"low_{name}"), F.col(f"high_{name}"))
-    return joined.withColumn("_failed", base_failed()).withColumn(
-        "_kept", ~F.col("_failed") & F.coalesce(inside, F.lit(True))).select(
-        *[F.col(f"`{c}`") for c in counted.columns], "_failed", "_kept")
+    return joined.select(*counted.columns, base_failed().alias("base_failed"),
+                         (~base_failed() & F.coalesce(inside, F.lit(True))).alias("kept"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Thresholds of a corpus, written: one pass over the texts."""
-    few = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
-                      F.col(f"`{source}`").alias("source"))
-    return stored(thresholds(stored(sketches(with_counts(few)))))
+    return stored(thresholds(stored(sketches(with_counts(docs, text, lang, source, carry=False)))))
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, columns unchanged."""
-    judged = judge(with_counts(docs, text), fit(docs, text, lang, source), lang, source)
-    return judged.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(with_counts(docs, text, lang, source), fit(docs, text, lang, source))
+    return judged.where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
              source: str = "source") -> DataFrame:
-    """One row per document with its counts and verdict."""
+    """(doc_id, counts, base_failed, kept), one row per document: one pass over
+    the texts."""
     few = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
                       F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    counted = stored(with_counts(few).drop("text"))
-    return judge(counted, stored(thresholds(stored(sketches(counted)))))
+    counted = stored(with_counts(few).select(F.col("row.doc_id").alias("doc_id"), "lang", "source", "counts"))
+    judged = judge(counted, stored(thresholds(stored(sketches(counted)))))
+    return judged.select("doc_id", "counts", "base_failed", "kept")

@@ -29,9 +29,9 @@ def op3_mix_sources(spark, sf_dir):
 @query
 def op7_quality_rules(spark, sf_dir):
     judged = quality.verdicts(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *[F.col(f"_counts.{c}").alias(c) for c in (
+    return judged.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+        "base_failed", "kept")
 
 
 @query
