@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veritrail.llm import line_dedup, mixing, ngram_join, quality, secrets
+from veritrail.llm import line_dedup, mixing, ngram_join, quality, secret_scan
 
 from . import brute
 from .conftest import pairs
@@ -95,15 +95,15 @@ def test_ngram_join_near_copies(spark):
 
 
 def test_secrets_base(all_docs):
-    got = secrets.scan(all_docs, repository="doc_id", owner="source").select("doc_id", secrets.written("base")).collect()
+    got = secret_scan.scan(all_docs, repository="doc_id", owner="source").select("doc_id", secret_scan.written("base")).collect()
     assert key(tuple(r) for r in got) == key((i, brute.secrets(t)[1]) for i, t in pairs(all_docs))
 
 
 def test_secrets_ownership(spark):
     one, many = "abcDEF0123456789ghiJKLmno", "zzzXYZ9876543210abcABCdef"
     rows = [(1, f"k {one}", "s1"), (2, f"k {one} {many}", "s1"), (3, f"q {many} é", "s2"), (4, None, None)]
-    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    got = {r[0]: (r[1], r[2]) for r in got.select("doc_id", secrets.written("spans"), "n_examples").collect()}
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r[0]: (r[1], r[2]) for r in got.select("doc_id", secret_scan.written("spans"), "n_examples").collect()}
     assert got == {1: ("live:2:27", 0), 2: ("live:2:27", 1), 3: ("", 1), 4: ("", 0)}
 
 
@@ -140,7 +140,7 @@ def test_mixing_emits_what_it_plans(all_docs):
 @pytest.mark.parametrize("call", [
     quality.keep, line_dedup.dedup, ngram_join.keep_one, mixing.mix,
     lambda d: quality.verdicts(d), lambda d: line_dedup.digests(d), lambda d: ngram_join.classes(d),
-    lambda d: secrets.scan(d), lambda d: mixing.plan(d)])
+    lambda d: secret_scan.scan(d), lambda d: mixing.plan(d)])
 def test_empty_and_clashing_tables(call, clashing):
     assert call(clashing.where("false")).count() == 0
     assert call(clashing).count() > 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality, secrets
+from . import grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_embedding_near_dedup(spark, sf_dir):
+    return grid_join.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_mix_sources(spark, sf_dir):
     planned = mixing.plan(table(spark, sf_dir, "documents"))
@@ -26,6 +31,16 @@ def op3_mix_sources(spark, sf_dir):
                           (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op5_pack_sequences(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_files(spark, sf_dir):
+    return token_files.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     judged = quality.verdicts(table(spark, sf_dir, "documents"))
@@ -46,11 +61,11 @@ def op9_ngram_join(spark, sf_dir):
 
 @query
 def op10_secret_scan(spark, sf_dir):
-    scanned = secrets.scan(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{secrets.KINDS[k]}")
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{secret_scan.KINDS[k]}")
              for k in range(3)]
-    return scanned.select("doc_id", *count, F.sha2(secrets.written("base"), 256).alias("base_sha256"),
-                          secrets.written("spans").alias("spans"), "n_examples")
+    return scanned.select("doc_id", *count, F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+                          secret_scan.written("spans").alias("spans"), "n_examples")
 
 
 ORACLES: dict[str, str] = {}
