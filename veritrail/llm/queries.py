@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files
+from . import grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_embedding_near_dedup(spark, sf_dir):
     return grid_join.near_copies(table(spark, sf_dir, "embeddings"))
