@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_files, toxicity
+from . import (grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup,
+               token_files, toxicity)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,11 @@ def op3_mix_sources(spark, sf_dir):
                           (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_pack_sequences(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
