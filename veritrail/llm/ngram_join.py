@@ -148,15 +148,12 @@ def _fits(a: str, b: str, percent: int) -> Column:
         (100 + percent) * room >= percent * (size(a) + size(b)))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, from the texts. The texts concerned
-    are picked out once, then joined to the pairs."""
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, from the picked texts."""
     pairs = stored(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(rows.join(ids, "doc_id", "left_semi"))
     full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    kind = dict(rows.dtypes)["doc_id"]
+    kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +167,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
     return stored(full.mapInArrow(run, f"a {kind}, b {kind}").distinct())
 
 
+def _may_link(entries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Sets that have a bucket neighbour of compatible size, with their groups.
+    In the order of sizes, if the next set is too large, all further ones are."""
+    by_size = W.partitionBy("token").orderBy("size", "set_id")
+    near = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (
+        100 * F.col("size") >= percent * F.lead("size").over(by_size))
+    leads = entries.withColumn("near", near).where("near").select("set_id").distinct()
+    return leads.union(members.select("set_id")).union(
+        members.join(leads.withColumnRenamed("set_id", "lead"), "lead").select("set_id")).distinct()
+
+
 def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id",
             text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs."""
@@ -193,6 +201,11 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "
     entries = stored(tokens.withColumn("least", F.min("set_id").over(bucket)).withColumn(
         "most", F.max("set_id").over(bucket)).where("least < most").select("token", "set_id", "size", "at"))
 
+    # The texts that verification may need are picked out once. The ids grow with
+    # the corpus, so this is a shuffle join at any size.
+    ids = _may_link(entries, members, percent).withColumnRenamed("set_id", "doc_id")
+    texts = stored(rows.join(ids.hint("merge"), "doc_id", "left_semi"))
+
     # First round: each lead with one compatible partner of its buckets, the
     # least of its size octave; each member of a group with the lead.
     entry = F.struct("set_id", "size", "at")
@@ -203,7 +216,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "
     star = star.groupBy(F.col("x.set_id").alias("b"), F.col("y.set_id").alias("a")).agg(F.count(F.lit(1)).alias("hits"))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
     inside = members.where("lead < set_id").select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
-    links = _verified(star.union(inside), rows, n, percent)
+    links = _verified(star.union(inside), texts, n, percent)
 
     # Second round: groups are expanded, and in every bucket each set outside
     # the bucket's largest class meets all sets of other classes.
@@ -222,7 +235,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "
     pairs = outside.join(mixed.select("token", whole.alias("y")), "token").where(
         (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)).select(
         F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
-    links = links.union(_verified(pairs, rows, n, percent))
+    links = links.union(_verified(pairs, texts, n, percent))
     final = connected_components(links, "a", "b")
     of_set = distinct.join(final, F.col("set_id") == F.col("node"), "left").select(
         F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.coalesce("component", "set_id").alias("component_id"))
