@@ -14,7 +14,9 @@ from . import brute
 from .conftest import pairs
 
 ODD = ["", " a", "  a", "a  b", "a \n b", "\n\n x", "é    b", "don't  I'll", "x" * 500 + " y   z", "a <|endoftext|> b",
-       "a\x1c b", "　 b c", "tab\t x", " ", "   ", "a ", "a b ", "x\n y", "word. Word, word! (word)"]
+       "a\x1c b", "　 b c", "tab\t x", " ", "   ", "a ", "a b ", "x\n y", "word. Word, word! (word)", "a\xa0 b", "a\x85 b",
+       "à b é c. ñ, 1. 2, .. ,, a.. b,", "ª º. ſ, ǆ", "\n", "a\n", "\na", "a\n\nb", "a\n b\nc", "x.\ny,\nz\n",
+       "a\n\xa0b", "é\nÉa\n¿b", "a\r\nb"]
 
 
 def key(rows):
@@ -77,12 +79,13 @@ def encoder():
 def test_encoder_equals_the_library(encoder, small_docs):
     texts = ODD + [t or "" for _, t in pairs(small_docs)]
     want = [np.array(e.ids, "<u4").tobytes() for e in encoder._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [t.encode() for t in texts]
     assert encoder.encode(texts) == want
     assert encoder.encode(texts[::-1]) == want[::-1]
 
 
 def expected(encoder, rows, end):
-    return [(i, encoder.encode([t or ""])[0] + np.array([end], "<u4").tobytes()) for i, t in rows]
+    return [(i, encoder.encode([(t or "").encode()])[0] + np.array([end], "<u4").tobytes()) for i, t in rows]
 
 
 def test_packing(encoder, all_docs):

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, stored
-from .tokens import Encoder
+from .common import as_bytes, rows_of, stored
+from .tokens import encoder
 
 CAPACITY = 2048
 PART = 512
@@ -51,12 +51,12 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        tokens = encoder(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 1024):
+                some = batch.slice(low, 1024)
                 found = []
-                for i, ids in enumerate(encoder.encode([t or "" for t in some.column(1).to_pylist()])):
+                for i, ids in enumerate(tokens.encode(as_bytes(some.column(1)))):
                     ids += end
                     n = len(ids) // 4
                     for s, k in cut(n, capacity, part):

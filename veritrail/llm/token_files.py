@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import broadcast_checked
-from .common import rows_of, shared_folder, stored
-from .tokens import Encoder
+from .common import as_bytes, rows_of, shared_folder, stored
+from .tokens import encoder
 
 END_ID = 2
 #: Bytes of ids after which a file is closed (a longer document has its own).
@@ -94,16 +94,16 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        tokens = encoder(tokenizer)
         ids, documents, size = [], [], 0
 
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([build_file(ids, documents, width)], pa.binary())], ["file"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                found = encoder.encode([t or "" for t in some.column(1).to_pylist()])
+            for low in range(0, batch.num_rows, 1024):
+                some = batch.slice(low, 1024)
+                found = tokens.encode(as_bytes(some.column(1)))
                 for name, own in zip(some.column(0).to_pylist(), found, strict=True):
                     own = np.frombuffer(own + end, "<u4").astype(f"<u{width}").tobytes()
                     if ids and size + len(own) > file_bytes:
