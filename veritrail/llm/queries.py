@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import (grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup,
                token_files, toxicity)
 from .common import table
+from .oracle import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +80,3 @@ def op10_secret_scan(spark, sf_dir):
              for k in range(3)]
     return scanned.select("doc_id", *count, F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
                           secret_scan.written("spans").alias("spans"), "n_examples")
-
-
-ORACLES: dict[str, str] = {}
