@@ -129,9 +129,16 @@ def cap_metadata_only(score: Column, claim: Column) -> Column:
         F.least(score, F.lit(METADATA_CAP)))
 
 
+def asserts(claim: Column) -> Column:
+    return text_or_empty(claim).rlike(f"(?iU){ASSERTION}")
+
+
+def negates(evidence: Column) -> Column:
+    return text_or_empty(evidence).rlike(f"(?iU){NEGATION}")
+
+
 def contradicts(claim: Column, evidence: Column) -> Column:
-    return (text_or_empty(claim).rlike(f"(?iU){ASSERTION}")
-            & text_or_empty(evidence).rlike(f"(?iU){NEGATION}"))
+    return asserts(claim) & negates(evidence)
 
 
 def profile_name(claim_type: Column) -> Column:

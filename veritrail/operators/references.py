@@ -14,15 +14,27 @@ from .keys import running_number
 DOI_IN_ENTRY = r"doi\.org/([^\s\)\]]+)"
 
 
+def code_point(number: Column) -> Column:
+    """The character with this code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
+
+
+def _numbered(rows: DataFrame, name: str, order: str, keys: list[str]) -> DataFrame:
+    """running_number over the keys and the unique position alone, joined back,
+    so that records do not travel through the range partitioning."""
+    light = running_number(rows.select(order, *keys), name, [order], keys)
+    return rows.join(light.select(order, name), order)
+
+
 def year_suffixes(papers: DataFrame, order: str = "ord") -> DataFrame:
     """`suffix` a, b, c, ... for papers that share first author and year, in
     list order; empty for the others."""
     keyed = (papers.withColumn("_who", cite.apa_first_author(F.col("authors")))
              .withColumn("_when", year_or(F.col("year"), "n.d.")))
     shared = keyed.groupBy("_who", "_when").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
-    numbered = running_number(keyed, "_nth", [order], ["_who", "_when"])
+    numbered = _numbered(keyed, "_nth", order, ["_who", "_when"])
     return (numbered.join(shared, ["_who", "_when"], "left")
-            .withColumn("suffix", F.when(F.col("_same").isNotNull(), F.char(F.col("_nth") + 96)).otherwise(F.lit("")))
+            .withColumn("suffix", F.when(F.col("_same").isNotNull(), code_point(F.col("_nth") + 96)).otherwise(F.lit("")))
             .drop("_who", "_when", "_nth", "_same"))
 
 
@@ -56,9 +68,10 @@ def style_entries(papers: DataFrame, style: str, order: str = "ord", start: int
     if style in cite.AUTHOR_YEAR_STYLES:
         keyed = papers.withColumn("_name", reference_name(F.col("authors"))).withColumn(
             "_year", F.coalesce(F.nullif("year", F.lit(0)), F.lit(9999)))
-        ranked = running_number(keyed, "position", ["_name", "_year", order]).drop("_name", "_year")
+        light = running_number(keyed.select("_name", "_year", order), "position", ["_name", "_year", order])
+        ranked = papers.join(light.select(order, "position"), order)
         return ranked.withColumn("entry", cite.citation_entry(PaperColumns(), style))
-    ranked = running_number(papers, "position", [order])
+    ranked = papers.join(running_number(papers.select(order), "position", [order]), order)
     number = F.col("position") + F.lit(start - 1) if style in cite.NUMBERED_STYLES else None
     return ranked.withColumn("entry", cite.citation_entry(PaperColumns(), style, number))
 
@@ -82,7 +95,7 @@ def bibtex_entries(papers: DataFrame, order: str = "ord", existing: DataFrame |
         df = (df.where("_doi IS NOT NULL").join(known, "_doi", "left_anti")
               .unionByName(df.where("_doi IS NULL")))
     df = df.withColumn("_base", bibtex_key(F.col("title"), F.col("year"), F.col("authors")))
-    numbered = running_number(df, "_nth", [order], ["_base"])
+    numbered = _numbered(df, "_nth", order, ["_base"])
     key = F.when(F.col("_nth") == 1, F.col("_base")).otherwise(
         F.concat_ws("_", "_base", F.col("_nth").cast("string")))
     return numbered.withColumn("bibtex_key", key).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import mappers as M
@@ -27,31 +28,40 @@ SOURCE_YEAR = {
     "crossref": M.crossref_year,
     "publish_or_perish": lambda: F.col("year"),
 }
-# Fixed value: Crossref is only asked for journal articles.
-CROSSREF_TYPE = "journal-article"
-_STRIDE = 1_000_000
+# The types Crossref and OpenAlex are asked for.
+TYPES = {"crossref": ("journal-article",),
+         "openalex": ("article", "conference-paper", "preprint", "posted-content")}
+# Positions of one source lie between two multiples of this.
+_STRIDE = 1 << 40
 
 
 def source_candidates(searches: DataFrame, name: str, responses: DataFrame, number: int,
-                      scope: Sequence[str], years: tuple[int, int] | None = None) -> DataFrame:
-    """Unified rows of one source. `responses` carry (query, rank, payload...);
-    the year and type filters sit on the response scan, the budget of a query
-    and the page limit of the source cut by rank."""
+                      scope: Sequence[str], years: tuple[int, int] | None = None,
+                      fields: Sequence[str] | None = None) -> DataFrame:
+    """Unified rows of one source. `responses` carry (query, rank, payload...).
+
+    Year, type and field filters are part of a request, so the budget of a query
+    and the page limit of the source count the rows that pass them. Only a
+    scholar page is cut first: there, scanned rows count."""
     rows = responses
-    if name == "crossref" and "type" in rows.columns:
-        rows = rows.where(F.col("type") == CROSSREF_TYPE)
-    if years and name == "google_scholar":
-        year = F.nullif(F.col("bib.pub_year").try_cast("int"), F.lit(0))
-        keep_year = F.coalesce(year >= years[0], F.lit(True))
-    elif years and name in SOURCE_YEAR:
+    if name in TYPES and "type" in rows.columns:
+        rows = rows.where(F.col("type").isin(*TYPES[name]))
+    if fields and name == "semantic_scholar" and "fieldsOfStudy" in rows.columns:
+        rows = rows.where(F.arrays_overlap("fieldsOfStudy", F.array(*map(F.lit, fields))))
+    if years and name in SOURCE_YEAR:
         rows = rows.where(SOURCE_YEAR[name]().between(*years))
-        keep_year = None
+    limit = F.col("budget")
+    if name in PAGE_LIMITS:
+        limit = F.least(limit, F.lit(PAGE_LIMITS[name]))
+    if name == "google_scholar":
+        place = F.col("rank")
     else:
-        keep_year = None
-    limit = F.least(F.col("budget"), F.lit(PAGE_LIMITS.get(name, _STRIDE)))
-    hits = rows.join(searches.select(*scope, "query", "budget"), "query").where(F.col("rank") < limit)
-    if keep_year is not None:
-        hits = hits.where(keep_year)
+        rows = rows.withColumn("_place", F.row_number().over(W.partitionBy("query").orderBy("rank")) - 1)
+        place = F.col("_place")
+    hits = rows.join(searches.select(*scope, "query", "budget"), "query").where(place < limit)
+    if years and name == "google_scholar":
+        year = F.nullif(F.col("bib.pub_year").try_cast("int"), F.lit(0))
+        hits = hits.where(F.coalesce(year >= years[0], F.lit(True)))
     return MAPPERS[name](hits.withColumn("ord", F.lit(number * _STRIDE).cast("bigint") + F.col("rank")),
                          keep=(*scope, "query", "ord"))
 

@@ -35,17 +35,26 @@ def _combine(in_evidence: Column, in_title: Column) -> Column:
         lambda s: F.struct(S.py_round(s, 2).alias("score"), S.support_level(s).alias("level"))))
 
 
+def gate_coverage(threshold: float = S.SUPPORT_THRESHOLD) -> float:
+    """Least coverage by the evidence of any pair over the gate, even when its
+    title holds all keywords. The gate compares the score rounded to two digits,
+    so the unrounded one may lie half a hundredth below the threshold."""
+    return (threshold - 0.005 - 0.25) / 0.75 - 1e-6
+
+
 def heuristic(claim: Column, title: Column, evidence: Column, level: Column,
-              claim_kw: Column, title_kw: Column, evidence_kw: Column) -> Column:
+              claim_kw: Column, title_kw: Column, evidence_kw: Column, negated: Column | None = None) -> Column:
     """{score, level, reason} from keyword coverage. The keyword arrays are
-    arguments, so a caller that already has them does not pay twice."""
+    arguments, so a caller that already has them does not pay twice; so is
+    `negated`, whether the evidence denies the claim."""
+    negated = S.contradicts(claim, evidence) if negated is None else negated
     bare = (evidence == "") & (F.coalesce(level, F.lit("METADATA_ONLY")) == "METADATA_ONLY")
     in_title = coverage(claim_kw, title_kw)
     scored = _combine(coverage(claim_kw, evidence_kw), in_title)
     return (F.when(bare, F.struct(
         S.py_round(in_title * F.lit(0.5), 2).alias("score"), F.lit("INSUFFICIENT_EVIDENCE").alias("level"),
         F.lit(METADATA_REASON).alias("reason")))
-        .when(S.contradicts(claim, evidence), F.struct(
+        .when(negated, F.struct(
             F.lit(0.10).alias("score"), F.lit("CONTRADICTORY").alias("level"), F.lit(NEGATED_REASON).alias("reason")))
         .otherwise(bind(scored, lambda s: F.struct(
             s["score"].alias("score"), s["level"].alias("level"), F.lit(HEURISTIC_REASON).alias("reason")))))
@@ -83,16 +92,19 @@ def score_support(pairs: DataFrame, claim: str = "claim_text", judged: DataFrame
 
     `judged` (claim_id, paper_id, content) holds answers of an external judge;
     pairs without a usable answer fall back to keyword coverage. Keyword arrays
-    already present as claim_kw / title_kw / evidence_kw are reused."""
+    already present as claim_kw / title_kw / evidence_kw are reused, and so are
+    the flags claim_asserts / evidence_negates."""
     df = pairs
     have = set(df.columns)
+    flags = {"claim_asserts", "evidence_negates"} <= have
+    negated = F.col("claim_asserts") & F.col("evidence_negates") if flags else None
     evidence = evidence_of()
     kw = lambda name, text: F.col(name) if name in have else keywords(text, SUPPORT_KEYWORDS)
     claim_text = text_or_empty(F.col(claim))
     df = (df.withColumn("_ck", kw("claim_kw", claim_text)).withColumn("_tk", kw("title_kw", F.col("title")))
           .withColumn("_ek", kw("evidence_kw", evidence)))
     fallback = heuristic(claim_text, F.col("title"), evidence, F.col("evidence_level"),
-                         F.col("_ck"), F.col("_tk"), F.col("_ek"))
+                         F.col("_ck"), F.col("_tk"), F.col("_ek"), negated)
     if judged is None:
         return _finish(df, claim_text, fallback, F.lit("heuristic")).drop("_ck", "_tk", "_ek")
     answers = (judged.withColumn("_j", parse_verdict(F.col("content"))).where(

@@ -436,29 +436,30 @@ def scored_pairs(spark, sf, min_coverage: float):
     claims = B.claims(spark, sf).withColumn("claim_kw", X.keywords(F.col("original_text"), 50))
     claims = extract.detect_citation_need(extract.classify_claims(claims))
     labels = B.table(spark, sf, "labels").select("doc_id", "quality")
-    # The keywords are read several times, so they are written once; the texts
-    # are joined last, for the pairs that are left.
+    # The keywords are read several times, so they are written once.
     papers = keyworded(spark, sf)
-    kw = cut_lineage(papers.select("doc_id", "evidence_kw", "title_kw"))
-    claims = broadcast_checked(cut_lineage(claims))
+    # Of a paper's texts, only two facts enter the pairs: whether there is any
+    # evidence, and whether it denies something.
+    light = papers.select(
+        "doc_id", "evidence_kw", "title_kw", "evidence_level", S.negates(F.col("evidence_text")).alias("evidence_negates"),
+        F.when(F.col("evidence_text") != "", F.lit("held")).otherwise(F.lit("")).alias("evidence_text"),
+        F.lit(None).cast("string").alias("abstract"), *[c for c in papers.columns if c not in (
+            "doc_id", "evidence_kw", "title_kw", "evidence_level", "evidence_text", "abstract")])
+    kw = cut_lineage(light)
+    claims = broadcast_checked(cut_lineage(claims.withColumn("claim_asserts", S.asserts(F.col("original_text")))))
     pairs = support.keyword_pairs(claims, kw.select("doc_id", "evidence_kw"), min_coverage)
     full = (pairs.join(claims.withColumnRenamed("original_text", "claim_text"), "claim_id")
-            .join(kw, "doc_id").join(papers.drop("evidence_kw", "title_kw"), "doc_id").join(labels, "doc_id", "left"))
+            .join(kw, "doc_id").join(labels, "doc_id", "left"))
     scored = support.score_support(full.drop("support_score"))
     return (scored.withColumn("verification_status", F.when(F.col("quality") == 0, F.lit("UNVERIFIED")).otherwise(F.lit("VERIFIED")))
             .withColumn("tier_score", F.lit(0.4)).withColumn("recency_score", S.recency(F.col("year"), YEAR)))
 
 
-# A pair over the gate holds the claim's keywords to (threshold - .25) / .75 at
-# least, even when its title holds all of them.
-GATE_COVERAGE = (S.SUPPORT_THRESHOLD - 0.25) / 0.75
-
-
 @query
 def support_top1(spark, sf):
     """Best supported link of every claim, or none: claims x papers by rare
     keywords, coverage, gates, greedy choice."""
-    selected, _ = rank.rank_all(scored_pairs(spark, sf, GATE_COVERAGE), YEAR)
+    selected, _ = rank.rank_all(scored_pairs(spark, sf, support.gate_coverage()), YEAR)
     best = selected.where("pick = 1").select("claim_id", "doc_id", "support_score", "support_level", "composite_score")
     none = F.col("doc_id").isNull()
     return B.claims(spark, sf).select("claim_id").join(best, "claim_id", "left").select(
@@ -471,9 +472,8 @@ def support_top1(spark, sf):
 
 @query
 def gate_reasons(spark, sf):
-    """Pairs that may pass the gate, with the first gate that stops them."""
-    gated = rank.with_gate(scored_pairs(spark, sf, GATE_COVERAGE).where(
-        "support_score >= 0.6 OR support_level = 'CONTRADICTORY'"))
+    """Pairs whose score passes the gate, with the first gate that stops them."""
+    gated = rank.with_gate(scored_pairs(spark, sf, support.gate_coverage()).where("support_score >= 0.6"))
     return gated.select("claim_id", "doc_id", "support_score", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"))
 
 
@@ -511,7 +511,7 @@ def rejected_pairs(spark, sf):
 @query
 def claim_links(spark, sf):
     selected, _ = rank.rank_all(topic_pairs(spark, sf), YEAR)
-    return rank.claim_links(selected.where("pick = 1")).select(
+    return rank.claim_links(selected).select(
         "claim_id", "paper_id", "doi", "support_level", "selection_status", F.length("evidence_text").alias("evidence_chars"))
 
 

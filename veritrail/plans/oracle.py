@@ -12,7 +12,7 @@ from ..functions import claims as C
 from ..functions import scores as S
 from ..functions.text import STOPWORDS
 from . import bridge as B
-from .catalog import _TAILS, GATE_COVERAGE
+from .catalog import _TAILS
 
 _W = r"[^\p{L}\p{N}_]"
 
@@ -266,8 +266,7 @@ _LEVEL = f"CASE WHEN ev = '' THEN 'INSUFFICIENT_EVIDENCE' WHEN contra THEN 'CONT
 PAIRS = KEYWORDED + "," + keyword_ctes("ck", "benchmark", "item_id", "text", 50) + f""",
 ov AS (SELECT 'C' || lpad(item_id::VARCHAR, greatest(3, length(item_id::VARCHAR))::INT, '0') AS claim_id, b.text AS claim, kp.doc_id, ev, year, n_chars, title, quality,
     {coverage('ck.kw', 'evk')} AS a, {coverage('ck.kw', 'tik')} AS t, ({_contra('b.text', 'ev')}) AS contra, ck.kw AS ckw
-  FROM benchmark b JOIN ck ON ck.k = item_id, kp LEFT JOIN labels ON labels.doc_id = kp.doc_id
-  WHERE len(list_intersect(ck.kw, evk)) >= {GATE_COVERAGE!r} * len(ck.kw) - 1e-9),""" + SCORE_STEPS + f""",
+  FROM benchmark b JOIN ck ON ck.k = item_id, kp LEFT JOIN labels ON labels.doc_id = kp.doc_id),""" + SCORE_STEPS + f""",
 sc AS (SELECT *, {_SCORE} AS score, {_LEVEL} AS lvl, CASE WHEN quality = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS verdict,
     {_case_type('claim')} AS kind FROM low),
 gt AS (SELECT *, CASE WHEN score < 0.6 THEN 'below_threshold' WHEN verdict <> 'VERIFIED' THEN 'not_verified'
@@ -280,7 +279,7 @@ lg AS (SELECT pid, arg_max(verdict, ord) AS verdict FROM (
 fp AS (SELECT *, {PAPER_ID} AS pid FROM p WHERE doc_id % 3 = 0)"""
 
 REFS = STYLED + f""",
-fin AS (SELECT DISTINCT lower(left(title, 60)) AS frag FROM p WHERE doc_id % 3 = 0 AND title <> ''),
+fin AS (SELECT lower(left(title, 60)) AS frag FROM p WHERE doc_id % 3 = 0 AND title <> ''),
 ref AS (SELECT DISTINCT lower({APA_ENTRY}) AS body FROM q WHERE doc_id % 4 <> 1),
 gap AS (SELECT frag FROM fin WHERE NOT EXISTS (SELECT 1 FROM ref WHERE contains(body, frag))),
 own AS (SELECT DISTINCT doi FROM p WHERE doc_id % 3 = 0 AND doi IS NOT NULL)"""
@@ -373,7 +372,7 @@ ORACLE: dict[str, str] = {
     "support_scores": f"WITH {KEYWORDED}, c0 AS (SELECT doc_id, title || ' ' || reverse(lang) || ' improves reliability' AS claim FROM p)," + keyword_ctes("ck", "c0", "doc_id", "claim", 50)
     + f", ov AS (SELECT kp.doc_id, ev, {coverage('ck.kw', 'evk')} AS a, {coverage('ck.kw', 'tik')} AS t, {_contra('claim', 'ev')} AS contra FROM kp JOIN c0 USING (doc_id) LEFT JOIN ck ON ck.k = kp.doc_id),"
     + SCORE_STEPS + f" SELECT doc_id, {_SCORE} AS support_score, {_LEVEL} AS support_level, 'heuristic' AS scoring_method FROM low",
-    "gate_reasons": f"WITH {PAIRS} SELECT claim_id, doc_id, score AS support_score, reason AS reject_reason FROM gt WHERE score >= 0.6 OR lvl = 'CONTRADICTORY'",
+    "gate_reasons": f"WITH {PAIRS} SELECT claim_id, doc_id, score AS support_score, reason AS reject_reason FROM gt WHERE score >= 0.6",
     "support_top1": f"""WITH {PAIRS}, g AS (SELECT *, {authority('n_chars')} AS auth, {recency('year')} AS rec, {originality('year')} AS orig FROM gt WHERE reason = ''),
       h AS (SELECT *, {pyround('auth * 0.7::DOUBLE + 0.4::DOUBLE * 0.3::DOUBLE', 4)} AS mauth FROM g),
       c AS (SELECT *, {pyround("""CASE kind WHEN 'DEFINITION' THEN score * 0.5::DOUBLE + 0.4::DOUBLE * 0.0::DOUBLE + rec * 0.0::DOUBLE + orig * 0.3::DOUBLE + auth * 0.2::DOUBLE + mauth * 0.0::DOUBLE + 1.0::DOUBLE * 0.0::DOUBLE
@@ -388,7 +387,7 @@ ORACLE: dict[str, str] = {
     "greedy_selection": f"WITH {GREEDY} SELECT claim_id, doc_id, pick::INT AS pick, composite_score FROM sel",
     "topk_first_pick": f"WITH {GREEDY} SELECT claim_id, doc_id, composite_score FROM sel WHERE pick = 1",
     "rejected_pairs": f"WITH {GREEDY} SELECT t1.claim_id, coalesce(reason, 'outranked') AS reject_reason, count(*) AS n FROM t1 LEFT JOIN sel USING (claim_id, doc_id) WHERE pick IS NULL GROUP BY 1, 2",
-    "claim_links": f"WITH {GREEDY} SELECT t1.claim_id, {PAPER_ID} AS paper_id, doi, {level('support')} AS support_level, 'SELECTED' AS selection_status, least(1000, length(abstract))::INT AS evidence_chars FROM t1 JOIN sel USING (claim_id, doc_id) WHERE pick = 1",
+    "claim_links": f"WITH {GREEDY} SELECT t1.claim_id, {PAPER_ID} AS paper_id, doi, {level('support')} AS support_level, 'SELECTED' AS selection_status, least(1000, length(abstract))::INT AS evidence_chars FROM t1 JOIN sel USING (claim_id, doc_id)",
     "ieee_entries": f"""WITH {STYLED} SELECT doc_id, '[' || (doc_id + 1) || '] ' || concat_ws(' ', nullif({_series('fi', ', and ')}, '') || ',', '"' || title || ',"', concat_ws(', ', '*' || venue || '*', year::VARCHAR))
       || coalesce(', doi: ' || doi, '') || '.' AS entry FROM q""",
     "apa_entries": f"WITH {STYLED} SELECT doc_id, {APA_ENTRY} AS entry FROM q",
@@ -406,7 +405,7 @@ ORACLE: dict[str, str] = {
     "apa_markers": f"WITH {STYLED} SELECT doc_id, {APA_MARKER} AS marker, CASE na WHEN 0 THEN 'Unknown' WHEN 1 THEN la[1] WHEN 2 THEN la[1] || ' and ' || la[2] ELSE la[1] || ' et al.' END "
     "|| ' (' || coalesce(year::VARCHAR, 'n.d.') || ')' AS narrative FROM q",
     "year_suffixes": f"WITH {STYLED} SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY coalesce(la[1], 'Unknown'), year) > 1 THEN "
-    "CASE WHEN 96 + row_number() OVER (PARTITION BY coalesce(la[1], 'Unknown'), year ORDER BY doc_id) < 0 THEN 0 ELSE ((96 + row_number() OVER (PARTITION BY coalesce(la[1], 'Unknown'), year ORDER BY doc_id)) % 256)::INT END ELSE 0 END AS suffix_code FROM q",
+    "unicode(chr((96 + row_number() OVER (PARTITION BY coalesce(la[1], 'Unknown'), year ORDER BY doc_id))::INT))::INT ELSE 0 END AS suffix_code FROM q",
     "reference_list": f"WITH {STYLED} SELECT row_number() OVER (ORDER BY CASE WHEN contains(coalesce(authors[1], ''), ',') THEN lower(split_part(authors[1], ',', 1)) ELSE lower(coalesce(authors[1], '')) END, coalesce(year, 9999), doc_id) AS position, doc_id, {APA_ENTRY} AS entry FROM q",
     "citation_numbers": "WITH f AS (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id), n AS (SELECT user_id, row_number() OVER (ORDER BY e, user_id) AS c FROM f) "
     "SELECT event_id AS position, user_id AS paper_idx, c AS citation_number FROM events JOIN n USING (user_id)",
@@ -439,10 +438,11 @@ ORACLE: dict[str, str] = {
       e AS (SELECT *, list_filter(al, lambda x: NOT list_contains(base, x)) AS added,
         CASE WHEN len(kw) > 0 THEN list_concat(z, list_filter(al, lambda x: NOT list_contains(z, x))) ELSE z END AS syn FROM c)
       SELECT doc_id, array_to_string(list_concat(base, added)[1:8], '|') AS concepts, array_to_string(list_concat(syn, added)[1:8], '|') AS synonyms FROM e""",
-    "source_union": f"""WITH {PAPERS}, r AS (SELECT *, src = 'semantic_scholar' AS s2, row_number() OVER (PARTITION BY venue, src = 'semantic_scholar' ORDER BY doc_id) - 1 AS rank FROM p)
-      SELECT venue AS claim_id, rank + CASE WHEN s2 THEN 0 ELSE 1000000 END AS ord, title, year::INT AS year, CASE WHEN s2 THEN 'semantic_scholar' ELSE 'publish_or_perish' END AS source,
+    "source_union": f"""WITH {PAPERS}, r0 AS (SELECT *, src = 'semantic_scholar' AS s2, row_number() OVER (PARTITION BY venue, src = 'semantic_scholar' ORDER BY doc_id) - 1 AS rank FROM p),
+      r AS (SELECT *, row_number() OVER (PARTITION BY venue, s2 ORDER BY rank) AS passed FROM r0 WHERE year BETWEEN 2005 AND 2020)
+      SELECT venue AS claim_id, rank + CASE WHEN s2 THEN 0 ELSE 1099511627776 END AS ord, title, year::INT AS year, CASE WHEN s2 THEN 'semantic_scholar' ELSE 'publish_or_perish' END AS source,
         array_to_string(list_transform(authors, lambda a: CASE WHEN s2 THEN {_FLIP_ALL} ELSE {_FLIP} END), '|') AS authors, 'journal' AS venue_type, coalesce(doi, '') AS doi, CASE WHEN NOT s2 THEN '1' END AS pages, n_chars AS citation_count
-      FROM r WHERE rank < 10 AND year BETWEEN 2005 AND 2020 AND (s2 OR title <> '')""",
+      FROM r WHERE passed <= 10 AND (s2 OR title <> '')""",
     "entailment_review": f"WITH {KEYWORDED}, c0 AS (SELECT doc_id, concat_ws(' ', {headline('text')}, 'reliability accuracy', {headline('reverse(text)')}) AS claim FROM documents),"
     + keyword_ctes("ck", "c0", "doc_id", "claim", 50) + f""", o AS (SELECT doc_id, ev, {coverage('ck.kw', 'evk')} AS s FROM kp LEFT JOIN ck ON ck.k = doc_id),
       f AS (SELECT *, 'heuristic overlap ' || printf('%.2f', {pyround('s', 2)}) AS shown FROM o)

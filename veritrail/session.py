@@ -50,13 +50,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names. Only when no
-    folder is set (local tests) is one chosen here."""
+    """Reliable checkpoint in the folder the cluster names. One is chosen here
+    only in a single process (local tests); a cluster without one is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veritrail-ckpt-"))
     return df.checkpoint(eager=True)
