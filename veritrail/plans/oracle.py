@@ -289,6 +289,42 @@ _FLIP_ALL = rf"regexp_extract(a, '(\S+)$', 1) || ', ' || regexp_replace(a, '\s+\
 
 VENUES = "['Oncotarget', 'Nature', 'Proc. of ICML', 'machine letters', '学报', '', 'Plos One', 'Journal X']"
 
+CONCEPTS = (TAILED + "," + keyword_ctes("kw", "tc", "doc_id", "original_text", 6) + f""",
+      m AS (SELECT doc_id, coalesce(kw, []) AS kw,
+        CASE WHEN regexp_matches(original_text, '[一-鿿]') THEN list_transform(list_filter([{", ".join("{'zh': " + _text(k) + ", 'en': " + _text(v) + "}" for k, v in C.CHINESE_TERMS.items())}],
+          lambda e: contains(original_text, e.zh)), lambda e: e.en) ELSE [] END AS z,
+        flatten(list_transform(list_filter([{", ".join("{'p': " + _text(k) + ", 'a': " + _list(v) + "}" for k, v in C.SYNONYMS.items())}],
+          lambda e: contains(lower(original_text), e.p)), lambda e: e.a)) AS al FROM tc LEFT JOIN kw ON k = doc_id),
+      d AS (SELECT doc_id, kw, list_filter(z, lambda x, i: list_position(z, x) = i) AS z, list_filter(al, lambda x, i: list_position(al, x) = i) AS al FROM m),
+      c AS (SELECT *, list_concat(z, list_filter(kw, lambda x: NOT list_contains(z, x))) AS base FROM d),
+      e AS (SELECT *, list_filter(al, lambda x: NOT list_contains(base, x)) AS added,
+        CASE WHEN len(kw) > 0 THEN list_concat(z, list_filter(al, lambda x: NOT list_contains(z, x))) ELSE z END AS syn FROM c),
+      ce AS (SELECT doc_id, list_concat(base, added)[1:8] AS concepts, list_concat(syn, added)[1:8] AS synonyms FROM e)""")
+
+
+def _cut(text: str) -> str:
+    parts = rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda x: x <> '')"
+    return f"CASE WHEN len({parts}) <= {C.MAX_QUERY_WORDS} THEN {text} ELSE array_to_string(({parts})[1:{C.MAX_QUERY_WORDS}], ' ') END"
+
+
+# The queries of a claim: one concept is swapped for a synonym at its first
+# place between word boundaries.
+QUERIES = CONCEPTS + rf""",
+q0 AS (SELECT doc_id, {strip('original_text')} AS norm, concepts, synonyms, {_facet('population')} AS pop, {_case_type('original_text')} AS ctype,
+    {_case_need('original_text')} AS need FROM tc JOIN ce USING (doc_id)),
+q1 AS (SELECT *, list_filter(synonyms, lambda a: {n_words('a')} >= 2 AND NOT contains(lower(norm), lower(a))) AS fresh,
+    list_filter(concepts, lambda c: c <> '' AND contains(lower(norm), lower(c))) AS present, array_to_string(concepts[1:3], ' ') AS base FROM q0),
+q2 AS (SELECT *, list_filter(list_transform(present, lambda c: {{'c': c, 'a': list_filter(fresh, lambda a: lower(a) <> lower(c))[1]}}), lambda s: s.a IS NOT NULL)[1] AS swap FROM q1),
+q3 AS (SELECT doc_id, need, list_filter([
+    {{'type': 'precise', 'query': {_cut('norm')}}},
+    CASE WHEN len(concepts) > 0 AND array_to_string(concepts[1:6], ' ') <> '' THEN {{'type': 'broad', 'query': {_cut("array_to_string(concepts[1:6], ' ')")}}} END,
+    CASE WHEN len(concepts) > 0 AND len(synonyms) > 0 AND swap IS NOT NULL THEN {{'type': 'synonym', 'query': {_cut(
+        "regexp_replace(norm, '(?i)(^|' || " + _text(_W) + " || ')' || regexp_escape(swap.c) || '($|' || " + _text(_W) + " || ')', '" + r"\1' || swap.a || '\2" + "')")}}} END,
+    CASE WHEN len(concepts) > 0 THEN {{'type': 'domain', 'query': {_cut("CASE WHEN pop <> '' THEN base || ' ' || pop WHEN len(synonyms) > 0 THEN base || ' ' || synonyms[1] ELSE base END")}}} END,
+    {", ".join(f"CASE WHEN ctype = {_text(n)} THEN {{'type': {_text(k)}, 'query': {_cut('(norm || ' + _text(x) + ')')}}} END" for n, (k, x) in C.TYPE_QUERY_SUFFIX.items())}],
+    lambda q: q IS NOT NULL) AS made FROM q2),
+q4 AS (SELECT doc_id, need, list_filter(made, lambda q, i: len(list_filter(made[1:i - 1], lambda e: lower(e.query) = lower(q.query))) = 0) AS qs FROM q3)"""
+
 ORACLE: dict[str, str] = {
     "keyword_top10": "WITH " + keyword_ctes("kw", "documents", "doc_id", "text", 10)
     + " SELECT doc_id, coalesce(array_to_string(kw, '|'), '') AS keywords FROM documents LEFT JOIN kw ON k = doc_id",
@@ -427,17 +463,9 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, coalesce(list_filter(regexp_extract_all(split_part(text, chr(10), 1), '[^.!?。！？；]*[.!?。！？；]["'')】」』”]*|[^.!?。！？；]+\z'), lambda y: {strip('y')} <> '')[1], '') AS f FROM documents)""",
     "latex_insertions": r"""SELECT doc_id, unnest([1, 2, 3, 4]) AS ord, unnest(['new1', 'new2', 'new1', 'old' || source]) AS key, unnest(['inserted', 'skip', 'skipped_existing', 'skipped_existing']) AS status,
       unnest(['', 'sentence out of range', 'key already cited', 'key already cited']) AS reason FROM documents""",
-    "claim_concepts": f"""WITH {TAILED},""" + keyword_ctes("kw", "tc", "doc_id", "original_text", 6) + f""",
-      m AS (SELECT doc_id, coalesce(kw, []) AS kw,
-        CASE WHEN regexp_matches(original_text, '[一-鿿]') THEN list_transform(list_filter([{", ".join("{'zh': " + _text(k) + ", 'en': " + _text(v) + "}" for k, v in C.CHINESE_TERMS.items())}],
-          lambda e: contains(original_text, e.zh)), lambda e: e.en) ELSE [] END AS z,
-        flatten(list_transform(list_filter([{", ".join("{'p': " + _text(k) + ", 'a': " + _list(v) + "}" for k, v in C.SYNONYMS.items())}],
-          lambda e: contains(lower(original_text), e.p)), lambda e: e.a)) AS al FROM tc LEFT JOIN kw ON k = doc_id),
-      d AS (SELECT doc_id, kw, list_filter(z, lambda x, i: list_position(z, x) = i) AS z, list_filter(al, lambda x, i: list_position(al, x) = i) AS al FROM m),
-      c AS (SELECT *, list_concat(z, list_filter(kw, lambda x: NOT list_contains(z, x))) AS base FROM d),
-      e AS (SELECT *, list_filter(al, lambda x: NOT list_contains(base, x)) AS added,
-        CASE WHEN len(kw) > 0 THEN list_concat(z, list_filter(al, lambda x: NOT list_contains(z, x))) ELSE z END AS syn FROM c)
-      SELECT doc_id, array_to_string(list_concat(base, added)[1:8], '|') AS concepts, array_to_string(list_concat(syn, added)[1:8], '|') AS synonyms FROM e""",
+    "claim_concepts": f"WITH {CONCEPTS} SELECT doc_id, array_to_string(concepts, '|') AS concepts, array_to_string(synonyms, '|') AS synonyms FROM ce",
+    "claim_queries": f"WITH {QUERIES} SELECT doc_id, (i - 1)::INT AS query_no, q.type AS type, q.query AS query FROM (SELECT doc_id, unnest(qs) AS q, generate_subscripts(qs, 1) AS i FROM q4)",
+    "search_budget": f"WITH {QUERIES} SELECT doc_id::VARCHAR AS claim_id, (i - 1)::INT AS query_no, q.type AS type, budget FROM (SELECT doc_id, greatest(1, 10 // len(qs))::INT AS budget, unnest(qs[1:4]) AS q, generate_subscripts(qs[1:4], 1) AS i FROM q4 WHERE need <> 'NOT_NEEDED') WHERE q.query <> ''",
     "source_union": f"""WITH {PAPERS}, r0 AS (SELECT *, src = 'semantic_scholar' AS s2, row_number() OVER (PARTITION BY venue, src = 'semantic_scholar' ORDER BY doc_id) - 1 AS rank FROM p),
       r AS (SELECT *, row_number() OVER (PARTITION BY venue, s2 ORDER BY rank) AS passed FROM r0 WHERE year BETWEEN 2005 AND 2020)
       SELECT venue AS claim_id, rank + CASE WHEN s2 THEN 0 ELSE 1099511627776 END AS ord, title, year::INT AS year, CASE WHEN s2 THEN 'semantic_scholar' ELSE 'publish_or_perish' END AS source,

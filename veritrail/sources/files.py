@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 from io import BytesIO
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -82,12 +83,17 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAGRAPHS = "path STRING, paragraph_id INT, style STRING, runs ARRAY<STRING>"
 
 
-def _docx_paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _docx_paragraphs(batches: Iterator[pd.DataFrame], skip_broken: bool = False) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(BytesIO(content)) as archive:
-                body = ET.fromstring(archive.read("word/document.xml")).find(f"{_WORD}body")
-                names = _style_names(archive)
+            try:
+                with zipfile.ZipFile(BytesIO(content)) as archive:
+                    body = ET.fromstring(archive.read("word/document.xml")).find(f"{_WORD}body")
+                    names = _style_names(archive)
+            except (zipfile.BadZipFile, KeyError, ET.ParseError):
+                if skip_broken:
+                    continue
+                raise
             rows = []
             for i, para in enumerate(body.findall(f"{_WORD}p")):
                 style = para.find(f"{_WORD}pPr/{_WORD}pStyle")
@@ -139,60 +145,51 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 # --- local papers --------------------------------------------------------------
 
-_TITLE_YEAR = "path STRING, title STRING, authors ARRAY<STRING>, year INT"
-_YEAR = re.compile(r"(?:19|20)\d{2}")
+#: Paragraphs of a Word file that are searched for a year, and the longest title.
+YEAR_PARAGRAPHS = 5
+TITLE_CHARS = 200
+
+
+def _words_capitalised(name):
+    """Every run of letters with a capital first and small ones after it."""
+    return F.array_join(F.transform(
+        F.regexp_extract_all(name, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda part: F.initcap(part)), "")
 
 
-def _file_titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Title, authors and year of local files. PDF text needs pymupdf; without
-    it (and for other formats) the file name is the title."""
+def _word_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, year) of the readable Word files below a folder: the first
+    paragraph with text, and the first year in the first few."""
     try:
-        import pymupdf
-    except ImportError:
-        pymupdf = None
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"]):
-            stem, ext = Path(path).stem, Path(path).suffix.lower()
-            title, authors, year = stem.replace("_", " ").replace("-", " ").title(), [], None
-            try:
-                if ext == ".docx":
-                    with zipfile.ZipFile(BytesIO(content)) as archive:
-                        root = ET.fromstring(archive.read("word/document.xml"))
-                    paras = ["".join(t.text or "" for t in p.iter(f"{_WORD}t")).strip()
-                             for p in root.iter(f"{_WORD}p")]
-                    paras = [p for p in paras if p]
-                    title = paras[0][:200] if paras else stem
-                    found = _YEAR.search(" ".join(paras[:5]))
-                    year = int(found.group()) if found else None
-                elif ext == ".pdf" and pymupdf is not None:
-                    with pymupdf.open(stream=content, filetype="pdf") as pdf:
-                        meta = pdf.metadata or {}
-                        page = pdf[0].get_text()[:2000] if pdf.page_count else ""
-                    lines = [line.strip() for line in page.splitlines() if line.strip()]
-                    title = meta.get("title") or (lines[0][:200] if lines else title)
-                    authors = [a.strip() for a in re.split("[;,]", meta.get("author") or "") if a.strip()]
-                    found = _YEAR.search(page)
-                    year = int(found.group()) if found else None
-            except (zipfile.BadZipFile, KeyError, ET.ParseError, RuntimeError, ValueError):
-                if ext == ".docx":
-                    title = stem
-            rows.append((path, title, authors, year))
-        out = pd.DataFrame(rows, columns=["path", "title", "authors", "year"])
-        out["year"] = out["year"].astype("Int64")
-        yield out
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "*.docx").load(path)
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" in str(err):
+            return _empty(spark, "path STRING, title STRING, year INT")
+        raise
+    paragraphs = files.select("path", "content").mapInPandas(partial(_docx_paragraphs, skip_broken=True), PARAGRAPHS)
+    text = strip(F.array_join("runs", ""))
+    filled = paragraphs.select("path", "paragraph_id", text.alias("text")).where("text <> ''").withColumn(
+        "nth", F.row_number().over(W.partitionBy("path").orderBy("paragraph_id"))).where(F.col("nth") <= YEAR_PARAGRAPHS)
+    heads = filled.groupBy("path").agg(
+        F.left(F.min_by("text", "nth"), F.lit(TITLE_CHARS)).alias("title"),
+        F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("texts"))
+    joined = F.array_join(F.transform("texts", lambda t: t["text"]), " ")
+    return heads.select("path", "title", F.regexp_extract(joined, r"(?:19|20)\d{2}", 0).try_cast("int").alias("year"))
 
 
 def scan_local_papers(spark: SparkSession, path: str) -> DataFrame:
-    """Unified paper rows for a folder of user-provided files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1))
-    found = files.where(ext.isin(*LOCAL_EXTENSIONS)).select("path", "content").mapInPandas(
-        _file_titles, _TITLE_YEAR)
+    """Unified paper rows for a folder of user-provided files. A Word file gives
+    its first paragraph as title, any other its name."""
+    ext, stem = (F.regexp_extract("path", r"([^/]*?)\.([^./]+)\z", k) for k in (2, 1))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        "path", F.lower(ext).alias("ext"), stem.alias("stem")).where(F.col("ext").isin(*LOCAL_EXTENSIONS))
+    named = _words_capitalised(F.replace(F.replace("stem", F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" ")))
+    found = listed.join(_word_heads(spark, path), "path", "left").withColumn(
+        "title", F.coalesce("title", F.when(F.col("ext") == "docx", F.col("stem")).otherwise(named)))
     from .mappers import unified
     local = F.regexp_replace("path", "^file:/*", "/")
     return unified(
-        found, source="local_file", layer="local", title=F.col("title"), authors=F.col("authors"),
+        found, source="local_file", layer="local", title=F.col("title"), authors=F.array().cast("array<string>"),
         year=F.col("year"), venue=F.lit(""), venue_type=F.lit("other"), url=local,
         abstract=F.lit(""), citation_count=F.lit(0).cast("bigint"), extra={"local_path": local})
 
