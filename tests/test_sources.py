@@ -1,5 +1,7 @@
 """Local files and the optional web sources."""
 
+import pytest
+
 from veritrail import schemas
 from veritrail.plans import cli
 from veritrail.sources import files, mappers
@@ -29,3 +31,46 @@ def test_every_command_has_a_parser():
     for name in cli.COMMANDS:
         required = [x for flag, default in cli.COMMANDS[name][1].items() if default is None for x in (flag, "x")]
         assert cli.parser().parse_args([name, "in", "-o", "out", *required]).command == name
+
+
+def test_record_forms_and_positions(spark, tmp_path):
+    import json
+    papers = [{"title": t} for t in ("b", "a", "b")]
+    forms = {
+        "lines.jsonl": "\n".join(map(json.dumps, papers)) + "\nnot json\n",
+        "lines.json": "\n".join(map(json.dumps, papers)),
+        "array.json": json.dumps(papers), "pretty.json": json.dumps(papers, indent=2),
+        "wrapped.json": json.dumps({"kept": papers}),
+        # One paper per line inside an object: the rejected one stays out.
+        "split.json": '{"kept":[\n' + ",\n".join(map(json.dumps, papers)) + '\n],"rejected":[\n{"title": "no"}\n]}',
+    }
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text)
+        got = files.read_records(spark, str(tmp_path / name), "title STRING, year INT", "kept", "at").orderBy("at").collect()
+        assert [(r["title"], r["at"]) for r in got] == [("b", 1), ("a", 2), ("b", 3)], name
+    assert files.read_records(spark, str(tmp_path / "none.json"), "title STRING", "kept", "at").count() == 0
+    (tmp_path / "same.jsonl").write_text('{"title": "a", "ord": 1}\n{"title": "b", "ord": 1}\n')
+    with pytest.raises(ValueError, match="same ord"):
+        cli._papers(spark, str(tmp_path / "same.jsonl"))
+
+
+def test_limits_count_what_passes(spark):
+    from veritrail.operators import retrieve
+    searches = spark.createDataFrame([("C1", "q", 2)], "claim_id string, query string, budget int")
+    hits = [("q", i, f"t{y}", y) for i, y in enumerate((1990, 1991, 2010, 2011, 2012))]
+    s2 = spark.createDataFrame(hits, "query string, rank int, title string, year int").selectExpr(
+        "*", "'v' venue", "'' abstract", "1L citationCount", "named_struct('DOI', string(null)) externalIds",
+        "array(named_struct('name', 'A B')) authors")
+    found = retrieve.source_candidates(searches, "semantic_scholar", s2, 0, ["claim_id"], (2000, 2020))
+    assert sorted(r["title"] for r in found.collect()) == ["t2010", "t2011"]
+    tagged = s2.selectExpr("*", "IF(year = 2011, array('Physics'), array('Law')) fieldsOfStudy")
+    found = retrieve.source_candidates(searches, "semantic_scholar", tagged, 0, ["claim_id"], None, ["Law"])
+    assert sorted(r["title"] for r in found.collect()) == ["t1990", "t1991"]
+
+
+def test_gate_cut_loses_no_pair():
+    from veritrail.operators import support
+    for k in range(1, 51):
+        for c in range(k + 1):
+            if round(min(1.0, c / k * 0.75 + 0.25), 2) >= 0.6:
+                assert c >= support.gate_coverage() * k

@@ -612,11 +612,11 @@ def chain_gaps(spark, sf):
 
 
 def marked_documents(spark, sf):
-    """Documents that cite: their own marker, a numbered one, and one that no
-    paper has."""
-    p = B.papers(spark, sf)
+    """Whole documents that cite at their end: their own marker, a numbered one,
+    and one that no paper has."""
+    p = B.papers(spark, sf).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
     return p.select("doc_id", F.concat(
-        F.col("title"), F.lit(" "), cite.apa_in_text(PaperColumns()), F.lit(" and ["), F.col("doc_id").cast("string"), F.lit("] or (Nobody"),
+        F.col("text"), F.lit(" "), cite.apa_in_text(PaperColumns()), F.lit(" and ["), F.col("doc_id").cast("string"), F.lit("] or (Nobody"),
         (F.col("doc_id") % 3).cast("string"), F.lit(", 1999).")).alias("text"))
 
 
@@ -662,9 +662,10 @@ def citation_spans(spark, sf):
 
 @query
 def sentence_offsets(spark, sf):
-    """Where a marker goes into every document's first paragraph."""
-    para = F.substring_index("text", "\n", 1)
-    return docs(spark, sf).select("doc_id", documents.sentence_insert_offset(para, F.lit(0)).alias("offset"))
+    """Where a marker goes, for every sentence of every paragraph."""
+    paragraphs = X.unnest(docs(spark, sf), F.split("text", "\n"), "doc_id", value="para", position="paragraph_id")
+    return X.unnest(paragraphs, documents.sentence_insert_offsets(F.col("para")), "doc_id", "paragraph_id",
+                    value="offset", position="sentence_id")
 
 
 def latex_documents(spark, sf):

@@ -22,9 +22,14 @@ STAGED = schemas.PAPERS + """, paper_id STRING, ord BIGINT, claim_id STRING, cla
 
 
 def _papers(spark: SparkSession, path: str, *envelopes: str) -> DataFrame:
-    """Papers with `ord`: the given position, else a content order."""
-    df = files.read_records(spark, path, STAGED, (envelopes or ("papers",))[0])
-    return df.withColumn("ord", F.coalesce("ord", F.xxhash64("doi", "title", "year", "source")))
+    """Papers with `ord`: the given positions if every row has one, else the
+    places in the input."""
+    df = files.read_records(spark, path, STAGED, (envelopes or ("papers",))[0], "_place")
+    if df.where("ord IS NULL").limit(1).count():
+        df = df.withColumn("ord", F.col("_place"))
+    elif df.groupBy("ord").count().where("count > 1").limit(1).count():
+        raise ValueError(f"{path}: the same ord stands at several papers")
+    return df.drop("_place")
 
 
 def _out(df: DataFrame, path: str) -> None:

@@ -459,8 +459,8 @@ ORACLE: dict[str, str] = {
     "reference_gaps": f"""WITH {REFS} SELECT 'WEAK' AS level, 'reference_entry' AS "check", '''' || left(frag, 40) || '...'' missing from reference list' AS detail FROM gap""",
     "audit_fold": f"""WITH {REFS}, o AS (SELECT DISTINCT doi FROM p WHERE doi IS NOT NULL AND doc_id % 4 <> 1 AND doi NOT IN (SELECT doi FROM own))
       SELECT CASE WHEN f > 0 THEN 'FAIL' WHEN w > 0 THEN 'WEAK' ELSE 'PASS' END AS overall, f AS fails, w AS weak FROM (SELECT (SELECT count(*) FROM o) AS f, (SELECT count(*) FROM gap) AS w)""",
-    "sentence_offsets": rf"""SELECT doc_id, CASE WHEN f <> '' THEN (length(f) - length(regexp_extract({strip('f')}, '[.!?]*$', 0)))::INT END AS "offset" FROM (
-      SELECT doc_id, coalesce(list_filter(regexp_extract_all(split_part(text, chr(10), 1), '[^.!?。！？；]*[.!?。！？；]["'')】」』”]*|[^.!?。！？；]+\z'), lambda y: {strip('y')} <> '')[1], '') AS f FROM documents)""",
+    "sentence_offsets": f"""WITH {CLAIMS} SELECT doc_id, pid::INT AS paragraph_id, (row_number() OVER (PARTITION BY doc_id, pid ORDER BY sid) - 1)::INT AS sentence_id,
+      (fin - length(regexp_extract(sent, '[.!?。！？]*$', 0)))::INT AS "offset" FROM sp WHERE sent <> ''""",
     "latex_insertions": r"""SELECT doc_id, unnest([1, 2, 3, 4]) AS ord, unnest(['new1', 'new2', 'new1', 'old' || source]) AS key, unnest(['inserted', 'skip', 'skipped_existing', 'skipped_existing']) AS status,
       unnest(['', 'sentence out of range', 'key already cited', 'key already cited']) AS reason FROM documents""",
     "claim_concepts": f"WITH {CONCEPTS} SELECT doc_id, array_to_string(concepts, '|') AS concepts, array_to_string(synonyms, '|') AS synonyms FROM ce",
@@ -478,9 +478,10 @@ ORACLE: dict[str, str] = {
         CASE WHEN length({strip('ev')}) < 40 THEN 'no usable evidence text to review' WHEN s >= 0.3 THEN shown WHEN s >= 0.15 THEN shown || ' — weak topical link' ELSE shown || ' — no substantive link' END AS entailment_reason,
         'heuristic' AS review_method FROM f""",
     "latex_texts": rf"""SELECT doc_id, regexp_replace(chr(10) || ' ' || chr(10) || regexp_replace(replace(replace(text, '%', ''), '\', ''), '\s+', ' ', 'g') || chr(10) || '  Known  . More text.' || chr(10), '\s+', ' ', 'g') AS body FROM documents""",
-    "citation_spans": f"""WITH {STYLED}, m AS (SELECT doc_id, title, {APA_MARKER} AS own, '[' || doc_id || ']' AS num, '(Nobody' || (doc_id % 3) || ', 1999)' AS nob, year IS NOT NULL AS dated FROM q),
-      s AS (SELECT doc_id, length(title) + 1 AS start, own AS marker FROM m WHERE dated
-        UNION ALL SELECT doc_id, length(title) + 1 + length(own) + 5, num FROM m
-        UNION ALL SELECT doc_id, length(title) + 1 + length(own) + 5 + length(num) + 4, nob FROM m)
+    "citation_spans": f"""WITH {STYLED}, m AS (SELECT doc_id, length(t.text) AS n, {APA_MARKER} AS own, '[' || doc_id || ']' AS num, '(Nobody' || (doc_id % 3) || ', 1999)' AS nob, year IS NOT NULL AS dated
+        FROM q JOIN (SELECT doc_id, text FROM documents) t USING (doc_id)),
+      s AS (SELECT doc_id, n + 1 AS start, own AS marker FROM m WHERE dated
+        UNION ALL SELECT doc_id, n + 1 + length(own) + 5, num FROM m
+        UNION ALL SELECT doc_id, n + 1 + length(own) + 5 + length(num) + 4, nob FROM m)
       SELECT doc_id, start::INT AS start, (start + length(marker))::INT AS "end", marker FROM s""",
 }

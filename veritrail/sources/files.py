@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from io import BytesIO
+from operator import or_
 from pathlib import Path
 
 import pandas as pd
@@ -43,28 +45,44 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_records(spark: SparkSession, path: str, schema: str, envelope: str) -> DataFrame:
-    """Records in any accepted form: a .jsonl file, a JSON array, or an object
-    that holds the records under `envelope` (claims, kept, papers)."""
-    if path.endswith(".jsonl"):
-        return read_jsonl(spark, path, schema)
-    wrapped = f"{schema}, `{envelope}` ARRAY<STRUCT<{_struct_fields(schema)}>>"
+def _holds_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a file is JSON lines: its first line closes an object, and more
+    follows."""
+    head = spark.read.text(path).where("trim(value) <> ''").take(2)
     try:
-        raw = read_document(spark, path, wrapped).cache()
+        return len(head) == 2 and isinstance(json.loads(head[0]["value"]), dict)
+    except ValueError:
+        return False
+
+
+def read_records(spark: SparkSession, path: str, schema: str, envelope: str, position: str | None = None) -> DataFrame:
+    """Records in any accepted form: a .jsonl file, a JSON array, an object that
+    holds the records under `envelope` (claims, kept, papers), or JSON lines in
+    a .json file. `position` names a column for the place in the input."""
+    names = [f.name for f in _empty(spark, schema).schema.fields]
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+             F.monotonically_increasing_id().alias("_r")]
+    some = reduce(or_, [F.col(f"`{n}`").isNotNull() for n in names])
+    try:
+        if path.endswith(".jsonl") or _holds_lines(spark, path):
+            found = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).select(
+                "*", *place, F.lit(0).alias("_i")).where(some)
+        else:
+            wrapped = f"{schema}, `{envelope}` ARRAY<STRUCT<{_struct_fields(schema)}>>"
+            raw = read_document(spark, path, wrapped).select("*", *place)
+            own = F.struct(*[F.col(f"`{n}`") for n in names])
+            items = F.coalesce(F.col(envelope), F.array(own))
+            found = raw.select("_f", "_b", "_r", F.posexplode(items).alias("_i", "_item")).select(
+                *[F.col(f"_item.`{n}`").alias(n) for n in names], "_f", "_b", "_r", "_i").where(some)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in str(err):
-            return _empty(spark, schema)
+            return _empty(spark, schema + (f", `{position}` BIGINT" if position else ""))
         raise
-    names = [f.name for f in _empty(spark, schema).schema.fields]
-    inside = raw.where(F.col(envelope).isNotNull()).select(F.inline(F.col(envelope)))
-    plain = raw.where(F.col(envelope).isNull()).select(*[f"`{n}`" for n in names])
-    some = F.coalesce(*[F.col(f"`{n}`").isNotNull().cast("int") for n in names])
-    found = inside.unionByName(plain.where(some >= 0))
-    # A .json file that is really JSON lines shows only its first object to a
-    # document reader; the line reader sees them all.
-    lines = read_jsonl(spark, path, schema).where(
-        F.greatest(*[F.col(f"`{n}`").isNotNull().cast("int") for n in names]) == 1)
-    return lines if lines.limit(2).count() > 1 else found
+    if position is None:
+        return found.select(*[f"`{n}`" for n in names])
+    from ..operators.keys import running_number
+    numbered = running_number(found, position, ["_f", "_b", "_r", "_i"])
+    return numbered.select(*[f"`{n}`" for n in names], position)
 
 
 def _struct_fields(schema: str) -> str:
