@@ -49,7 +49,7 @@ SHALLOW = 32
 _SMALL = 256
 CHUNK_BYTES = 4 << 20
 #: Anchors per bucket aimed at.
-_PER_BUCKET = 1 << 20
+_PER_BUCKET = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -191,9 +191,11 @@ def repeats(data: bytes, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     words = _words(array)
     order = shallow_sort(words, starts)
     at = starts[order]
-    new = np.ones(len(at), bool)
-    if len(at) > 1:
-        new[1:] = np.any([words[at[1:] + d] != words[at[:-1] + d] for d in range(0, SHALLOW, 8)], axis=0)
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for d in range(0, SHALLOW, 8):
+        word = words[at + d]
+        new[1:] |= word[1:] != word[:-1]
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
     out = np.zeros(len(starts), bool)
@@ -351,8 +353,9 @@ def _each(chunks: DataFrame, answers: list[DataFrame], bits: int, schema: str, m
     return rows.mapInArrow(run, schema)
 
 
-def _row(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: [v] for k, v in columns.items()})
+def _rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows)
 
 
 _ANSWER = "chunk bigint, phase int, bucket bigint, answer binary"
@@ -366,8 +369,8 @@ def _answers(group: pa.Table, phase: int, answers: list[bytes]) -> pa.Table:
 def _send_anchors(chunks: DataFrame, bits: int) -> DataFrame:
     def make(number: int, c: Chunk):
         tails = c.tails(c.anchors)
-        for b, a, z in c.buckets(c.anchors):
-            yield _row(chunk=number, bucket=b, tails=tails[a:z].tobytes())
+        yield from _rows([{"chunk": number, "bucket": b, "tails": tails[a:z].tobytes()}
+                          for b, a, z in c.buckets(c.anchors)])
 
     sent = _each(chunks, [], bits, "chunk bigint, bucket bigint, tails binary", make)
 
@@ -391,10 +394,13 @@ def _send_runs(chunks: DataFrame, answers: list[DataFrame], bits: int) -> DataFr
         c.shared()
         anchors = c.runs.anchor[c.sample]
         tails, whole = c.tails(anchors), c.runs.whole[c.sample]
+        rows = []
         for b, a, z in c.buckets(anchors):
             ids, place = np.unique(c.class_id[a:z], return_inverse=True)
-            yield _row(chunk=number, bucket=b, tails=tails[a:z].tobytes(), whole=_six(whole[a:z]), ids=ids.tobytes(),
-                       place=place.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes())
+            rows.append({"chunk": number, "bucket": b, "tails": tails[a:z].tobytes(), "whole": _six(whole[a:z]),
+                         "ids": ids.tobytes(),
+                         "place": place.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()})
+        yield from _rows(rows)
 
     sent = _each(chunks, answers, bits,
                  "chunk bigint, bucket bigint, tails binary, whole binary, ids binary, place binary", make)
@@ -430,10 +436,12 @@ def _send_bytes(chunks: DataFrame, answers: list[DataFrame], bits: int) -> DataF
         runs = c.sample[c.asked]
         at = c.base[c.runs.doc[runs]] + c.runs.first[runs]
         size = c.runs.count[runs]
+        rows = []
         for b, a, z in c.buckets(c.runs.anchor[runs]):
             parts = [c.data[s: s + n + SPAN - 1] for s, n in zip(at[a:z].tolist(), size[a:z].tolist(), strict=True)]
-            yield _row(chunk=number, bucket=b, data=b"".join(parts), counts=size[a:z].astype(np.uint8).tobytes(),
-                       ids=c.class_id[c.asked[a:z]].tobytes())
+            rows.append({"chunk": number, "bucket": b, "data": b"".join(parts),
+                         "counts": size[a:z].astype(np.uint8).tobytes(), "ids": c.class_id[c.asked[a:z]].tobytes()})
+        yield from _rows(rows)
 
     sent = _each(chunks, answers, bits, "chunk bigint, bucket bigint, data binary, counts binary, ids binary", make)
 
