@@ -9,12 +9,11 @@ memory is bounded; results are those of encoding the text at once.
 from __future__ import annotations
 
 import os
-import sys
-import types
 
 import numpy as np
+import pandas as pd
 
-from .common import SPACE, Block, blocks
+from .common import SPACE, Block, blocks, held
 
 _SPACE_BYTE = "\u0120"  # how byte-level vocabularies write a space
 _REMEMBERED = 400_000
@@ -39,11 +38,8 @@ _BYTE_NAMES = _byte_names()
 
 def encoder(file: str) -> Encoder:
     """One encoder per worker process and file, so that tasks share what it
-    remembers. The task functions travel by value; the holder does not."""
-    holder = sys.modules.setdefault("veritrail_encoders", types.ModuleType("veritrail_encoders"))
-    if file not in holder.__dict__:
-        holder.__dict__[file] = Encoder(file)
-    return holder.__dict__[file]
+    remembers."""
+    return held(f"encoder {file}", lambda: Encoder(file))
 
 
 class Encoder:
@@ -105,9 +101,8 @@ class Encoder:
             ids = ids.tobytes()
             known.update((p, ids[a:b]) for p, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
         found = [known[p] for p in parts]
-        for p in parts:
-            if len(p) > _LONG:
-                known.pop(p, None)
+        for p in [p for p in parts if len(p) > _LONG]:
+            known.pop(p, None)
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -123,7 +118,9 @@ class Encoder:
         start = start[np.append(True, start[1:] != start[:-1])[: len(start)]]
         text = np.searchsorted(b.starts, start, "right") - 1
         end = np.minimum(np.append(start[1:], len(b.data)), b.ends[text])
-        _, place, which = np.unique(b.hashes(start, end), return_index=True, return_inverse=True)
+        which, some = pd.factorize(b.hashes(start, end))
+        place = np.empty(len(some), np.int64)
+        place[which[::-1]] = np.arange(len(which))[::-1]
         data = b.data.tobytes()
         distinct = self._learn([data[s:e] for s, e in zip(start[place].tolist(), end[place].tolist(), strict=True)])
         size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
