@@ -9,9 +9,10 @@ BASE**start and mixed; equal bytes give equal hashes wherever they stand.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,29 +84,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
+def held(name: str, make):
+    """A value kept once per process. Task functions travel by value; what is
+    kept here does not travel with them."""
+    holder = sys.modules.setdefault("veritrail_held", types.ModuleType("veritrail_held"))
+    if name not in holder.__dict__:
+        holder.__dict__[name] = make()
+    return holder.__dict__[name]
+
+
 def byte_table(lower: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+    def make() -> np.ndarray:
+        values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+        if lower:
+            values[65:91] = values[97:123]
+        return values
+
+    return held(f"bytes {lower}", make)
 
 
-class _Powers:
-    """BASE**i and BASE**-i for i below the longest block so far."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i below the next power of two."""
+    size = 1 << max(10, (n - 1).bit_length())
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    def make() -> tuple[np.ndarray, ...]:
+        factors = np.full((2, size), [[_BASE], [_BASE_INVERSE]], np.uint64)
+        factors[:, 0] = 1
+        return tuple(np.multiply.accumulate(factors, axis=1))
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(cls, name, np.multiply.accumulate(factors))
-        return cls.up, cls.down
+    return held(f"powers {size}", make)
 
 
 class Block:
@@ -117,7 +124,7 @@ class Block:
         self.starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
         self.ends = self.starts + lengths
         n = len(self.data) + 1
-        up, self._down = _Powers.of(n)
+        up, self._down = _powers(n)
         self._prefix = np.zeros(n, np.uint64)
         np.cumsum(byte_table(lower)[self.data] * up[: n - 1], out=self._prefix[1:])
 

@@ -31,10 +31,11 @@ WINDOW = 48
 STRIDE = 36
 WORD_BYTES = 16
 POSITIVE_DOCS = 1000
-NEGATIVE_DOCS = 2000
+NEGATIVE_DOCS = 2500
 DOC_WINDOWS = 8
 VOCABULARY = 20_000
-STEPS = 600
+STEPS = 500
+CLEAN_WEIGHT = 4.0
 HIDDEN = 8
 THRESHOLD = 0.7
 _BATCH = 64
@@ -172,6 +173,7 @@ class Network:
     def __init__(self, vocabulary: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.vocabulary = vocabulary
+        self.scale, self.shift = 1.0, 0.0  # from a text's highest logit to its score
         self.chars = Reader(HIDDEN, HIDDEN, rng)
         self.reader = Reader(3 * HIDDEN, HIDDEN, rng)
         self.free = {"bytes": rng.normal(0, 0.5, (256, HIDDEN)).astype(np.float32),
@@ -281,7 +283,6 @@ def train(texts: list[bytes], owner: np.ndarray, labels: np.ndarray, steps: int
     filled = np.flatnonzero(words.counts > 0)
     by_doc = np.split(filled, np.searchsorted(owner[filled], np.arange(1, len(labels))))
     usable = [k for k in range(len(labels)) if len(by_doc[k])]
-    balance = np.clip(np.sum(labels == 0) / max(1, np.sum(labels == 1)), 1, 20)
     first, second = ({k: np.zeros_like(v) for k, v in net.parameters().items()} for _ in range(2))
     done, best, next_choice = 0, None, steps // 4
     while done < steps and usable:
@@ -299,7 +300,7 @@ def train(texts: list[bytes], owner: np.ndarray, labels: np.ndarray, steps: int
         for i in range(0, len(chosen), _BATCH):
             some = chosen[i: i + _BATCH]
             y = labels[owner[some]].astype(np.float32)
-            g = net.learn(words, base[some], np.minimum(WINDOW, words.counts[some]), y, np.where(y == 1, balance, 1), rng)
+            g = net.learn(words, base[some], np.minimum(WINDOW, words.counts[some]), y, np.ones(len(y)), rng)
             done += 1
             rate = 0.01 if done < 0.75 * steps else 0.003
             for k, v in net.parameters().items():
@@ -308,9 +309,29 @@ def train(texts: list[bytes], owner: np.ndarray, labels: np.ndarray, steps: int
                 v -= rate * (first[k] / (1 - 0.9 ** done)) / (np.sqrt(second[k] / (1 - 0.999 ** done)) + 1e-8)
             if done >= steps:
                 break
+    if usable:
+        doc, found = net.scores(words)
+        highest = np.full(len(labels), -np.inf)
+        np.maximum.at(highest, owner[doc], found)
+        net.scale, net.shift = calibrate(highest[usable], labels[usable])
     return net
 
 
+def calibrate(logits: np.ndarray, labels: np.ndarray, weight: float = CLEAN_WEIGHT) -> tuple[float, float]:
+    """Scale and shift of a text's highest logit by logistic regression on the
+    sample. Clean texts weigh more: there are more of them outside the sample,
+    and whole texts have more windows to be wrong in."""
+    x = np.stack((logits, np.ones(len(logits))), axis=1)
+    w = np.where(labels == 1, 1.0, weight)
+    beta = np.array([1.0, 0.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (w * (p - labels)) + 1e-2 * (beta - [1.0, 0.0]) * len(labels)
+        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2) * len(labels)
+        beta = beta - np.linalg.solve(hessian, gradient)
+    return float(max(beta[0], 0.1)), float(beta[1])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -366,7 +387,7 @@ def score(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text: st
                 doc, logits = net.scores(Words(texts[i:j]), memory=memory)
                 best = np.full(j - i, -np.inf)
                 np.maximum.at(best, doc, logits)
-                out[i:j] = _sigmoid(best)
+                out[i:j] = np.where(np.isfinite(best), _sigmoid(net.scale * best + net.shift), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
