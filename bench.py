@@ -16,9 +16,9 @@ from veritrail.plans.catalog import CATALOG  # noqa: E402
 from veritrail.session import SETTINGS, build_session  # noqa: E402
 
 HEADLINE = (
-    "keyword_top10", "sentence_list", "claim_extraction", "claim_classes", "claim_queries",
+    "keyword_top10", "sentence_list", "claim_extraction", "claim_classes", "claim_queries", "retrieval",
     "paper_ids", "dedup_doi_merge", "dedup_papers", "verification", "evidence_sources",
-    "support_scores", "support_top1", "greedy_selection", "apa_entries", "bibtex_entries",
+    "support_scores", "support_top1", "gate_reasons", "greedy_selection", "apa_entries", "bibtex_entries",
     "reference_list", "year_suffixes", "citation_numbers", "latest_verdicts",
     "verdict_findings", "marker_findings", "reference_gaps", "latex_insertions",
 )
