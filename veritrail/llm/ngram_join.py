@@ -229,11 +229,19 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "
     every = entries.select("token", "at", "set_id").union(grown).union(own).join(classed, "set_id")
     main = every.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
         F.max_by("cls", F.struct("n", "cls")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    mixed = stored(every.join(main.where("classes > 1"), "token"))
-    whole = F.struct("set_id", "size", "at", "cls")
-    outside = mixed.where("cls <> main").select("token", whole.alias("x"))
-    pairs = outside.join(mixed.select("token", whole.alias("y")), "token").where(
-        (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)).select(
+    mixed = every.join(main.where("classes > 1"), "token")
+    # A pair is taken at the first shingle it shares in such a bucket, so each
+    # entry knows those before it.
+    shared = mixed.groupBy("set_id", "size", "cls").agg(
+        F.array_sort(F.collect_list(F.struct("at", "token", "main"))).alias("all"))
+    mixed = stored(shared.select("set_id", "size", "cls", F.posexplode("all").alias("i", "own"), "all").select(
+        F.col("own.token").alias("token"), (F.col("cls") != F.col("own.main")).alias("outside"), F.struct(
+            "set_id", "size", "cls", F.col("own.at").alias("at"),
+            F.slice(F.transform("all", lambda e: e["token"]), F.lit(1), F.col("i")).alias("before")).alias("entry")))
+    x = mixed.where("outside").select("token", F.col("entry").alias("x"))
+    pairs = x.join(mixed.select("token", F.col("entry").alias("y")), "token").where(
+        (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)
+        & ~F.arrays_overlap("x.before", "y.before")).select(
         F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
     links = links.union(_verified(pairs, texts, n, percent))
     final = connected_components(links, "a", "b")
