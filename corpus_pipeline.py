@@ -33,7 +33,7 @@ def _chars(docs: DataFrame) -> Column:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every class of near copies."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, first_only=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

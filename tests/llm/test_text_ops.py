@@ -90,7 +90,7 @@ def test_ngram_join_near_copies(spark):
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert key(map(tuple, ngram_join.classes(df).collect())) == key(brute.ngram(rows))
-    kept = {r["doc_id"] for r in ngram_join.keep_one(df).collect()}
+    kept = {r["doc_id"] for r in ngram_join.keep_one(df, first_only=True).collect()}
     assert kept == {c for _, _, c in brute.ngram(rows)}
 
 

@@ -178,9 +178,36 @@ def _may_link(entries: DataFrame, members: DataFrame, percent: int) -> DataFrame
         members.join(leads.withColumnRenamed("set_id", "lead"), "lead").select("set_id")).distinct()
 
 
+def _pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes, met in every bucket they share."""
+    mixed = stored(mixed)
+    whole = F.struct("set_id", "size", "at", "cls")
+    outside = mixed.where("cls <> main").select("token", whole.alias("x"))
+    return outside.join(mixed.select("token", whole.alias("y")), "token").where(
+        (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)).select(
+        F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+
+
+def _pairs_once(mixed: DataFrame, percent: int) -> DataFrame:
+    """The same pairs, met only in the first bucket they share: each entry knows
+    the shingles before it. Wider rows, but fewer of them in large groups."""
+    shared = mixed.groupBy("set_id", "size", "cls").agg(
+        F.array_sort(F.collect_list(F.struct("at", "token", "main"))).alias("all"))
+    entries = stored(shared.select("set_id", "size", "cls", F.posexplode("all").alias("i", "own"), "all").select(
+        F.col("own.token").alias("token"), (F.col("cls") != F.col("own.main")).alias("outside"), F.struct(
+            "set_id", "size", "cls", F.col("own.at").alias("at"),
+            F.slice(F.transform("all", lambda e: e["token"]), F.lit(1), F.col("i")).alias("before")).alias("entry")))
+    outside = entries.where("outside").select("token", F.col("entry").alias("x"))
+    return outside.join(entries.select("token", F.col("entry").alias("y")), "token").where(
+        (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)
+        & ~F.arrays_overlap("x.before", "y.before")).select(
+        F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+
+
 def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "doc_id",
-            text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs."""
+            text: str = "text", first_only: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs. first_only
+    chooses how pairs are met (see _pairs_once); the result is the same."""
     rows = rows_of(docs, {"doc_id": doc_id, "text": text})
     marked = stored(prefixes(rows, levels(frequencies(rows, n)), n, percent))
     rows = rows.where("doc_id IS NOT NULL")
@@ -230,19 +257,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, doc_id: str = "
     main = every.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
         F.max_by("cls", F.struct("n", "cls")).alias("main"), F.count(F.lit(1)).alias("classes"))
     mixed = every.join(main.where("classes > 1"), "token")
-    # A pair is taken at the first shingle it shares in such a bucket, so each
-    # entry knows those before it.
-    shared = mixed.groupBy("set_id", "size", "cls").agg(
-        F.array_sort(F.collect_list(F.struct("at", "token", "main"))).alias("all"))
-    mixed = stored(shared.select("set_id", "size", "cls", F.posexplode("all").alias("i", "own"), "all").select(
-        F.col("own.token").alias("token"), (F.col("cls") != F.col("own.main")).alias("outside"), F.struct(
-            "set_id", "size", "cls", F.col("own.at").alias("at"),
-            F.slice(F.transform("all", lambda e: e["token"]), F.lit(1), F.col("i")).alias("before")).alias("entry")))
-    x = mixed.where("outside").select("token", F.col("entry").alias("x"))
-    pairs = x.join(mixed.select("token", F.col("entry").alias("y")), "token").where(
-        (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)
-        & ~F.arrays_overlap("x.before", "y.before")).select(
-        F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+    pairs = (_pairs_once if first_only else _pairs)(mixed, percent)
     links = links.union(_verified(pairs, texts, n, percent))
     final = connected_components(links, "a", "b")
     of_set = distinct.join(final, F.col("set_id") == F.col("node"), "left").select(
