@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from veritrail.llm import line_dedup, mixing, ngram_join, packing, quality
 from veritrail.llm.common import stored, table
 
+#: Words of a shingle and least similarity, in percent, of near copies.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the adaptive quality rules."""
@@ -32,8 +36,9 @@ def _chars(docs: DataFrame) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every class of near copies."""
-    return ngram_join.keep_one(docs, first_only=True)
+    """The first document of every class of near copies: five words, 0.8. The
+    values of op9 are that query's alone."""
+    return ngram_join.keep_one(docs, n=NEAR_WORDS, percent=NEAR_PERCENT, first_only=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

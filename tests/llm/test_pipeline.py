@@ -59,3 +59,15 @@ def test_run_and_empty(spark, all_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_copies_are_of_five_words(spark, all_docs):
+    words = [f"w{i}" for i in range(95)]
+    copy = ["other" if i in (30, 60) else w for i, w in enumerate(words)]  # five words 0.80, four words 0.84
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, "another text altogether")]
+    near = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [len({c for _, _, c in brute.ngram(rows, *k)}) for k in ((4, 85), (5, 80))] == [3, 2]
+    assert sorted(i for i, _ in pairs(corpus_pipeline.near_duplicates(spark, near, SF))) == [1, 3]
+    got = corpus_pipeline.near_duplicates(spark, all_docs, SF)
+    want = brute.ngram(pairs(all_docs), 5, 80)
+    assert sorted((i for i, _ in pairs(got)), key=repr) == sorted((i for i, _, c in want if i == c), key=repr)
