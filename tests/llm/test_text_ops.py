@@ -29,6 +29,28 @@ def test_quality_keeps_clean_and_drops_outliers(spark):
     assert kept == set(range(400))
 
 
+def test_quality_fences_follow_the_group(spark):
+    """Two sources of different spread: each judges by its own. Stuttered words fail."""
+    import random
+    rng = random.Random(7)
+
+    def text(i, spread):
+        tail = 3 + rng.randint(-spread, spread)
+        words = ["ab" * rng.randrange(1, 4) + chr(97 + rng.randrange(26)) * tail for _ in range(300)]
+        return " ".join([*words, str(i)])
+
+    rows = [(i, text(i, 0), "en", "narrow") for i in range(300)] + [(i, text(i, 2), "en", "wide") for i in range(300, 600)]
+    longer = " ".join(f"abcdef{i:02}" for i in range(80))  # 8 letters, the others about 7
+    rows += [(1000, longer, "en", "narrow"), (1001, longer, "en", "wide")]
+    stutter = " ".join(w for i in range(60) for w in [f"abc{chr(97 + i % 26)}{i % 10}"] * 5)
+    rows += [(1002, stutter, "en", "wide")]
+    judged = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r["doc_id"]: (r["base_failed"], r["kept"], r["counts"]["n_doubled_words"]) for r in judged.collect()}
+    assert not any(base for base, _, _ in got.values())
+    assert {i for i, (_, kept, _) in got.items() if not kept} == {1000, 1002}
+    assert got[1002][2] == 240
+
+
 def test_sketch_quantiles_are_close_and_merge(spark):
     values = [(i, " ".join(["x" * (1 + i % 9)] * 25)[:-1] + str(i)) for i in range(500)]
     docs = spark.createDataFrame(values, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn(

@@ -1,12 +1,16 @@
 """Quality rules with adaptive thresholds.
 
-Base counts come from whole texts. The verdict compares four ratios with fences
+Base counts come from whole texts. The verdict compares five ratios with fences
 that the corpus sets itself: per language and source, a mergeable quantile
-sketch of each ratio (logarithmic buckets with counts, relative error 1 %) gives
-the quartiles, and a document fails outside quartile -/+ REACH * spread, where
-spread is the interquartile range but at least the ratio's floor. Sketches merge
-by adding counts, so groups with few documents use those of their language, or
-of the whole corpus.
+sketch of each ratio (logarithmic buckets with counts, relative error 0.25 %)
+gives the quartiles and the outer tenths, and a document fails outside quartile
+-/+ reach * spread. Spread is the interquartile range; a floor far below the
+usual one serves groups of ties. Reach follows the group's own tail, by how far
+its outer tenth lies from the quartile, within REACH: outliers, if fewer than a
+quarter, cannot carry the fence along. SLACK events are forgiven in every share,
+since one symbol is much in a text of twenty words. Sketches merge by adding
+counts, so groups with few documents use those of their language, or of the
+whole corpus.
 
 Defined cases: a null text has no words and fails; null languages or sources
 form groups of their own; repeated rows count as often as they occur; an empty
@@ -32,15 +36,20 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
-#: Spreads beyond the quartiles at which a document fails.
-REACH = 6.0
-#: Ratio: the least spread, and whether it may also be too low.
-RATIOS = {"word_length": (0.25, True), "symbol_share": (0.01, False), "upper_share": (0.05, False),
-          "dup_line_share": (0.1, False)}
+#: Least and greatest number of spreads beyond the quartile at which a document fails.
+REACH = (4.0, 10.0)
+#: Distances from quartile to outer tenth: an exponential tail leaves 1e-5 beyond.
+TAIL = 11.0
+#: Events forgiven in the numerator of a share.
+SLACK = 3
+#: Ratio: the spread of ties, and whether it may also be too low.
+RATIOS = {"word_length": (0.02, True), "symbol_share": (0.005, False), "upper_share": (0.0005, False),
+          "dup_line_share": (0.05, False), "doubled_word_share": (0.001, False)}
 #: Documents a (language, source) sketch needs; with fewer, wider groups decide.
 MIN_GROUP = 100
-GAMMA = 1.02
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
+GAMMA = 1.005
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper",
+           "n_doubled_words")
 
 
 def count_block(texts: list[bytes]) -> np.ndarray:
@@ -66,7 +75,11 @@ def count_block(texts: list[bytes]) -> np.ndarray:
     out[3] = np.bincount(line_doc, minlength=n)
     out[4] = out[3] - np.bincount(line_doc[first], minlength=n)
 
-    at, key = windows(b.hashes(start, end), doc, REPEAT_WINDOW)
+    words = b.hashes(start, end)
+    doubled = doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]
+    out[7] = np.bincount(doubled, minlength=n)
+
+    at, key = windows(words, doc, REPEAT_WINDOW)
     key = mix(key + doc[at].astype(np.uint64))
     ordered = np.sort(key)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -103,12 +116,13 @@ def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     return done.select(*[f.name for f in kept], F.struct(*_COUNTS).alias("counts"))
 
 
-def _ratios(counts: str = "counts") -> dict[str, Column]:
+def _ratios(counts: str = "counts") -> dict[str, tuple[Column, Column]]:
+    """Numerator and denominator of every ratio."""
     c = {k: F.col(f"{counts}.{k}") for k in _COUNTS}
-    chars = F.greatest(c["word_chars"], F.lit(1))
-    return {"word_length": c["word_chars"] / F.greatest(c["n_words"], F.lit(1)),
-            "symbol_share": c["n_symbols"] / chars, "upper_share": c["n_upper"] / chars,
-            "dup_line_share": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1))}
+    chars, lines, words = (F.greatest(c[k], F.lit(1)) for k in ("word_chars", "n_lines", "n_words"))
+    return {"word_length": (c["word_chars"], words), "symbol_share": (c["n_symbols"], chars),
+            "upper_share": (c["n_upper"], chars), "dup_line_share": (c["n_dup_lines"], lines),
+            "doubled_word_share": (c["n_doubled_words"], words)}
 
 
 def base_failed(counts: str = "counts") -> Column:
@@ -121,7 +135,7 @@ def sketches(counted: DataFrame) -> DataFrame:
     that fail the base rules do not shape the thresholds."""
     names = list(RATIOS)
     values = _ratios()
-    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("ratio"), values[r].alias("value"))
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("ratio"), (values[r][0] / values[r][1]).alias("value"))
                                   for i, r in enumerate(names)])).alias("e")
     rows = counted.where(~base_failed()).select("lang", "source", entries)
     bucket = F.when(F.col("e.value") > 0, F.ceil(F.ln("e.value") / F.lit(math.log(GAMMA)))).cast("int")
@@ -129,8 +143,12 @@ def sketches(counted: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ratio, docs, low, high) of merged sketches."""
+#: Quantiles that set a group's fences.
+_POINTS = {"tenth": 0.1, "low": 0.25, "high": 0.75, "ninth": 0.9}
+
+
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio, docs, tenth, low, high, ninth) of merged sketches."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "ratio")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()))).withColumn(
@@ -141,16 +159,16 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     def quantile(q: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), value))
 
-    return ranked.groupBy(*keys, "ratio").agg(F.first("docs").alias("docs"), quantile(0.25).alias("low"),
-                                              quantile(0.75).alias("high"))
+    return ranked.groupBy(*keys, "ratio").agg(F.first("docs").alias("docs"),
+                                              *[quantile(q).alias(c) for c, q in _POINTS.items()])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source) with low_<ratio> and high_<ratio>."""
-    fine, lang, whole = (_quartiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
+    fine, lang, whole = (_quantiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
     lang = lang.select(F.col("lang").alias("l"), F.col("ratio").alias("lr"),
-                       *[F.col(c).alias(f"l_{c}") for c in ("docs", "low", "high")])
-    whole = whole.select(F.col("ratio").alias("wr"), *[F.col(c).alias(f"w_{c}") for c in ("low", "high")])
+                       *[F.col(c).alias(f"l_{c}") for c in ("docs", *_POINTS)])
+    whole = whole.select(F.col("ratio").alias("wr"), *[F.col(c).alias(f"w_{c}") for c in _POINTS])
     joined = fine.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("lr"))).join(
         whole, F.col("ratio") == F.col("wr"))
 
@@ -158,13 +176,18 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         return F.when(F.col("docs") >= MIN_GROUP, F.col(c)).when(
             F.col("l_docs") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
 
-    fences = joined.select("lang", "source", "ratio", choose("low").alias("low"), choose("high").alias("high"))
+    fences = joined.select("lang", "source", "ratio", *[choose(c).alias(c) for c in _POINTS])
     columns = []
-    for i, (name, (floor, both)) in enumerate(RATIOS.items()):
-        spread = F.greatest(F.col("high") - F.col("low"), F.lit(floor))
-        low = F.col("low") - REACH * spread if both else F.lit(-1.0)
+    for i, (name, (ties, both)) in enumerate(RATIOS.items()):
+        spread = F.greatest(F.col("high") - F.col("low"), F.lit(ties))
+
+        def reach(tail: Column, spread: Column = spread) -> Column:
+            return F.least(F.greatest(TAIL * tail / spread, F.lit(REACH[0])), F.lit(REACH[1])) * spread
+
+        low = F.col("low") - reach(F.col("low") - F.col("tenth")) if both else F.lit(-1.0)
+        high = F.col("high") + reach(F.col("ninth") - F.col("high"))
         columns += [F.max(F.when(F.col("ratio") == i, low)).alias(f"low_{name}"),
-                    F.max(F.when(F.col("ratio") == i, F.col("high") + REACH * spread)).alias(f"high_{name}")]
+                    F.max(F.when(F.col("ratio") == i, high)).alias(f"high_{name}")]
     return fences.groupBy("lang", "source").agg(*columns)
 
 
@@ -175,8 +198,9 @@ def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     joined = counted.join(fences, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")),
                           "left")
     inside = F.lit(True)
-    for name, value in _ratios().items():
-        inside = inside & value.between(F.col(f"low_{name}"), F.col(f"high_{name}"))
+    for name, (upper, lower) in _ratios().items():
+        slack = 0 if RATIOS[name][1] else SLACK
+        inside = inside & (upper / lower >= F.col(f"low_{name}")) & ((upper - slack) / lower <= F.col(f"high_{name}"))
     return joined.select(*counted.columns, base_failed().alias("base_failed"),
                          (~base_failed() & F.coalesce(inside, F.lit(True))).alias("kept"))
 
