@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (grid_join, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup,
-               token_files, toxicity)
+from . import (conversation, grid_join, interleave, line_dedup, mixing, ngram_join, packing, quality, secret_scan,
+               suffix_dedup, token_align, token_files, toxicity)
 from .common import table
 from .oracle import ORACLES
 
@@ -80,3 +80,18 @@ def op10_secret_scan(spark, sf_dir):
              for k in range(3)]
     return scanned.select("doc_id", *count, F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
                           secret_scan.written("spans").alias("spans"), "n_examples")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return conversation.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_interleaved_shards(spark, sf_dir):
+    return interleave.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return token_align.linked(table(spark, sf_dir, "documents"))

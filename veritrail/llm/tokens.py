@@ -36,21 +36,28 @@ def _byte_names() -> dict[int, str]:
 _BYTE_NAMES = _byte_names()
 
 
-def encoder(file: str) -> Encoder:
+def byte_values() -> dict[str, int]:
+    """The byte behind every character that byte-level vocabularies use."""
+    return {_BYTE_NAMES.get(b, chr(b)): b for b in range(256)}
+
+
+def encoder(file: str, special: bool = True) -> Encoder:
     """One encoder per worker process and file, so that tasks share what it
     remembers."""
-    return held(f"encoder {file}", lambda: Encoder(file))
+    return held(f"encoder {file} {special}", lambda: Encoder(file, special))
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. A file name without folder is
-    looked up among the public tokenizers, on the executor that uses it."""
+    looked up among the public tokenizers, on the executor that uses it. The
+    string of a special token inside a text is that token, as the library has it,
+    or plain text if `special` is false."""
 
-    def __init__(self, file: str = "byte_bpe_50k.json"):
+    def __init__(self, file: str = "byte_bpe_50k.json", special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(file if os.sep in file else public_path(file))
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special
         vocabulary = self._tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self._written = [i.to_bytes(4, "little") for i in range(size)]
@@ -61,6 +68,9 @@ class Encoder:
         self._merge = self._tokenizer.model.tokenize
         self._parts: dict[bytes, bytes] = {}
 
+    def vocabulary(self) -> dict[str, int]:
+        return self._tokenizer.get_vocab()
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
