@@ -140,25 +140,41 @@ def sentences(text: Column) -> Column:
     return F.aggregate(raw, F.array().cast("array<string>"), fold)
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums up to every element of an array of integers: the array is added to
+    itself moved by 1, 2, 4, ... places, so that no array grows element by
+    element however long it is."""
+    moves = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.pow(F.lit(2), i).cast("int"))
+
+    def step(sums: Column, move: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0), move), F.slice(sums, 1, F.size(sums) - move))
+        return F.when(move < F.size(sums), F.zip_with(sums, moved, lambda x, y: x + y)).otherwise(sums)
+
+    return F.aggregate(moves, numbers, step)
+
+
+def paragraphs(text: Column) -> Column:
+    """Array of {id, start, text} of the lines that are not blank; `start` is the
+    line's character offset."""
+    def placed(lines: Column) -> Column:
+        ends = running_sums(F.transform(lines, lambda p: F.length(p) + 1))
+        return bind(ends, lambda e: F.transform(lines, lambda p, i: F.struct(
+            i.alias("id"), (F.get(e, i) - F.length(p) - 1).alias("start"), p.alias("text"))))
+
+    return F.filter(bind(F.split(text_or_empty(text), "\n"), placed), lambda p: strip(p["text"]) != "")
+
+
 def sentence_spans(text: Column) -> Column:
     """Array of {start, end, text}: every end mark closes a sentence together
     with the quotes and brackets behind it; `end` is exclusive."""
-    pieces = F.regexp_extract_all(text_or_empty(text), F.lit(SENTENCE), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        lead = F.length(piece) - F.length(F.regexp_replace(piece, f"(?U)^{SPACE}+", ""))
-        body = strip(piece)
-        span = F.struct(
-            (acc["at"] + lead).alias("start"), end.alias("end"), body.alias("text"))
-        return F.struct(
-            end.alias("at"),
-            F.when(body == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def placed(pieces: Column) -> Column:
+        ends = running_sums(F.transform(pieces, lambda p: F.length(p)))
+        return F.zip_with(pieces, ends, lambda piece, end: F.struct(
+            (end - F.length(F.regexp_replace(piece, f"(?U)^{SPACE}+", ""))).alias("start"), end.alias("end"),
+            strip(piece).alias("text")))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    pieces = F.regexp_extract_all(text_or_empty(text), F.lit(SENTENCE), F.lit(0))
+    return F.filter(bind(pieces, placed), lambda s: s["text"] != "")
 
 
 def unnest(df: DataFrame, array: Column | str, *keep: Column | str, value: str,
@@ -278,12 +294,114 @@ def _indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([indel_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+_POPULAR_FROM = 200  # length from which frequent characters are no anchors
+
+
+def _anchors(b: str) -> list:
+    """b with what cannot anchor a block replaced by something equal to nothing:
+    in long texts, characters that make up more than one in a hundred."""
+    if len(b) < _POPULAR_FROM:
+        return list(b)
+    often = {ch for ch in set(b) if b.count(ch) > len(b) // 100 + 1}
+    return [None if ch in often else ch for ch in b]
+
+
+def _automaton(part: list) -> tuple[list[dict], list[int], list[int], list[int]]:
+    """Suffix automaton of the runs between None: transitions, links, lengths and
+    first end of each state."""
+    steps, link, length, first = [{}], [-1], [0], [-1]
+
+    def added(size: int, end: int, transitions: dict, suffix: int) -> int:
+        steps.append(transitions)
+        length.append(size)
+        first.append(end)
+        link.append(suffix)
+        return len(steps) - 1
+
+    def split(p: int, q: int, ch: str) -> int:
+        """The state of the part of q that p leads to."""
+        clone = added(length[p] + 1, first[q], dict(steps[q]), link[q])
+        while p != -1 and steps[p].get(ch) == q:
+            steps[p][ch] = clone
+            p = link[p]
+        link[q] = clone
+        return clone
+
+    last = 0
+    for at, ch in enumerate(part):
+        if ch is None:
+            last = 0
+            continue
+        p = last
+        if ch in steps[p]:  # only at the start of a run that was seen before
+            q = steps[p][ch]
+            last = q if length[q] == length[p] + 1 else split(p, q, ch)
+            continue
+        last = added(length[p] + 1, at, {}, 0)
+        while p != -1 and ch not in steps[p]:
+            steps[p][ch] = last
+            p = link[p]
+        if p != -1:
+            q = steps[p][ch]
+            link[last] = q if length[q] == length[p] + 1 else split(p, q, ch)
+    return steps, link, length, first
+
+
+def _longest_block(a: str, part: list) -> tuple[int, int, int]:
+    """(start in a, start in part, length) of the longest common run; of equal
+    ones the first in a, then the first in part."""
+    steps, link, length, first = _automaton(part)
+    state = size = 0
+    best = (0, 0, 0)
+    for i, ch in enumerate(a):
+        while state and ch not in steps[state]:
+            state = link[state]
+            size = length[state]
+        if ch in steps[state]:
+            state = steps[state][ch]
+            size += 1
+        if size > best[2]:
+            best = (i - size + 1, first[state] - size + 1, size)
+    return best
+
+
+def block_ratio(a: str | None, b: str | None) -> float:
+    """Twice the characters in matching blocks over both lengths: the longest
+    common block, then the same on both sides of it."""
+    if not a or not b:
+        return 0.0
+    anchors, same, todo = _anchors(b), 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i, j, n = _longest_block(a[a0:a1], anchors[b0:b1])
+        i, j = i + a0, j + b0
+        if not n:
+            i, j = a0, b0
+        # Characters that are no anchors may still lengthen a block.
+        while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        while i + n < a1 and j + n < b1 and a[i + n] == b[j + n]:
+            n += 1
+        if n:
+            same += n
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return 2.0 * same / (len(a) + len(b))
+
+
+@F.pandas_udf(DoubleType())
+def _block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in pairs:
+        yield pd.Series([block_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
 def normalized_similarity(a: Column, b: Column) -> Column:
     """Similarity of two titles that are already normalised."""
     return _indel_ratio(a, b)
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """1 - insertions and deletions over the summed lengths, on normalised
-    titles; 0 when either is empty."""
-    return _indel_ratio(normalize_title(a), normalize_title(b))
+def title_similarity(a: Column, b: Column, method: str = "indel") -> Column:
+    """Similarity of normalised titles, 0 when either is empty: 1 - insertions and
+    deletions over the summed lengths ("indel"), or the share of characters in
+    matching blocks ("blocks")."""
+    ratio = {"indel": _indel_ratio, "blocks": _block_ratio}[method]
+    return ratio(normalize_title(a), normalize_title(b))

@@ -9,9 +9,17 @@ fields. It is done in three exact moves:
 2. similar title pairs come from an equi-join on short character pieces and
    only pairs over the threshold leave the join. Records outside every pair
    are finished;
-3. inside each connected component the records are replayed in order over
-   their matching columns only (never the abstracts), and the payload is
-   merged by the same aggregation as the DOI groups.
+3. the others are resolved by a fixpoint: from an assignment of records to
+   clusters follow the states every cluster passes through (windows over its
+   members), and from these the first cluster that agrees with each record at
+   its place in the order (an equi-join on title, first author and year, and a
+   minimum). A record depends on earlier ones only, so every round settles at
+   least the next record of each group of titles, in practice nearly all, and
+   the assignment that repeats itself is the sequential one.
+
+Only matching columns take part, never the abstracts; payloads are merged by the
+same aggregation as the DOI groups. Where records compete within small scopes
+(the candidates of one search), `bounded` replays every scope in one go instead.
 """
 
 from __future__ import annotations
@@ -20,13 +28,13 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import normalize_doi, paper_id_of
 from ..functions.text import indel_ratio, match_last_name, normalize_title, normalized_similarity, unnest
 from ..session import broadcast_checked, cut_lineage
 from ..sources.mappers import OTHER_PRIORITY, SOURCE_PRIORITY, source_priority
-from .components import connected_components
 from .merge import authors_quality, merge_records, year_quality
 
 # Fixed value: similarity from which two titles count as the same paper.
@@ -148,7 +156,105 @@ def similar_titles(nodes: DataFrame, scope: Sequence[str] = (),
     return pairs.where(normalized_similarity(F.col("ta"), F.col("tb")) >= DUPLICATE_SIMILARITY).select("a", "b")
 
 
+# --- the sequential order, in parallel --------------------------------------------
+
+_UNKNOWN_YEAR = 0
+_ANY_YEAR = -(1 << 30)
+
+
+def _history(members: DataFrame) -> DataFrame:
+    """Members with what absorbing them did to their cluster: `lead`, `pref` (the
+    rank of a member in the merged record) and the cluster's title, last name
+    and year behind them. A cluster's priority is that of its only source, or
+    the lowest once it has several."""
+    w = W.partitionBy("founder.row_key").orderBy("pos")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    first = lambda c: F.first(c).over(upto)
+    none = F.array().cast("array<string>")
+    nameless = (F.size(first("source_apis")) == 0) & (F.size(F.nth_value("source_apis", 2).over(before)) == 0)
+    sources = F.filter(F.array(first("source"), F.nth_value("source", 2).over(before)),
+                       lambda x: F.coalesce(x, F.lit("")) != "")
+    seen = F.flatten(F.collect_set("source_apis").over(before))
+    out = (members.withColumn("_no", F.row_number().over(w))
+           .withColumn("_union", F.array_distinct(F.concat(seen, F.when(nameless, sources).otherwise(none))))
+           .withColumn("_founder_source", first("source")))
+    own = F.when((F.col("_no") == 2) | (F.size("_union") == 0), source_priority(F.col("_founder_source"))).when(
+        F.size("_union") == 1, source_priority(F.get("_union", 0))).otherwise(F.lit(OTHER_PRIORITY))
+    out = out.withColumn("lead", (F.col("_no") > 1) & (source_priority(F.col("source")) < own))
+
+    def carried(value: str, quality: str) -> Column:
+        best = F.max(quality).over(before)
+        takes = (F.col("_no") == 1) | (F.col(quality) > best) | (F.col("lead") & (F.col(quality) == best))
+        return F.when(takes, F.col(value))
+
+    out = out.withColumn("_t", F.when((F.col("_no") == 1) | F.col("lead"), F.col("tkey"))).withColumn(
+        "_l", carried("last", "authors_quality")).withColumn("_y", carried("year", "year_quality"))
+    held = lambda c: F.last(c, ignorenulls=True).over(upto)
+    follows = (~F.col("lead") & (F.col("_no") > 1)).cast("int")
+    pref = F.when(F.col("lead"), -F.sum(F.col("lead").cast("int")).over(upto)).otherwise(F.sum(follows).over(upto))
+    return out.withColumns({"state_t": held("_t"), "state_l": held("_l"), "state_y": held("_y"), "pref": pref.cast("int")}).drop(
+        "_no", "_union", "_founder_source", "_t", "_l", "_y")
+
+
+def _versions(history: DataFrame) -> DataFrame:
+    """(tkey, last, year, founder, since, until): the states of every cluster and
+    the places in the order between which they hold, per key by which a record
+    may look for them. Of clusters that never changed only the first of a key
+    can be a first match, so one of them stays."""
+    w = W.partitionBy("founder.row_key").orderBy("pos")
+    changes = history.withColumn("_s", F.struct("state_t", "state_l", "state_y")).withColumn(
+        "_before", F.lag("_s").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("_s")))
+    spans = changes.select(
+        "founder", "state_t", "state_l", "state_y", F.col("pos").alias("since"), F.lead("pos").over(w).alias("until"))
+    names = F.when(F.col("state_l") == "", F.array(F.lit(""), F.lit(_ANY))).otherwise(F.array("state_l", F.lit(_ANY)))
+    keyed = spans.withColumn("last", F.explode(names)).withColumn("year", F.explode(F.array("state_y", F.lit(_ANY_YEAR)))).select(
+        F.col("state_t").alias("tkey"), "last", "year", "founder", "since", "until")
+    lasting = F.col("until").isNull() & (F.col("since") == F.col("founder.pos"))
+    still = keyed.where(lasting).groupBy("tkey", "last", "year").agg(F.min("founder").alias("founder")).select(
+        "tkey", "last", "year", "founder", F.col("founder.pos").alias("since"))
+    return keyed.where(~lasting).unionByName(still, allowMissingColumns=True)
+
+
+def _first_agreeing(rows: DataFrame, near: DataFrame, versions: DataFrame) -> DataFrame:
+    """(row_key, found): the first cluster whose state agrees with the record when
+    its turn comes."""
+    names = F.when(F.col("last") == "", F.array(F.lit(_ANY))).otherwise(F.array("last", F.lit("")))
+    years = F.when(F.col("year") == _UNKNOWN_YEAR, F.array(F.lit(_ANY_YEAR))).otherwise(
+        F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1, F.lit(_UNKNOWN_YEAR)))
+    probes = (rows.where("not has_doi").select("row_key", "pos", F.col("tkey").alias("mine"), names.alias("names"), years.alias("years"))
+              .join(near, "mine").withColumn("last", F.explode("names")).withColumn("year", F.explode("years"))
+              .select("row_key", "pos", F.col("theirs").alias("tkey"), "last", "year"))
+    met = probes.join(versions, ["tkey", "last", "year"]).where(
+        (F.col("since") < F.col("pos")) & (F.col("until").isNull() | (F.col("pos") <= F.col("until"))))
+    return met.groupBy("row_key").agg(F.min("founder").alias("found"))
+
+
+def resolve_first_match(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Members of clusters with two or more records, as (row_key, cluster, pref).
+
+    rows: row_key, pos, tkey, last, year, qualities, source, source_apis,
+    has_doi; near: (mine, theirs) pairs of equal or similar titles. Every round
+    is written, so a lost executor repeats one round at most."""
+    own = F.struct("pos", "row_key")
+    assigned = cut_lineage(rows.withColumn("founder", own))
+    moved = True
+    while moved:
+        found = _first_agreeing(rows, near, _versions(_history(assigned)))
+        ahead = assigned.join(found, "row_key", "left").withColumn("_next", F.coalesce("found", own))
+        ahead = cut_lineage(ahead.withColumn("_moved", F.col("_next.row_key") != F.col("founder.row_key")).drop("found"))
+        moved = ahead.where("_moved").limit(1).count() > 0
+        assigned = ahead.withColumn("founder", F.col("_next")).drop("_next", "_moved")
+    several = assigned.groupBy(F.col("founder.row_key").alias("_f")).count().where("count > 1").select("_f")
+    kept = assigned.join(several, F.col("founder.row_key") == F.col("_f"), "left_semi")
+    return _history(kept).select("row_key", F.col("founder.row_key").alias("cluster"), "pref")
+
+
+# --- small scopes -----------------------------------------------------------------
+
 _REPLAYED = "row_key STRING, cluster STRING, pref INT"
+#: A scope with more records than this is not replayed in one go.
+SCOPE_ROWS = 2_000
 
 
 def _priority(source: str | None) -> int:
@@ -194,9 +300,9 @@ class _Cluster:
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by component and position; only the clusters of the
-    current component are held."""
-    component, clusters = None, []
+    """Rows arrive sorted by scope and position; only the clusters of the current
+    scope are held."""
+    scope, clusters = None, []
 
     def flush() -> pd.DataFrame:
         rows = [(key, c.key, pref) for c in clusters if len(c.members) > 1 for key, pref in c.members]
@@ -204,10 +310,10 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if row.component != component:
+            if row.scope_key != scope:
                 if clusters:
                     yield flush()
-                component, clusters = row.component, []
+                scope, clusters = row.scope_key, []
             home = None if row.has_doi else next((c for c in clusters if c.agrees(row)), None)
             if home is None:
                 clusters.append(_Cluster(row))
@@ -219,13 +325,16 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def deduplicate(papers: DataFrame, order: str = "ord", scope: Sequence[str] = (),
                 keep_doi: bool = False, empty_as_null: bool = False,
-                hot_bucket: int = HOT_BUCKET) -> DataFrame:
+                hot_bucket: int = HOT_BUCKET, bounded: bool = False) -> DataFrame:
     """Unified paper rows without duplicates, with `paper_id` and `merged_from`.
 
     `order` is a unique input position; results sorted by (`doi_first`,
     `order`) are in list order. `scope` columns (a claim, a query) keep their
     records apart. With `keep_doi` a merged record keeps any member's DOI;
     without it the DOI is that of the most trusted member, known or not.
+    `bounded` says that a scope holds few records by the way it came about (a
+    request's limit); should one hold more than SCOPE_ROWS, all are resolved by
+    the fixpoint all the same.
     """
     scope = list(scope)
     known = merge_by_doi(papers, order, scope, empty_as_null)
@@ -239,7 +348,8 @@ def deduplicate(papers: DataFrame, order: str = "ord", scope: Sequence[str] = ()
                          .withColumn("doi_first", F.lit(1))))
 
     light = cut_lineage(_matching_columns(rows.where("ntitle <> ''"), order, scope))
-    clusters = broadcast_checked(_clusters(light, scope, hot_bucket))
+    small = bounded and scope and not light.groupBy(*scope).count().where(F.col("count") > SCOPE_ROWS).limit(1).count()
+    clusters = broadcast_checked(cut_lineage(_replayed(light, scope) if small else _clusters(light, scope, hot_bucket)))
     tagged = rows.join(clusters, "row_key", "left")
     joined = tagged.where("cluster IS NOT NULL")
     merged = merge_records(
@@ -263,25 +373,33 @@ def _matching_columns(rows: DataFrame, order: str, scope: Sequence[str]) -> Data
         F.coalesce("year", F.lit(0)).alias("year"), year_quality(F.col("year")).alias("year_quality"),
         authors_quality(F.col("authors")).alias("authors_quality"), "source",
         F.coalesce("source_apis", F.array().cast("array<string>")).alias("source_apis"),
-        (F.col("doi_first") == 0).alias("has_doi"), F.col(order).alias("at"),
-        _key("node", [*scope, "ntitle", "last"]).alias("node")))
+        (F.col("doi_first") == 0).alias("has_doi"), F.struct(F.col("doi_first").alias("tier"), F.col(order).alias("at")).alias("pos"),
+        _key("title", [*scope, "ntitle"]).alias("tkey"), _key("node", [*scope, "ntitle", "last"]).alias("node")))
+
+
+def _replayed(light: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Every small scope in order, in one task each."""
+    ordered = (light.withColumn("scope_key", _key("scope", scope)).repartition("scope_key")
+               .sortWithinPartitions("scope_key", "pos").drop(*scope, "node", "tkey", "pos"))
+    return ordered.mapInPandas(_replay, _REPLAYED)
 
 
 def _clusters(light: DataFrame, scope: Sequence[str], hot_bucket: int) -> DataFrame:
     """(row_key, cluster, pref) of every record that merges with another one."""
-    nodes = (light.groupBy(*scope, "node", "title", "last")
+    nodes = (light.groupBy(*scope, "node", "tkey", "title", "last")
              .agg(F.count(F.lit(1)).alias("rows"), F.max(~F.col("has_doi")).alias("open"))
              .withColumn("n", F.length("title")))
-    pairs = similar_titles(nodes.drop("rows"), scope, hot_bucket)
-    components = connected_components(pairs, "a", "b")
-    # Records of one node are linked through it even when no pair names it.
-    alone = (nodes.where("rows > 1 AND open").select("node").join(components, "node", "left_anti")
-             .withColumn("component", F.col("node")))
-    ordered = (light.join(components.unionByName(alone), "node")
-               .withColumn("tier", F.when(F.col("has_doi"), 0).otherwise(1))
-               .drop(*scope, "node")
-               .repartition("component").sortWithinPartitions("component", "tier", "at"))
-    return cut_lineage(ordered.mapInPandas(_replay, _REPLAYED))
+    pairs = similar_titles(nodes.drop("rows", "tkey"), scope, hot_bucket)
+    title_of = lambda side, name: nodes.select(F.col("node").alias(side), F.col("tkey").alias(name))
+    met = pairs.join(title_of("a", "mine"), "a").join(title_of("b", "theirs"), "b").select("mine", "theirs")
+    # Records of one title are near each other even when no pair names it.
+    alike = nodes.groupBy("tkey").agg(F.sum("rows").alias("rows"), F.max("open").alias("open")).where(
+        "rows > 1 AND open").select(F.col("tkey").alias("mine"), F.col("tkey").alias("theirs"))
+    both = met.unionByName(met.select(F.col("theirs").alias("mine"), F.col("mine").alias("theirs"))).unionByName(alike)
+    whole = both.unionByName(both.select("mine", F.col("mine").alias("theirs")))
+    near = cut_lineage(whole.distinct())
+    rows = light.join(near.select(F.col("mine").alias("tkey")).distinct(), "tkey", "left_semi").drop(*scope, "node", "title")
+    return resolve_first_match(rows, near)
 
 
 def deduplicate_pairs(first: DataFrame, second: DataFrame, order: str = "ord", **options) -> DataFrame:

@@ -7,23 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as C
 from ..functions.ids import claim_id
-from ..functions.text import bind, sentence_spans, strip, text_or_empty, unnest
-
-
-
-def _paragraphs(text: Column) -> Column:
-    """Array of {id, start, text}; `start` is the paragraph's character offset."""
-    zero = F.struct(
-        F.lit(0).alias("id"), F.lit(0).alias("at"),
-        F.array().cast("array<struct<id:int,start:int,text:string>>").alias("out"))
-
-    def step(acc: Column, para: Column) -> Column:
-        here = F.struct(acc["id"].alias("id"), acc["at"].alias("start"), para.alias("text"))
-        return F.struct(
-            (acc["id"] + 1).alias("id"), (acc["at"] + F.length(para) + 1).alias("at"),
-            F.when(strip(para) == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(here))).alias("out"))
-
-    return F.aggregate(F.split(text_or_empty(text), "\n"), zero, step, lambda acc: acc["out"])
+from ..functions.text import bind, paragraphs, sentence_spans, text_or_empty, unnest
 
 
 def _paragraph_claims(para: Column, compound: bool, noise_filter: bool) -> Column:
@@ -50,7 +34,7 @@ def extract_claims(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per claim of each document. Numbering and offsets are computed
     inside the document's row, so the flat map needs no shuffle."""
     found = F.flatten(F.transform(
-        _paragraphs(F.col(text)), lambda p: _paragraph_claims(p, compound, noise_filter)))
+        paragraphs(F.col(text)), lambda p: _paragraph_claims(p, compound, noise_filter)))
     empty = F.array().cast("array<string>")
     form = (source_format if source_format is not None else F.lit("text")).alias("source_format")
     return (unnest(docs, found, doc_id, form, value="c", position="pos")

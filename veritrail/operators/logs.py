@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def count_by(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
 
 
+def count_cube(df: DataFrame, columns: Sequence[str], name: str = "n") -> DataFrame:
+    """Counts of every combination of the columns with all partial and grand
+    totals, in one pass. `level` has a bit per column, the first one highest: 1
+    where the column is totalled, so a total is told from a null value."""
+    return df.cube(*columns).agg(F.count(F.lit(1)).alias(name), F.grouping_id(*columns).alias("level"))
+
+
 def append_bibtex(papers: DataFrame, entries: DataFrame, path: str) -> None:
     """Append entries (doi, entry) whose DOI the .bib folder does not hold yet."""
     known = read_bib_dois(papers.sparkSession, path)

@@ -87,7 +87,7 @@ def search_all(searches: DataFrame, responses: dict[str, DataFrame], blacklist:
     if extra is not None:
         shift = F.lit(len(responses) * _STRIDE).cast("bigint")
         found = found.unionByName(extra.withColumn("ord", F.col("ord") + shift), allowMissingColumns=True)
-    merged = deduplicate(found, "ord", scope)
+    merged = deduplicate(found, "ord", scope, bounded=True)
     return enrich(drop_blacklisted(merged, blacklist), conferences, venue_sources, current_year)
 
 

@@ -9,9 +9,11 @@ from ..functions.ids import normalize_doi, paper_id_of
 from ..functions.scores import ACCEPTED_VERDICTS, py_round
 from ..functions.text import (author_name, bind, family_given, first_author, first_author_last_name,
                               last_name, text_or_empty, title_similarity)
+from ..session import cut_lineage
 from ..sources.mappers import crossref_year
 from .keys import first_per_key, last_per_key
 from .logs import utc_stamp
+from .tables import latest_table, upsert
 
 # Title agreement threshold, hits looked at per title search.
 TITLE_THRESHOLD = 0.85
@@ -208,17 +210,41 @@ def verify_with_cache(papers: DataFrame, cache: DataFrame, **tables: DataFrame)
     return cached.unionByName(fresh)
 
 
-def refresh_cache(cache: DataFrame, verified: DataFrame, at: Column | None = None) -> DataFrame:
-    """Cache after a run: every verdict of the run replaces the older one."""
-    fresh = verified.select(
+def cache_rows(verified: DataFrame, at: Column | None = None) -> DataFrame:
+    """What the cache keeps of verdicts: one row per DOI."""
+    return verified.select(
         normalize_doi(F.col("doi")).alias("doi"), F.col("verification_status").alias("verdict"),
         F.col("verification_details").alias("details"), "authors_backfilled",
         F.when(F.col("authors_backfilled"), F.col("authors")).alias("authors"),
         (at if at is not None else F.current_timestamp()).alias("cached_at")).where("doi IS NOT NULL")
+
+
+def refresh_cache(cache: DataFrame, verified: DataFrame, at: Column | None = None) -> DataFrame:
+    """Cache after a run: every verdict of the run replaces the older one."""
+    fresh = cache_rows(verified, at)
     both = cache.select(*fresh.columns).withColumn("_run", F.lit(0)).unionByName(fresh.withColumn("_run", F.lit(1)))
     return last_per_key(both, ["doi"], ["_run", "cached_at", "verdict"]).drop("_run")
 
 
+def verify_and_keep(papers: DataFrame, cache_path: str, at: Column | None = None, **tables: DataFrame) -> DataFrame:
+    """Verdicts with the cache table at `cache_path`: known DOIs come from it, and
+    the verdicts of the others are merged into the buckets they fall into. A
+    missing table is an empty cache."""
+    spark = papers.sparkSession
+    try:
+        cache = latest_table(spark, cache_path)
+    except FileNotFoundError:
+        cache = None
+    if cache is None:
+        done = verify_papers(papers, **tables).withColumn("verification_cached", F.lit(False))
+    else:
+        done = verify_with_cache(papers, cache, **tables)
+    done = cut_lineage(done)
+    fresh = done.where(~F.col("verification_cached") & normalize_doi(F.col("doi")).isNotNull())
+    upsert(cache_rows(fresh, at), cache_path, ["doi"], ["cached_at", "verdict"])
+    return done
+
+
 def split_by_verdict(verified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected)."""
     kept = F.coalesce(F.col("verification_status").isin(*ACCEPTED_VERDICTS), F.lit(False))

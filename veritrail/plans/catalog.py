@@ -19,6 +19,7 @@ from ..operators import (audit, dedup, documents, evidence, extract, keys, logs,
 from ..session import broadcast_checked, cut_lineage
 from ..sources import files, mappers
 from . import bridge as B
+from . import relations
 from .texts import word_index
 
 YEAR = B.CURRENT_YEAR
@@ -689,3 +690,6 @@ def latex_insertions(spark, sf):
 def latex_texts(spark, sf):
     """Plain text of LaTeX documents."""
     return latex_documents(spark, sf).select("doc_id", files.latex_body(F.col("text")).alias("body"))
+
+
+CATALOG.update(relations.QUERIES)

@@ -485,3 +485,9 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT doc_id, n + 1 + length(own) + 5 + length(num) + 4, nob FROM m)
       SELECT doc_id, start::INT AS start, (start + length(marker))::INT AS "end", marker FROM s""",
 }
+
+from .dedup_sql import SQL as _DEDUP  # noqa: E402  (both use the fragments above)
+from .relations_sql import SQL as _RELATIONS  # noqa: E402
+
+ORACLE.update(_RELATIONS)
+ORACLE.update(_DEDUP)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Broadcast only below this many rows; above it joins shuffle.
+# Broadcast only below this many rows and bytes; above it joins shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "veritrail", master: str | None = None,
@@ -34,11 +36,16 @@ def build_session(app: str = "veritrail", master: str | None = None,
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; a larger side is returned as it is,
-    so the join falls back to Spark's shuffle joins. The check reads at most
-    max_rows + 1 rows of the (expected small) side."""
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    """Broadcast hint behind a check of rows and bytes; a larger side is returned
+    as it is, so the join falls back to Spark's shuffle joins. The check reads at
+    most max_rows + 1 rows of the (expected small) side; their texts and arrays
+    are counted as they are written out."""
+    wide = [c for c, kind in df.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
+    size = F.lit(8 * len(df.columns))
+    if wide:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide]))), F.lit(0))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size.cast("bigint"))).first()
+    return F.broadcast(df) if rows <= max_rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,10 +56,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names. One is chosen here
-    only in a single process (local tests); a cluster without one is an error."""
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names. One is chosen here only in a single process
+    (local tests); a cluster without one is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,4 +67,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veritrail-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name that all executors share."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.keys import last_per_key
+from ..operators.tables import BUCKETS, latest_table, upsert
+
+__all__ = ["distinct_events", "latest_table", "read_log_stream", "upsert_latest"]
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -26,34 +28,14 @@ def distinct_events(stream: DataFrame, keys: Sequence[str] = ("event", "paper_id
     return stream.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    marker = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(marker(n)))
-
-
-def latest_table(spark: SparkSession, target: str) -> DataFrame:
-    """The newest complete version of a last-write-wins table."""
-    return spark.read.parquet(f"{target}/v={_versions(spark, target)[-1]}")
-
-
 def upsert_latest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("paper_id",),
-                  order: Sequence[str] = ("timestamp",), available_now: bool = False) -> StreamingQuery:
-    """Keep the last record per key. Every micro-batch writes one new version,
-    named by its batch number, from the version before it: a batch that is
-    repeated after a failure writes the same version again."""
+                  order: Sequence[str] = ("timestamp",), available_now: bool = False, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the last record per key of a stream in a table. A micro-batch is a
+    version of its own number, so one that is repeated after a failure writes the
+    same again, and what it writes follows from its size, not from the table's."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _versions(spark, target) if v < number]
-        rows = batch.withColumn("_batch", F.lit(number).cast("bigint"))
-        if older:
-            rows = spark.read.parquet(f"{target}/v={older[-1]}").unionByName(rows)
-        last_per_key(rows, list(keys), [*order, "_batch"]).write.mode("overwrite").parquet(f"{target}/v={number}")
+        upsert(batch, target, keys, order, version=number, buckets=buckets)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
