@@ -30,7 +30,7 @@ def test_stages(spark, all_docs):
     assert lines.where("n_chars <> length(text)").count() == 0
 
     single = corpus_pipeline.near_duplicates(spark, lines, SF).cache()
-    classes = brute.ngram(pairs(lines))
+    classes = brute.ngram(pairs(lines), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
     assert sorted(i for i, _ in pairs(single)) == sorted({c for i, _, c in classes if i == c})
 
     mixed = corpus_pipeline.mix_sources(spark, single, SF).cache()

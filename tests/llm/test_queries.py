@@ -23,12 +23,16 @@ def canonical(frame):
                             for row in frame[columns].itertuples(index=False)), key=repr)
 
 
+#: The smallest table holds no secrets.
+LARGER = {"op10_secret_scan": "/root/testdata/sf0.01"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
-    con = duckdb.connect()
-    for file in Path(SF).glob("*.parquet"):
+    con, folder = duckdb.connect(), LARGER.get(name, SF)
+    for file in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
-    assert canonical(QUERIES[name](spark, SF).toPandas()) == canonical(con.execute(ORACLES[name]).df())
+    assert canonical(QUERIES[name](spark, folder).toPandas()) == canonical(con.execute(ORACLES[name]).df())
 
 
 def test_all_are_registered():

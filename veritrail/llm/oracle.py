@@ -91,15 +91,48 @@ base AS (SELECT * FROM spans WHERE kind <> 'live'),
 live AS (
   SELECT * FROM spans l WHERE kind = 'live' AND NOT EXISTS (
     SELECT 1 FROM base b WHERE b.doc_id = l.doc_id AND b.from_ < l.upto AND l.from_ < b.upto)),
-owned AS (SELECT hit, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n FROM live GROUP BY hit),
-every AS (SELECT *, 1 AS own FROM base UNION ALL
-  SELECT live.*, CASE WHEN n = 1 THEN 1 ELSE 0 END FROM live JOIN owned ON live.hit = owned.hit)
+candidates AS (SELECT * FROM base UNION ALL SELECT * FROM live),
+valued AS (
+  SELECT *, CASE WHEN kind = 'assign' THEN regexp_extract(hit, '{_ASSIGN_SQL}', 2) ELSE hit END AS value FROM candidates),
+owned AS (
+  SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners,
+         count(DISTINCT doc_id) AS repositories FROM valued GROUP BY value),
+every AS (
+  SELECT valued.*, CASE WHEN owners >= 2 THEN 'example' WHEN repositories > 3 THEN 'shared' ELSE 'live' END AS verdict
+  FROM valued JOIN owned ON valued.value = owned.value)
 SELECT t.doc_id, (count(*) FILTER (WHERE kind = 'assign'))::BIGINT AS n_assign,
   (count(*) FILTER (WHERE kind = 'access'))::BIGINT AS n_access, (count(*) FILTER (WHERE kind = 'hex'))::BIGINT AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || from_ || ':' || upto, ',' ORDER BY from_, no) FILTER (WHERE kind <> 'live'), '')) AS base_sha256,
-  coalesce(string_agg(kind || ':' || from_ || ':' || upto, ',' ORDER BY from_, no) FILTER (WHERE own = 1), '') AS spans,
-  (count(*) FILTER (WHERE own = 0))::BIGINT AS n_examples
+  coalesce(string_agg(kind || ':' || from_ || ':' || upto, ',' ORDER BY from_, no)
+           FILTER (WHERE kind <> 'live' OR verdict <> 'example'), '') AS spans,
+  (count(*) FILTER (WHERE verdict = 'example'))::BIGINT AS n_example,
+  (count(*) FILTER (WHERE verdict = 'shared'))::BIGINT AS n_shared,
+  (count(*) FILTER (WHERE verdict = 'live'))::BIGINT AS n_live
 FROM t LEFT JOIN every ON t.doc_id = every.doc_id GROUP BY t.doc_id
 """
 
-ORACLES = {"op3_mix_sources": MIX, "op8_line_dedup": LINES, "op9_ngram_join": NGRAMS, "op10_secret_scan": SECRETS}
+# Checksums half a byte at a time, from the reflected polynomial; hex digits of a
+# byte are exchanged because the lower half goes first.
+_CRC_HALF = """list_transform(range(16), lambda n: list_reduce([1, 2, 3, 4],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"""
+SHARDS = f"""
+WITH half AS (SELECT {_CRC_HALF} AS t),
+d AS (
+  SELECT doc_id, source, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, md5('shard-1:' || coalesce(doc_id::VARCHAR, '')) AS draw,
+         xor(4294967295, list_reduce(
+           list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g'), ''),
+                          lambda c: strpos('0123456789ABCDEF', c)::BIGINT - 1),
+           lambda c, h: xor(c >> 4, half.t[((xor(c, h) & 15) + 1)::INTEGER]), 4294967295::BIGINT)) AS text_crc32
+  FROM documents, half),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) AS rank,
+         count(*) OVER (PARTITION BY source) AS n FROM d),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, rank) - 1 AS place,
+         count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 24 // total)::INTEGER AS shard,
+       (place - (place * 24 // total * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
+"""
+
+ORACLES = {"op3_mix_sources": MIX, "op8_line_dedup": LINES, "op9_ngram_join": NGRAMS, "op10_secret_scan": SECRETS,
+           "op12_interleaved_shards": SHARDS}

@@ -76,10 +76,9 @@ def op9_ngram_join(spark, sf_dir):
 @query
 def op10_secret_scan(spark, sf_dir):
     scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{secret_scan.KINDS[k]}")
-             for k in range(3)]
-    return scanned.select("doc_id", *count, F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
-                          secret_scan.written("spans").alias("spans"), "n_examples")
+    return scanned.select("doc_id", *[secret_scan.n_of_kind("base", k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]],
+                          F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+                          secret_scan.written("spans").alias("spans"), "n_example", "n_shared", "n_live")
 
 
 @query
