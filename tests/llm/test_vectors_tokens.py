@@ -147,6 +147,34 @@ def test_token_files(encoder, spark, all_docs, tmp_path):
     assert {bytes(r["ids"]) for r in some} == {x for i, x in want if i == want[5][0]}
 
 
+def test_starts_of_very_many_files(encoder, spark, tmp_path):
+    """File numbers of one task pass a thousand, whose names no longer sort."""
+    rows = [(i, f"text {i} " + "word " * (i % 5)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["start"] for r in token_files.digests(df, f"file://{tmp_path}/many", file_bytes=1).collect()}
+    start, want = 0, {}
+    for i, ids in expected(encoder, rows, 2):
+        want[i] = start
+        start += len(ids) // 4
+    assert got == want
+    assert len(list(Path(tmp_path, "many").glob("part-*"))) == 1200
+
+
+def test_width_of_ids():
+    assert [token_files.id_width(n) for n in (50_256, 65_535, 65_536)] == [2, 2, 4]
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.id_width(65_536, 2)
+
+
+def test_special_token_strings(encoder):
+    text = "a <|endoftext|> b<|endoftext|>c. <|endoftext|>, x"
+    want = [encoder._tokenizer.encode(t, add_special_tokens=False).ids for t in (text, text[2:])]
+    assert 50256 in want[0]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([text.encode(), text[2:].encode()])] == want
+    plain = np.frombuffer(Encoder(special=False).encode([text.encode()])[0], "<u4").tolist()
+    assert 50256 not in plain and len(plain) > len(want[0])
+
+
 def test_token_file_checks():
     file = token_files.build_file([4, 9], [b"\1\0\2\0", b""], 2) + b"\xb1\xea\x92\x8f"
     assert [(d, i, list(x), n) for d, i, x, n in token_files.read_file(file)] == [(4, 0, [1, 2], 2), (9, 1, [], 0)]

@@ -8,8 +8,11 @@ the width of a token id, every other frame one document, so a reader
 decompresses only the documents it is asked for and checks each of them.
 
 Files are written by Spark's text sink, one row a file, whose line separator is
-the closing magic number; they can be in any store that Spark writes to. File
-names sort in the order of doc_id.
+the closing magic number; they can be in any store that Spark writes to. The task
+and file numbers in a file's name, read as numbers, are the order of doc_id.
+
+Token ids take two bytes where the vocabulary and the end id fit, otherwise four;
+a width asked for that is too small is an error.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id sorts
 first; rows with equal ids are documents each; other columns stay out.
@@ -82,8 +85,17 @@ def read_file(content: bytes, wanted: Collection | None = None) -> Iterator[tupl
         yield doc_id, i, ids, int(sizes[i + 1, 1]) // head["width"]
 
 
+def id_width(largest: int, width: int | None = None) -> int:
+    """Bytes of an id, for ids up to `largest`."""
+    if width is None:
+        return 2 if largest < 1 << 16 else 4
+    if width not in (2, 4) or largest >= 1 << 8 * width:
+        raise ValueError(f"ids up to {largest} do not fit {width} bytes")
+    return width
+
+
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text",
-          tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, width: int = 2,
+          tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, width: int | None = None,
           file_bytes: int = FILE_BYTES) -> None:
     """Writes the ids of all documents in ascending doc_id order. Texts are
     range-partitioned, which moves less than ids would; each task encodes its
@@ -95,17 +107,18 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
+        own_width = id_width(max(*tokens.vocabulary().values(), end_id), width)
         ids, documents, size = [], [], 0
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([build_file(ids, documents, width)], pa.binary())], ["file"])
+            return pa.RecordBatch.from_arrays([pa.array([build_file(ids, documents, own_width)], pa.binary())], ["file"])
 
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 some = batch.slice(low, 1024)
                 found = tokens.encode(as_bytes(some.column(1)))
                 for name, own in zip(some.column(0).to_pylist(), found, strict=True):
-                    own = np.frombuffer(own + end, "<u4").astype(f"<u{width}").tobytes()
+                    own = np.frombuffer(own + end, "<u4").astype(f"<u{own_width}").tobytes()
                     if ids and size + len(own) > file_bytes:
                         yield closed()
                         ids, documents, size = [], [], 0
@@ -148,11 +161,20 @@ def read(spark: SparkSession, folder: str, id_type: str = "bigint", wanted: Coll
 
 def placed(documents: DataFrame) -> DataFrame:
     """`start` for documents read whole: ids before each in the file, by a window
-    per file, after those of the files before, from one sum per file."""
+    per file, after those of the files of the task before it and of the tasks
+    before, by windows over one row per file of a task and one row per task."""
+    def before(partition: list[str], order: str):
+        return F.coalesce(F.sum("n").over(W.partitionBy(*partition).orderBy(order).rowsBetween(
+            W.unboundedPreceding, -1)), F.lit(0))
+
+    number = [F.regexp_extract("file", mark, 1).cast("bigint") for mark in (r"^part-(\d+)", r"-c(\d+)(?:\.|$)")]
+    files = documents.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns(
+        {"task": number[0], "counter": number[1]})
+    tasks = files.groupBy(F.col("task").alias("t")).agg(F.sum("n").alias("n")).select("t", before([], "t").alias("tasks_before"))
+    files = files.withColumn("files_before", before(["task"], "counter")).join(
+        broadcast_checked(tasks), F.col("task") == F.col("t"))
+    sums = broadcast_checked(files.select(F.col("file").alias("f"), (F.col("files_before") + F.col("tasks_before")).alias("b")))
     in_file = W.partitionBy("file").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
-    sums = documents.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    sums = broadcast_checked(sums.select(F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b")))
     return documents.withColumn("s", F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0))).join(
         sums, F.col("file") == F.col("f")).select(*documents.columns, (F.col("s") + F.col("b")).alias("start"))
 
