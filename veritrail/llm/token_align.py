@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -68,22 +69,50 @@ class ByteSide(Side):
         return [np.frombuffer(x, "<u4").astype(np.int64) for x in self._encoder.encode([b" " + t for t in texts])]
 
 
+#: Words whose ids a process remembers, and the longest one that it keeps.
+_REMEMBERED, _LONG = 400_000, 64
+
+
 class PieceSide(Side):
     """A piece vocabulary with byte fallback of the sentencepiece library, which
-    sets the space before a text itself."""
+    sets the space before a text itself. Where no piece reaches over a space and
+    texts are taken as they are, the words between single spaces are encoded each
+    for itself, once; any other text is encoded whole."""
 
     def __init__(self, file: str):
         import sentencepiece
         path = file if os.sep in file else public_path(file)
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
-        super().__init__([self._token(i) for i in range(self._model.get_piece_size())], b";")
-
-    def _token(self, i: int) -> bytes:
-        piece = self._model.id_to_piece(i)
+        pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
+        odd = "\ufb01\u00bd \uff21 e\u0301\tx"
+        self._by_word = (not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+                         and self._model.decode(self._model.encode(odd)) == odd)
+        self._known: dict[bytes, bytes] = {}
+        super().__init__([self._token(i, p) for i, p in enumerate(pieces)], b";")
+
+    def _token(self, i: int, piece: str) -> bytes:
         return bytes([int(piece[3:-1], 16)]) if self._model.is_byte(i) else piece.replace(_SPACE, " ").encode()
 
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self._model.encode([t.decode() for t in texts], num_threads=1)
+        ends = np.cumsum([0, *map(len, found)]).tolist()
+        flat = np.fromiter(chain.from_iterable(found), "<i4", ends[-1]).tobytes()
+        return [flat[4 * i: 4 * j] for i, j in pairwise(ends)]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self._model.encode([t.decode() for t in texts], num_threads=1)]
+        if len(self._known) > _REMEMBERED:
+            self._known.clear()
+        apart = [self._by_word and bool(t) and b"  " not in t and t[:1] != b" " and t[-1:] != b" " for t in texts]
+        words = [t.split(b" ") if a else [] for t, a in zip(texts, apart, strict=True)]
+        known = self._known
+        fresh = list({w for some in words for w in some if w not in known})
+        known.update(zip(fresh, self._ids(fresh), strict=True))
+        whole = iter(self._ids([t for t, a in zip(texts, apart, strict=True) if not a]))
+        out = [b"".join([known[w] for w in some]) if a else next(whole) for some, a in zip(words, apart, strict=True)]
+        for w in fresh:
+            if len(w) > _LONG:
+                del known[w]
+        return [np.frombuffer(x, "<i4").astype(np.int64) for x in out]
 
 
 def sides(file_a: str, file_b: str) -> tuple[Side, Side]:
@@ -93,8 +122,8 @@ def sides(file_a: str, file_b: str) -> tuple[Side, Side]:
 def common_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places in a and b (ascending offsets, the last ones equal) of the offsets
     that both hold, by diagonal run skipping."""
-    n, i, j = len(a), 0, 0
-    first_a, first_b, runs = [], [], []
+    n, i, j, found = len(a), 0, 0, []
+    a, b = [*a, -1], [*b, -2]  # runs end here
     while i < n:
         # An irregular stretch: step on the side that is behind.
         x, y = a[i], b[j]
@@ -105,22 +134,23 @@ def common_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
             else:
                 j += 1
                 y = b[j]
-        # A diagonal run from (i, j): probe slices of doubling length ...
-        k, step = 1, 1
-        while a[i + k: i + k + step] == b[j + k: j + k + step] and i + k + step <= n:
-            k += step
-            step *= 2
-        # ... and halve the one that differs or goes beyond the end.
-        while step := step // 2:
-            if i + k + step <= n and a[i + k: i + k + step] == b[j + k: j + k + step]:
+        # A diagonal run from (i, j): probe slices of doubling length, then halve
+        # the one that differs.
+        k = 1
+        if a[i + 1] == b[j + 1]:
+            k, step = 2, 2
+            while a[i + k: i + k + step] == b[j + k: j + k + step]:
                 k += step
-        first_a.append(i)
-        first_b.append(j)
-        runs.append(k)
-        i, j = i + k, j + k
-    runs = np.array(runs, np.int64)
+                step *= 2
+            while step := step // 2:
+                if a[i + k: i + k + step] == b[j + k: j + k + step]:
+                    k += step
+        found += (i, j, k)
+        i += k
+        j += k
+    first_a, first_b, runs = np.array(found, np.int64).reshape(-1, 3).T
     inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    return np.repeat(np.array(first_a, np.int64), runs) + inside, np.repeat(np.array(first_b, np.int64), runs) + inside
+    return np.repeat(first_a, runs) + inside, np.repeat(first_b, runs) + inside
 
 
 def _spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
