@@ -19,7 +19,7 @@ from ..operators import (audit, dedup, documents, evidence, extract, keys, logs,
 from ..session import broadcast_checked, cut_lineage
 from ..sources import files, mappers
 from . import bridge as B
-from . import relations
+from . import branches, relations
 from .texts import word_index
 
 YEAR = B.CURRENT_YEAR
@@ -693,3 +693,4 @@ def latex_texts(spark, sf):
 
 
 CATALOG.update(relations.QUERIES)
+CATALOG.update(branches.QUERIES)

@@ -491,3 +491,7 @@ from .relations_sql import SQL as _RELATIONS  # noqa: E402
 
 ORACLE.update(_RELATIONS)
 ORACLE.update(_DEDUP)
+
+from .branches_sql import SQL as _BRANCHES  # noqa: E402
+
+ORACLE.update(_BRANCHES)
