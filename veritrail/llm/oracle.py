@@ -115,7 +115,7 @@ FROM t LEFT JOIN every ON t.doc_id = every.doc_id GROUP BY t.doc_id
 # byte are exchanged because the lower half goes first.
 _CRC_HALF = """list_transform(range(16), lambda n: list_reduce([1, 2, 3, 4],
     lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"""
-SHARDS = f"""
+SHARDS = rf"""
 WITH half AS (SELECT {_CRC_HALF} AS t),
 d AS (
   SELECT doc_id, source, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, md5('shard-1:' || coalesce(doc_id::VARCHAR, '')) AS draw,
@@ -131,7 +131,7 @@ p AS (
   SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, rank) - 1 AS place,
          count(*) OVER () AS total FROM r)
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 24 // total)::INTEGER AS shard,
-       (place - (place * 24 // total * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
+       (place - (place * 24 // total * total + 23) // 24)::BIGINT AS slot, NULL::DOUBLE AS grown_shard FROM p
 """
 
 ORACLES = {"op3_mix_sources": MIX, "op8_line_dedup": LINES, "op9_ngram_join": NGRAMS, "op10_secret_scan": SECRETS,
