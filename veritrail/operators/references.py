@@ -171,3 +171,30 @@ def marker_texts(papers: DataFrame, suffix: str | None = None) -> DataFrame:
     add = F.col(suffix) if suffix else None
     return papers.withColumn("marker", cite.apa_in_text(p, add)).withColumn(
         "narrative", cite.apa_in_text(p, add, narrative=True))
+
+
+#: Heading that is written when a document has no reference section.
+REFERENCE_HEADING = "References"
+
+
+def word_additions(paragraphs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(path, ord, entry) to add at the end of every Word file that `entries` (path,
+    ord, entry) names: entries whose text the file's reference section does not
+    hold, behind a heading if it has no such section. An entry `{n} ...` gets the
+    number after the highest `[n]` of the section."""
+    from .documents import docx_structure, existing_references, is_reference_heading
+    structure = docx_structure(paragraphs)
+    held = existing_references(structure).select("path", strip(F.col("text")).alias("text"))
+    last = held.groupBy("path").agg(F.max(F.regexp_extract("text", r"^\[(\d+)\]", 1).try_cast("int")).alias("_last"))
+    bare = lambda c: F.regexp_replace(strip(c), r"^(\[\d+\]|\{n\})\s*", "")
+    fresh = entries.withColumn("_bare", bare(F.col("entry"))).join(
+        held.select(F.col("path").alias("_p"), bare(F.col("text")).alias("_t")),
+        (F.col("path") == F.col("_p")) & (F.col("_bare") == F.col("_t")), "left_anti")
+    placed = running_number(fresh, "_nth", ["ord"], ["path"]).join(last, "path", "left")
+    number = F.concat(F.lit("["), (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("string"), F.lit("] "), "_bare")
+    lines = placed.select("path", F.col("_nth").alias("ord"), F.when(
+        F.col("entry").startswith("{n}"), number).otherwise(F.col("entry")).alias("entry"))
+    headed = structure.where(F.col("is_heading") & is_reference_heading(F.col("text"))).select("path").distinct()
+    heads = lines.select("path").distinct().join(headed, "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("ord"), F.lit(REFERENCE_HEADING).alias("entry"))
+    return heads.unionByName(lines)

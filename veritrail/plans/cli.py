@@ -6,15 +6,17 @@ python -m veritrail.plans.cli extract-claims notes.md --output claims
 from __future__ import annotations
 
 import argparse
+import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scores as S
-from ..operators import audit, documents, evidence, extract, logs, rank, references, report, support, verify
-from ..session import build_session
-from ..sources import files
+from ..functions.cite import NUMBERED_STYLES
+from ..operators import audit, documents, evidence, extract, logs, rank, references, report, retrieve, support, verify
+from ..session import build_session, cut_lineage
+from ..sources import captured, files
 
 STAGED = schemas.PAPERS + """, paper_id STRING, ord BIGINT, claim_id STRING, claim_text STRING, verification_status STRING,
   evidence_level STRING, evidence_source STRING, evidence_text STRING, support_level STRING,
@@ -36,6 +38,15 @@ def _out(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _status(overall: Column) -> Column:
+    return F.when(overall == "FAIL", F.lit("blocked")).when(overall == "WEAK", F.lit("review")).otherwise(F.lit("clear"))
+
+
+def _exit_code(summary: DataFrame) -> int:
+    """1 when an audit failed, for shells."""
+    return int(summary.first()["overall"] == "FAIL")
+
+
 def extract_claims(spark, a):
     docs = (spark.createDataFrame([(a.input, "text")], "text STRING, source_format STRING") if a.text
             else files.read_documents(spark, a.input)).withColumn("doc_id", F.lit(a.input) if a.text else F.col("path"))
@@ -61,12 +72,39 @@ def generate_queries(spark, a):
     logs.write_by_claim(extract.generate_queries(files.read_claims(spark, a.input)), a.output)
 
 
+def search_all(spark, a):
+    """Candidates of all sources that are given, without duplicates, blacklisted
+    ones and rows outside the years. A source is rows of raw records with query
+    and rank, or a folder of captured pages."""
+    searches = spark.read.schema("claim_id STRING, query_no INT, query STRING, budget INT").json(a.input)
+    given = {"openalex": (a.openalex, schemas.OPENALEX_WORK), "crossref": (a.crossref, schemas.CROSSREF_WORK),
+             "semantic_scholar": (a.semantic_scholar, schemas.S2_PAPER), "publish_or_perish": (a.publish_or_perish, schemas.POP_RECORD)}
+
+    def rows(name, path, schema):
+        if a.pages and name in captured.RECORDS:
+            return captured.captured(spark, path, name, schema).drop("page")
+        return spark.read.schema("query STRING, rank BIGINT, " + schema).json(path)
+
+    responses = {name: rows(name, path, schema) for name, (path, schema) in given.items() if path}
+    if not responses:
+        raise ValueError("no source is given")
+    years = tuple(int(y) for y in a.years.split("-")) if a.years else None
+    venues = (spark.read.schema("issn STRING, venue STRING, rank BIGINT, citedness DOUBLE").json(a.venue_sources) if a.venue_sources
+              else spark.createDataFrame([], "issn STRING, venue STRING, rank BIGINT, citedness DOUBLE"))
+    found = retrieve.search_all(searches, responses, files.read_blacklist(spark), files.read_conferences(spark), venues,
+                                a.current_year, years=years)
+    _out(found, a.output)
+    if a.log:
+        logs.append_log(retrieve.search_log(found), a.log)
+
+
 def verify_papers(spark, a):
     raw = lambda path, extra="": spark.read.schema(extra).json(path)
     hit = "query_title STRING, rank INT, "
-    out = verify.verify_papers(
-        _papers(spark, a.input), raw(a.crossref, schemas.CROSSREF_WORK), raw(a.s2_search, hit + schemas.S2_PAPER),
-        raw(a.openalex, schemas.OPENALEX_WORK), raw(a.openalex_search, hit + schemas.OPENALEX_WORK))
+    registry = {"crossref": raw(a.crossref, schemas.CROSSREF_WORK), "s2_search": raw(a.s2_search, hit + schemas.S2_PAPER),
+                "openalex": raw(a.openalex, schemas.OPENALEX_WORK), "openalex_search": raw(a.openalex_search, hit + schemas.OPENALEX_WORK)}
+    papers = _papers(spark, a.input)
+    out = verify.verify_and_keep(papers, a.cache, **registry) if a.cache else verify.verify_papers(papers, **registry)
     kept, rejected = verify.split_by_verdict(out)
     _out(kept, f"{a.output}/kept")
     _out(rejected, f"{a.output}/rejected")
@@ -132,15 +170,23 @@ def audit_pipeline(spark, a):
     log = logs.read_verification_log(spark, a.verification_log)
     ev = files.read_jsonl(spark, a.evidence_log, schemas.EVIDENCE_LOG)
     links = files.read_jsonl(spark, a.links, schemas.LINKS)
-    out = audit.full_audit(docs, _papers(spark, a.input), refs, log, ev, files.read_claims(spark, a.claims), links,
-                           strict=a.strict)
-    logs.write_report(out, a.output)
+    final, claims = _papers(spark, a.input), files.read_claims(spark, a.claims)
+    present = audit.run_artifacts(spark, a.run_dir) if a.run_dir else None
+    out = cut_lineage(audit.full_audit(docs, final, refs, log, ev, claims, links, present, strict=a.strict))
+    found = audit.bibliography_findings(docs, final, refs, log, not a.strict).unionByName(audit.chain_findings(final, log, ev))
+    if present is not None:
+        found = found.unionByName(audit.artifact_findings(present))
+    _out(audit.shown_findings(found), f"{a.output}/findings")
+    _out(audit.review_links(links, claims, final), f"{a.output}/links")
+    policy = F.struct(F.lit(a.strict).alias("strict"), F.lit(not a.strict).alias("likely_real_accepted"))
+    logs.write_report(out.withColumn("policy", policy).withColumn("status", _status(F.col("overall"))), f"{a.output}/summary")
+    return _exit_code(out)
 
 
 def insert_latex(spark, a):
     docs = spark.read.text(a.input, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
     plan = spark.read.schema(schemas.LATEX_INSERTIONS + ", doc_id STRING, ord INT").json(a.plan)
-    changed, reports = documents.apply_latex_plan(docs, plan, command=a.command_name)
+    changed, reports = documents.apply_latex_plan(docs, plan, command=a.command_name or None)
     _out(reports, f"{a.output}/report")
     if not a.dry_run:
         _out(changed, f"{a.output}/documents")
@@ -155,10 +201,30 @@ def insert_docx(spark, a):
         documents.render_docx(source, changed).write.mode("overwrite").parquet(f"{a.output}/documents")
 
 
+def _for_each(documents_: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entries of a reference list for each of the given files. The list is
+    what one document gets, so it is one value."""
+    listed = entries.agg(F.collect_list(F.struct(*entries.columns))).scalar()
+    return documents_.select("*", F.explode(listed).alias("_e")).select(*documents_.columns, "_e.*")
+
+
 def update_references(spark, a):
     papers = _papers(spark, a.input)
     if a.mode == "bibtex":
         return logs.append_bibtex(papers, references.bibtex_entries(papers), a.output)
+    if a.mode == "thebibliography":
+        docs = spark.read.text(a.existing, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+        numbered = a.style in NUMBERED_STYLES
+        start = references.numeric_markers_max(docs).first()["last_number"] + 1 if numbered else 1
+        items = references.bibitems(papers, a.style, references.bibitem_keys(docs), start=start)
+        return _out(references.insert_bibitems(docs, _for_each(docs.select("doc_id"), items)), a.output)
+    if a.mode == "docx":
+        source = spark.read.format("binaryFile").load(a.existing)
+        paragraphs = files.read_docx_paragraphs(spark, a.existing)
+        entry = F.regexp_replace("entry", r"^\[\d+\]", "{n}") if a.style in NUMBERED_STYLES else F.col("entry")
+        entries = references.style_entries(papers, a.style).select(F.col("position").alias("ord"), entry.alias("entry"))
+        added = references.word_additions(paragraphs, _for_each(paragraphs.select("path").distinct(), entries))
+        return documents.render_docx(source, paragraphs, added).write.mode("overwrite").parquet(a.output)
     existing = spark.read.text(a.existing).withColumnRenamed("value", "text")
     start = references.numeric_markers_max(existing).first()["last_number"] + 1
     entries = references.style_entries(papers, a.style, start=start)
@@ -170,14 +236,18 @@ def audit_bibliography(spark, a):
     found = audit.bibliography_findings(files.read_documents(spark, a.document), _papers(spark, a.input), refs,
                                         logs.read_verification_log(spark, a.verification_log), not a.strict)
     _out(audit.shown_findings(found), f"{a.output}/findings")
-    logs.write_report(audit.fold(found), f"{a.output}/summary")
+    summary = cut_lineage(audit.fold(found))
+    logs.write_report(summary.withColumn("status", _status(F.col("overall"))), f"{a.output}/summary")
+    return _exit_code(summary)
 
 
 def audit_entailment(spark, a):
     reviewed = audit.review_links(files.read_jsonl(spark, a.links, schemas.LINKS), files.read_claims(spark, a.claims),
                                   _papers(spark, a.input))
     _out(reviewed, f"{a.output}/links")
-    logs.write_report(audit.review_summary(reviewed), f"{a.output}/summary")
+    summary = cut_lineage(audit.review_summary(reviewed))
+    logs.write_report(summary.withColumn("status", _status(F.col("overall"))), f"{a.output}/summary")
+    return _exit_code(summary)
 
 
 # name -> (function, options). An option is (flag, default); a bool is a switch
@@ -189,21 +259,23 @@ COMMANDS = {
     "normalize-claims": (normalize_claims, {"--hints": ""}),
     "generate-queries": (generate_queries, {}),
     "search-local": (search_local, {}),
+    "search-all": (search_all, {"--openalex": "", "--crossref": "", "--semantic-scholar": "", "--publish-or-perish": "", "--pages": False,
+                                "--years": "", "--venue-sources": "", "--current-year": 2026, "--log": ""}),
     "verify-papers": (verify_papers, {"--crossref": None, "--s2-search": None, "--openalex": None,
-                                      "--openalex-search": None, "--log": ""}),
+                                      "--openalex-search": None, "--cache": "", "--log": ""}),
     "fetch-evidence": (fetch_evidence, {"--openalex": None, "--semantic-scholar": None, "--arxiv": None, "--log": ""}),
     "score-support": (score_support, {"--claim": "", "--claim-id": "", "--pending": False, "--judgments": "",
                                       "--report-md": "", "--threshold": S.SUPPORT_THRESHOLD, "--high-rigor": False, "--log": ""}),
     "rank-candidates": (rank_candidates, {"--claims": None, "--threshold": S.SUPPORT_THRESHOLD, "--current-year": 2026}),
     "format-citations": (format_citations, {"--style": "ieee"}),
     "format-bibtex": (format_bibtex, {"--existing": ""}),
-    "insert-latex": (insert_latex, {"--plan": None, "--command-name": "cite", "--dry-run": False}),
+    "insert-latex": (insert_latex, {"--plan": None, "--command-name": "", "--dry-run": False}),
     "insert-docx": (insert_docx, {"--plan": None, "--dry-run": False}),
     "update-references": (update_references, {"--mode": "bibtex", "--style": "apa", "--existing": ""}),
     "audit-bibliography": (audit_bibliography, {"--document": None, "--references": None, "--verification-log": None, "--strict": False}),
     "audit-entailment": (audit_entailment, {"--links": None, "--claims": None}),
     "audit-pipeline": (audit_pipeline, {"--document": None, "--references": None, "--verification-log": None,
-                                        "--evidence-log": None, "--links": None, "--claims": None, "--strict": False}),
+                                        "--evidence-log": None, "--links": None, "--claims": None, "--run-dir": "", "--strict": False}),
 }
 
 
@@ -223,10 +295,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Runs a command and returns its exit code: 1 when an audit failed."""
     args = parser().parse_args(argv)
-    COMMANDS[args.command][0](spark or build_session(), args)
+    return COMMANDS[args.command][0](spark or build_session(), args) or 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

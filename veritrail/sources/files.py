@@ -64,7 +64,8 @@ def read_records(spark: SparkSession, path: str, schema: str, envelope: str, pos
              F.monotonically_increasing_id().alias("_r")]
     some = reduce(or_, [F.col(f"`{n}`").isNotNull() for n in names])
     try:
-        if path.endswith(".jsonl") or _holds_lines(spark, path):
+        # A folder, as the stages write it, holds JSON lines.
+        if not path.endswith(".json") or _holds_lines(spark, path):
             found = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).select(
                 "*", *place, F.lit(0).alias("_i")).where(some)
         else:
