@@ -49,8 +49,8 @@ SQL: dict[str, str] = {
       SELECT doc_id, CASE WHEN k.doi IS NOT NULL THEN 'CONFLICT' ELSE status END AS verification_status, k.doi IS NOT NULL AS verification_cached FROM v LEFT JOIN k ON k.doi = v.doi""",
     "bibliographic_gate": f"""SELECT 'FAIL' AS level, "check", sum(n)::BIGINT AS n FROM ({OTHERS['verdict_findings']}) GROUP BY 2
       UNION ALL SELECT 'WEAK', 'citation_in_document', sum(n)::BIGINT FROM (WITH {STYLED}, m AS (SELECT {APA_MARKER} AS marker FROM q WHERE year IS NOT NULL UNION ALL SELECT '[' || doc_id || ']' FROM q UNION ALL SELECT '(Nobody' || (doc_id % 3) || ', 1999)' FROM q),
-        ok AS (SELECT DISTINCT split_part(authors[1], ',', 1) AS name, year FROM p WHERE doc_id % 3 = 0 AND len(authors) > 0 AND year IS NOT NULL)
-        SELECT count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM ok WHERE contains(marker, year::VARCHAR) AND regexp_matches(marker, '(?i)\\b' || name || '\\b')))
+        ok AS (SELECT DISTINCT split_part(authors[1], ',', 1) AS name, coalesce(year::VARCHAR, '') AS year FROM p WHERE doc_id % 3 = 0 AND len(authors) > 0)
+        SELECT count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM ok WHERE contains(marker, year) AND regexp_matches(marker, '(?i)\\b' || name || '\\b')))
       UNION ALL SELECT 'FAIL', 'reference_doi_orphan', fails FROM ({OTHERS['audit_fold']}) UNION ALL SELECT 'WEAK', 'reference_entry', weak FROM ({OTHERS['audit_fold']})""",
     "word_structure": f"""WITH {_SEC}, z AS (SELECT w.*, CASE WHEN at_ IS NOT NULL AND NOT w.opens THEN b.t ELSE '' END AS x, b.pid AS bp FROM w LEFT JOIN h b ON b.doc_id = w.doc_id AND b.pid = at_)
       SELECT doc_id, pid::INT AS paragraph_id, st <> '' AS is_heading, CASE WHEN st = 'h2' THEN 2 ELSE 0 END::INT AS heading_level, x AS section,
