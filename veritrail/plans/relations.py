@@ -155,6 +155,8 @@ def title_blocks(spark, sf):
 
 
 PAGE = 50
+#: Responses in a file, one per line.
+FILE_PAGES = 1_000
 WORK = "id STRING, doi STRING, title STRING, publication_year INT, type STRING, cited_by_count BIGINT"
 
 
@@ -166,7 +168,7 @@ def captured_pages(spark, sf, path):
             F.when(F.col("doc_id") % 4 == 0, F.lit("preprint")).otherwise(F.lit("article")).alias("type"),
             F.col("citation_count").alias("cited_by_count")).alias("work"))
     pages = works.groupBy("query", "no").agg(F.sort_array(F.collect_list("work")).alias("results"))
-    pages.select("query", "results").write.option("maxRecordsPerFile", 1).json(path)
+    pages.select("query", "results").write.option("maxRecordsPerFile", FILE_PAGES).json(path)
 
 
 @query

@@ -1,9 +1,10 @@
 """Captured search responses as a data source.
 
-A folder of captured pages, one JSON file per response, reads as a table of the
-records in them. Every page is a partition. Year and type conditions, and those on
-the query, are pushed into the read; of a record only the columns of the given
-schema are built. As a stream, the offset is the last page taken, by name.
+A folder of captured pages reads as a table of the records in them. A file holds
+one response, or one per line. Files are dealt over a few partitions per slot, so
+many small ones cost no task each. Year and type conditions, and those on the query,
+are pushed into the read; of a record only the columns of the given schema are
+built. As a stream, the offset is the last file taken, by name.
 
     spark.dataSource.register(CapturedResponses)
     captured(spark, folder, "openalex", schemas.OPENALEX_WORK).where("publication_year >= 2020")
@@ -22,10 +23,13 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, Numeric
 
 # Where a source's pages hold their records.
 RECORDS = {"openalex": ("results",), "crossref": ("message", "items"), "semantic_scholar": ("data",)}
-#: Columns of the page itself: the query it answers, its name, the place in it.
+#: Columns of the page itself: the query it answers, its file (with the line, from 0,
+#: where a file holds several), the place in it.
 PAGE_COLUMNS = "query STRING, page STRING, rank BIGINT"
 #: Columns whose conditions a read takes over.
 PUSHED = ("publication_year", "year", "type", "query")
+#: Partitions per slot, the bytes after which one is full, and what opening a file costs.
+PER_SLOT, FULL_BYTES, OPEN_BYTES = 3, 32 << 20, 4 << 10
 
 
 def value_of(value: object, kind: DataType) -> object:
@@ -62,33 +66,62 @@ def _passes(record: dict, condition: Filter) -> bool:
         return False
 
 
-def _pages(path: str, after: str = "") -> list[str]:
+def _pages(path: str, after: str = "") -> list[tuple[str, int]]:
+    """(path, bytes) of the files, by name."""
     from pyarrow.fs import FileSelector, FileSystem
     files, root = FileSystem.from_uri(path)
-    names = [f.path for f in files.get_file_info(FileSelector(root, recursive=True)) if f.is_file]
-    return sorted(n for n in names if n.endswith(".json") and not n.rsplit("/", 1)[-1].startswith((".", "_")) and n > after)
+    found = [(f.path, f.size) for f in files.get_file_info(FileSelector(root, recursive=True)) if f.is_file]
+    return sorted(x for x in found if x[0].endswith(".json") and not x[0].rsplit("/", 1)[-1].startswith((".", "_")) and x[0] > after)
+
+
+def _responses(content: bytes) -> list[dict]:
+    """The responses of a file: one, or one per line."""
+    try:
+        return [json.loads(content)]
+    except json.JSONDecodeError:
+        return [json.loads(line) for line in content.splitlines() if line.strip()]
 
 
 @dataclass
-class Page(InputPartition):
-    path: str
+class Pages(InputPartition):
+    paths: list[str]
+
+
+def _dealt(pages: list[tuple[str, int]], slots: int) -> list[Pages]:
+    """Neighbouring files together, in partitions of about equal bytes."""
+    full = min(FULL_BYTES, sum(size + OPEN_BYTES for _, size in pages) / (PER_SLOT * slots))
+    out, held = [], 0.0
+    for path, size in pages:
+        if not out or held >= full:
+            out.append(Pages([]))
+            held = 0.0
+        out[-1].paths.append(path)
+        held += size + OPEN_BYTES
+    return out
 
 
 class _Reading:
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.folder = schema, options["path"]
+        self.slots = int(options.get("slots", "8"))
         self.within = RECORDS[options.get("source", "openalex")]
         self.conditions: list[Filter] = []
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         from pyarrow.fs import FileSystem
         files, _ = FileSystem.from_uri(self.folder)
-        with files.open_input_stream(partition.path) as stream:
-            page = json.loads(stream.read())
+        for path in partition.paths:
+            with files.open_input_stream(path) as stream:
+                pages = _responses(stream.read())
+            name = path.rsplit("/", 1)[-1]
+            for line, page in enumerate(pages):
+                yield from self._records(page, f"{name}:{line}" if len(pages) > 1 else name)
+
+    def _records(self, page: dict, name: str) -> Iterator[tuple]:
         records = page
-        for name in self.within:
-            records = (records or {}).get(name)
-        own = {"query": page.get("query"), "page": partition.path.rsplit("/", 1)[-1]}
+        for field in self.within:
+            records = (records or {}).get(field)
+        own = {"query": page.get("query"), "page": name}
         for rank, record in enumerate(records or []):
             whole = {**record, **own, "rank": rank}
             if all(_passes(whole, c) for c in self.conditions):
@@ -104,8 +137,8 @@ class _Reader(_Reading, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[Page]:
-        return [Page(p) for p in _pages(self.folder)]
+    def partitions(self) -> Sequence[Pages]:
+        return _dealt(_pages(self.folder), self.slots)
 
 
 class _StreamReader(_Reading, DataSourceStreamReader):
@@ -114,10 +147,10 @@ class _StreamReader(_Reading, DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         pages = _pages(self.folder)
-        return {"page": pages[-1] if pages else ""}
+        return {"page": pages[-1][0] if pages else ""}
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Page]:
-        return [Page(p) for p in _pages(self.folder, start["page"]) if p <= end["page"]]
+    def partitions(self, start: dict, end: dict) -> Sequence[Pages]:
+        return _dealt([p for p in _pages(self.folder, start["page"]) if p[0] <= end["page"]], self.slots)
 
     def commit(self, end: dict) -> None:
         pass
@@ -142,10 +175,12 @@ def captured(spark: SparkSession, path: str, source: str, schema: str) -> DataFr
     """The records of captured pages: query, page, rank and the given columns."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CapturedResponses)
-    return (spark.read.format("captured_responses").schema(f"{PAGE_COLUMNS}, {schema}").option("source", source).load(path))
+    return (spark.read.format("captured_responses").schema(f"{PAGE_COLUMNS}, {schema}").option("source", source)
+            .option("slots", spark.sparkContext.defaultParallelism).load(path))
 
 
 def captured_stream(spark: SparkSession, path: str, source: str, schema: str) -> DataFrame:
     """The same as a stream: pages that come later, in the order of their names."""
     spark.dataSource.register(CapturedResponses)
-    return (spark.readStream.format("captured_responses").schema(f"{PAGE_COLUMNS}, {schema}").option("source", source).load(path))
+    return (spark.readStream.format("captured_responses").schema(f"{PAGE_COLUMNS}, {schema}").option("source", source)
+            .option("slots", spark.sparkContext.defaultParallelism).load(path))
