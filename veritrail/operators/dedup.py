@@ -86,43 +86,94 @@ def _pieces(n, title):
     return count, F.greatest(F.lit(1), F.floor(n / count).cast("int"))
 
 
-def _piece_rows(nodes: DataFrame) -> DataFrame:
-    n = F.col("n")
-    count, width = _pieces(n, F.col("title"))
-    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * width)
+def _keyed(scope: Sequence[str], piece: Column, at: Column, blocks: Column) -> Column:
+    """{key, at} of a piece in each of its blocks. The key is a hash: pieces that
+    share one by chance are candidates that the later tests drop."""
+    return F.transform(blocks, lambda block: F.struct(
+        F.xxhash64(*[F.col(c) for c in scope], block, piece).alias("key"), at.cast("int").alias("at")))
+
+
+def _piece_rows(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    count, width = _pieces(F.col("n"), F.col("title"))
     blocks = F.when(F.col("last") == "", F.array(F.lit(_UNKNOWN), F.lit(_ANY))).otherwise(
         F.array(F.col("last"), F.lit(_ANY)))
-    return (unnest(nodes, starts, "*", width.alias("width"), blocks.alias("blocks"), value="at")
-            .withColumn("piece", F.substring("title", F.col("at") + 1, F.col("width")))
-            .withColumn("block", F.explode("blocks")).drop("blocks", "width", "title", "last"))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _keyed(
+        scope, F.substring(F.col("title"), i * width + 1, width), i * width, blocks)))
+    return unnest(nodes, pieces, *_CARRIED, "open", value="s").select("s.key", "s.at", *_CARRIED, "open")
 
 
-def _probe_rows(nodes: DataFrame) -> DataFrame:
+def _probe_rows(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Every substring that can be a piece of a partner: partners are between
     9/11 and 11/9 of the title's length, which fixes the piece widths."""
     n = F.col("n")
     partner_lengths = F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int"))
     widths = F.array_distinct(F.transform(partner_lengths, lambda m: _pieces(m, None)[1]))
-    spots = F.flatten(F.transform(widths, lambda w: F.when(
-        w <= n, F.transform(F.sequence(F.lit(0), n - w), lambda i: F.struct(i.alias("at"), w.alias("w")))
-    ).otherwise(F.array().cast("array<struct<at:int,w:int>>"))))
     blocks = F.when(F.col("last") == "", F.array(F.lit(_ANY))).otherwise(
         F.array(F.col("last"), F.lit(_UNKNOWN)))
-    return (unnest(nodes, spots, "*", blocks.alias("blocks"), value="s")
-            .select("*", F.col("s.at").alias("at"), F.substring("title", F.col("s.at") + 1, F.col("s.w")).alias("piece"))
-            .withColumn("block", F.explode("blocks")).drop("blocks", "s", "title", "last"))
+    spots = F.flatten(F.transform(widths, lambda w: F.when(
+        w <= n, F.flatten(F.transform(F.sequence(F.lit(0), n - w), lambda i: _keyed(
+            scope, F.substring(F.col("title"), i + 1, w), i, blocks)))
+    ).otherwise(F.array().cast("array<struct<key:bigint,at:int>>"))))
+    return unnest(nodes, spots, *_CARRIED, value="s").select("s.key", "s.at", *_CARRIED)
+
+
+# What a node takes into the join besides its pieces, and the length up to which
+# its character counts fit into a byte each.
+_CARRIED = ("id", "n", "c0", "c1")
+_COUNTED = 250
+
 
+def _character_counts(title: Column, half: int) -> Column:
+    """Eight of sixteen counts of characters, by code point, a byte each."""
+    def add(sum_: Column, char: Column) -> Column:
+        group = F.ascii(char) % 16 - 8 * half
+        return sum_ + F.when((group >= 0) & (group < 8), F.call_function("shiftleft", F.lit(1).cast("bigint"), (group * 8).cast("int"))).otherwise(
+            F.lit(0).cast("bigint"))
+    return F.aggregate(F.split(F.left(title, F.lit(_COUNTED)), ""), F.lit(0).cast("bigint"), add)
 
-def _blocked(side: DataFrame, hot: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
+
+def _count_distance() -> Column:
+    """Characters by which the counts of a and b differ: at least so many are
+    inserted or deleted between the titles. Long titles are not told apart."""
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("bigint"))
+    terms = [F.abs(byte(f"a{c}", k) - byte(f"b{c}", k)) for c in (0, 1) for k in range(8)]
+    return F.when(F.greatest("na", "nb") <= _COUNTED, sum(terms[1:], terms[0])).otherwise(F.lit(0).cast("bigint"))
+
+
+def _blocked(side: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
     """Cut hot buckets into blocks: a row keeps its own block number and is
     repeated for each block of the other side, so block pairs meet exactly once
     and none is larger than HOT_BUCKET rows on a side."""
-    joined = side.join(hot, list(keys), "left")
-    mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    joined = side.join(hot, "key", "left")
+    mine = F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int")
     theirs = F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int"))
     return joined.withColumn(own, mine).withColumn(other, F.explode(theirs)).drop("blocks")
 
 
+def title_candidates(known: DataFrame, scope: Sequence[str] = (), hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(a, b) ids of nodes that share a piece near the same place and whose lengths
+    and character counts allow the similarity. These tests are made inside the
+    join: pairs of common pieces grow with the square of the titles, so they must
+    not be written. known: nodes with an `id` that stays the same."""
+    counted = cut_lineage(known.withColumn("c0", _character_counts(F.col("title"), 0)).withColumn(
+        "c1", _character_counts(F.col("title"), 1)))
+    index, probe = _piece_rows(counted, scope), _probe_rows(counted.where("open"), scope)
+    hot = broadcast_checked(cut_lineage(
+        index.select("key").unionAll(probe.select("key")).groupBy("key").count().where(F.col("count") > hot_bucket)
+        .select("key", F.ceil(F.col("count") / hot_bucket).alias("blocks"))))
+    side = lambda rows, own, other, s: _blocked(rows, hot, own, other).select(
+        "key", "bi", "bj", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"p{s}"), F.col("c0").alias(f"{s}0"),
+        F.col("c1").alias(f"{s}1"), *(["open"] if s == "b" else []))
+    slack = F.floor((F.col("na") + F.col("nb")) / 10)
+    return (side(probe, "bi", "bj", "a").join(side(index, "bj", "bi", "b"), ["key", "bi", "bj"])
+            .where(F.col("a") != F.col("b"))
+            .where(~F.col("open") | (F.col("a") < F.col("b")))
+            .where(F.abs(F.col("na") - F.col("nb")) <= slack)
+            .where(F.abs(F.col("pa") - F.col("pb")) <= slack)
+            .where(_count_distance() <= slack)
+            .select("a", "b").distinct())
+
+
 def similar_titles(nodes: DataFrame, scope: Sequence[str] = (),
                    hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b) node pairs with similarity >= 0.90 and agreeing last names, where
@@ -130,30 +181,16 @@ def similar_titles(nodes: DataFrame, scope: Sequence[str] = (),
 
     nodes: scope..., node, title (normalised, not empty), n (its length), last,
     open (true for records without a DOI). Exact: the pieces are a necessary
-    condition, and so are the length and offset filters inside the join and the
-    edit distance after it."""
-    keys = [*scope, "block", "piece"]
-    index = _piece_rows(nodes)
-    probe = _probe_rows(nodes.where("open").drop("open"))
-    hot = (index.select(*keys).unionAll(probe.select(*keys)).groupBy(*keys).count()
-           .where(F.col("count") > hot_bucket)
-           .select(*keys, F.ceil(F.col("count") / hot_bucket).alias("blocks")))
-    left = _blocked(probe, hot, keys, "bi", "bj").select(
-        *keys, "bi", "bj", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = _blocked(index, hot, keys, "bj", "bi").select(
-        *keys, "bi", "bj", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), "open")
-    slack = F.floor((F.col("na") + F.col("nb")) / 10)
-    met = (left.join(right, [*keys, "bi", "bj"])
-           .where(F.col("a") != F.col("b"))
-           .where(~F.col("open") | (F.col("a") < F.col("b")))
-           .where(F.abs(F.col("na") - F.col("nb")) <= slack)
-           .where(F.abs(F.col("pa") - F.col("pb")) <= slack)
-           .select("a", "b").distinct())
+    condition, and so are the length, offset and count filters inside the join and
+    the edit distance after it."""
+    known = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
+    met = title_candidates(known, scope, hot_bucket)
     # A pair meets in many pieces; its titles are compared once.
-    title = lambda side: nodes.select(F.col("node").alias(side), F.col("title").alias(f"t{side}"))
+    title = lambda side: known.select(F.col("id").alias(side), F.col("node").alias(f"n{side}"), F.col("title").alias(f"t{side}"))
     pairs = met.join(title("a"), "a").join(title("b"), "b").where(F.expr(
         "levenshtein(ta, tb, cast(floor((length(ta) + length(tb)) / 10) as int))") >= 0)
-    return pairs.where(normalized_similarity(F.col("ta"), F.col("tb")) >= DUPLICATE_SIMILARITY).select("a", "b")
+    return pairs.where(normalized_similarity(F.col("ta"), F.col("tb")) >= DUPLICATE_SIMILARITY).select(
+        F.col("na").alias("a"), F.col("nb").alias("b"))
 
 
 # --- the sequential order, in parallel --------------------------------------------
