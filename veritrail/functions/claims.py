@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
+from re import _constants as _sre
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,14 +176,52 @@ def any_pattern(patterns) -> str:
     return "(?dU)" + "|".join(f"(?:{body})" for _, body in patterns)
 
 
-def matches_any(text: Column, patterns) -> Column:
+def _rarity(literals: frozenset[str]) -> int:
+    """How much the weakest of some literals tells: its length; a mark counts more
+    than a letter, a dot or a space."""
+    return min((len(x) * 2 if len(x) > 1 or x.isalnum() or x in " .," else 3) for x in literals)
+
+
+def needed_literals(pattern: str) -> frozenset[str]:
+    """Strings of which every match of the pattern holds one; empty if none is
+    known. Of what follows one another, the most telling part is taken."""
+    def of(parts) -> frozenset[str]:
+        found, run = [], ""
+        for op, value in [*parts, (None, None)]:
+            if op is _sre.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append(frozenset({run}))
+                run = ""
+            if op is _sre.SUBPATTERN:
+                found.append(of(value[3]))
+            elif op is _sre.BRANCH:
+                branches = [of(x) for x in value[1]]
+                found.append(frozenset().union(*branches) if all(branches) else frozenset())
+            elif op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+            elif op is _sre.IN and all(kind is _sre.LITERAL for kind, _ in value):
+                found.append(frozenset(chr(c) for _, c in value))
+        return max((x for x in found if x), key=_rarity, default=frozenset())
+
+    return of(_parser.parse(pattern))
+
+
+def matches_any(text: Column, patterns, low: Column | None = None) -> Column:
     """Whether a pattern of the group occurs. Patterns that ignore case run in
     lower case on the lower-case text, which is much cheaper than ignoring case
-    at every position (the patterns hold no upper-case escapes)."""
-    folded = [(flag, body.lower()) for flag, body in patterns if flag]
-    exact = [(flag, body) for flag, body in patterns if not flag]
-    hit = F.lower(text).rlike(any_pattern(folded))
-    return hit | text.rlike(any_pattern(exact)) if exact else hit
+    at every position (the patterns hold no upper-case escapes). A pattern is tried
+    only where one of the strings it needs occurs, which few texts hold."""
+    low = F.lower(text) if low is None else low
+
+    def hit(flag: str, body: str) -> Column:
+        where, body = (low, body.lower()) if flag else (text, body)
+        found = where.rlike(any_pattern([(flag, body)]))
+        needed = sorted(needed_literals(body))
+        return reduce(or_, [F.contains(where, F.lit(x)) for x in needed]) & found if needed else found
+
+    return reduce(or_, [hit(flag, body) for flag, body in patterns])
 
 
 def split_compound(sentence: Column) -> Column:
@@ -210,19 +251,23 @@ def is_noise(text: Column) -> Column:
 
 
 def claim_type(text: Column) -> Column:
-    t = text_or_empty(text)
-    cases = reduce(
-        lambda acc, group: acc.when(matches_any(t, group[1]), F.lit(group[0])),
-        TYPE_PATTERNS[1:],
-        F.when(matches_any(t, TYPE_PATTERNS[0][1]), F.lit(TYPE_PATTERNS[0][0])))
-    return cases.otherwise(F.lit(DEFAULT_TYPE))
+    def typed(low: Column) -> Column:
+        cases = reduce(
+            lambda acc, group: acc.when(matches_any(low, group[1], low), F.lit(group[0])),
+            TYPE_PATTERNS[1:],
+            F.when(matches_any(low, TYPE_PATTERNS[0][1], low), F.lit(TYPE_PATTERNS[0][0])))
+        return cases.otherwise(F.lit(DEFAULT_TYPE))
+
+    return bind(F.lower(text_or_empty(text)), typed)
 
 
 def citation_need(text: Column) -> Column:
-    t = strip(text_or_empty(text))
-    return (F.when(matches_any(t, NOT_NEEDED_PATTERNS), F.lit("NOT_NEEDED"))
-            .when(matches_any(t, REQUIRED_PATTERNS), F.lit("REQUIRED"))
-            .otherwise(F.lit("RECOMMENDED")))
+    def needed(t: Column) -> Column:
+        return bind(F.lower(t), lambda low: F.when(matches_any(t, NOT_NEEDED_PATTERNS, low), F.lit("NOT_NEEDED"))
+                    .when(matches_any(t, REQUIRED_PATTERNS, low), F.lit("REQUIRED"))
+                    .otherwise(F.lit("RECOMMENDED")))
+
+    return bind(strip(text_or_empty(text)), needed)
 
 
 def facet(text: Column, name: str) -> Column:
