@@ -26,6 +26,9 @@ STOPWORDS = (
 # Whitespace and word characters as the source data defines them: the four
 # ASCII separators count as space, combining marks do not count as letters.
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters of SPACE under (?U), for trimming without a pattern.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+          + "\u2028\u2029\u202f\u205f\u3000")
 NON_WORD = r"[^\p{L}\p{N}_\s\x1c-\x1f]"
 KEYWORD = r"(?U)\b[A-Za-z][A-Za-z\-]{2,}\b"
 CJK = "[一-鿿]"
@@ -50,7 +53,7 @@ def text_or_null(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def rstrip(col: Column, chars: str) -> Column:
@@ -143,8 +146,9 @@ def sentences(text: Column) -> Column:
 def running_sums(numbers: Column) -> Column:
     """Sums up to every element of an array of integers: the array is added to
     itself moved by 1, 2, 4, ... places, so that no array grows element by
-    element however long it is."""
-    moves = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    element however long it is. Only moves within the array are made."""
+    needed = F.length(F.bin(F.greatest(F.size(numbers) - 1, F.lit(0))))
+    moves = F.slice(F.array(*[F.lit(1 << i) for i in range(31)]), F.lit(1), needed)
 
     def step(sums: Column, move: Column) -> Column:
         moved = F.concat(F.array_repeat(F.lit(0), move), F.slice(sums, 1, F.size(sums) - move))
@@ -170,7 +174,7 @@ def sentence_spans(text: Column) -> Column:
     def placed(pieces: Column) -> Column:
         ends = running_sums(F.transform(pieces, lambda p: F.length(p)))
         return F.zip_with(pieces, ends, lambda piece, end: F.struct(
-            (end - F.length(F.regexp_replace(piece, f"(?U)^{SPACE}+", ""))).alias("start"), end.alias("end"),
+            (end - F.length(F.ltrim(piece, F.lit(SPACES)))).alias("start"), end.alias("end"),
             strip(piece).alias("text")))
 
     pieces = F.regexp_extract_all(text_or_empty(text), F.lit(SENTENCE), F.lit(0))
