@@ -5,7 +5,7 @@ from itertools import accumulate
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as X
-from veritrail.operators import documents
+from veritrail.operators import audit, documents
 
 
 def test_strip_removes_what_the_space_pattern_matches(spark):
@@ -42,3 +42,11 @@ def test_sentences_of_a_plan_are_found_once_per_document(spark):
         (1, "inserted"), (2, "inserted"), (3, "skipped_existing"), (4, "skip"), (5, "skipped_existing")]
     assert changed.first().text == "\\section{A}\nOne. Two here.  Three.\n\\cite{y}\\section{B}\nFour \\cite{k}. \\emph{Five}.\\cite{x}"
     assert report._jdf.queryExecution().analyzed().toString().count("Join") == 1
+
+
+def test_a_review_counts_the_words_of_a_text_once(spark):
+    df = spark.createDataFrame([("Teachers measure reliability.", "teachers measure reliability of tests in many schools"),
+                                ("Teachers measure reliability.", "short")], "claim string, evidence string")
+    out = df.select(audit.entailment_verdict(X.keywords(F.col("claim"), 50), X.keywords(F.col("evidence"), 50), F.col("evidence")).alias("v"))
+    assert [tuple(r.v) for r in out.collect()] == [("PASS", "heuristic overlap 1.00"), ("FAIL", "no usable evidence text to review")]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
