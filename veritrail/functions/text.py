@@ -89,28 +89,26 @@ def keywords(text: Column, top_n: int = 10) -> Column:
     """Most frequent keywords; ties keep the order of first appearance.
 
     One sort of (word, position) per row, then run lengths: linear memory and
-    no shuffle, whatever the length of the text.
+    no shuffle, whatever the length of the text. `sort_array` compares natively
+    (`array_sort` evaluates an expression for every comparison), and a run is
+    ranked by one number: its negative length, then its first position.
     """
+    base = F.lit(1 << 32)
 
-    def runs(tokens: Column) -> Column:
-        last = F.size(tokens) - 1
+    def ranked(placed: Column) -> Column:
         starts = F.filter(
-            F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i == 0) | (F.get(tokens, i)["w"] != F.get(tokens, i - 1)["w"]),
-        )
+            F.transform(placed, lambda t, i: F.when((i == 0) | (t["w"] != F.get(placed, i - 1)["w"]), i)),
+            lambda i: i.isNotNull())
         return bind(starts, lambda s: F.transform(
-            s,
-            lambda at, k: F.struct(
-                (at - F.coalesce(F.get(s, k + 1), F.size(tokens))).alias("rank"),
-                F.get(tokens, at)["i"].alias("i"),
-                F.get(tokens, at)["w"].alias("w"),
-            ),
-        ))
-
-    placed = F.array_sort(F.transform(
-        keyword_tokens(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    ranked = F.array_sort(bind(placed, runs))
-    return F.transform(F.slice(ranked, 1, top_n), lambda e: e["w"])
+            s, lambda at, k: (at - F.coalesce(F.get(s, k + 1), F.size(placed))).cast("bigint") * base
+            + F.get(placed, at)["i"]))
+
+    def top(tokens: Column) -> Column:
+        placed = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        return F.transform(F.slice(F.sort_array(bind(placed, ranked)), 1, top_n),
+                           lambda r: F.get(tokens, F.pmod(r, base).cast("int")))
+
+    return bind(keyword_tokens(text), top)
 
 
 def coverage(claim_keywords: Column, other_keywords: Column) -> Column:
