@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.ids import normalize_doi, paper_id_of
 from ..functions.text import bind, coverage, first_author, keywords, strip, text_or_empty, unnest
+from ..session import cut_lineage
 from .contain import contained_fragments
 from .keys import first_per_key, last_per_key
 from .logs import latest_verdicts
@@ -100,7 +101,8 @@ def mapped_markers(markers: DataFrame, final: DataFrame) -> DataFrame:
 
 
 def marker_findings(documents: DataFrame, final: DataFrame, text: str = "text") -> DataFrame:
-    markers = document_markers(documents, text)
+    # Read twice, but found once: the texts are long, their markers short.
+    markers = cut_lineage(document_markers(documents, text).select("marker"))
     return markers.join(mapped_markers(markers, final), "marker", "left_anti").select(*_finding(
         "WEAK", "citation_in_document", F.lit(None),
         F.concat(F.lit("marker '"), F.substring("marker", 1, 50), F.lit("' not mapped to any final paper"))))

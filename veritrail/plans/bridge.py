@@ -44,8 +44,9 @@ def _author(slot: int) -> Column:
         F.concat(given, F.lit(" "), family))
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified paper rows, one per document, in document order (`ord`)."""
+def papers(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Unified paper rows, one per document, in document order (`ord`), with
+    `more` columns of the document behind them."""
     docs = table(spark, sf_dir, "documents")
     base = (docs.withColumn("title", headline(F.col("text")))
             .withColumn("letter", F.ascii(F.lower("title")))
@@ -71,7 +72,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 7 == 0).alias("is_oa"), text(None).alias("oa_status"), F.col("lang").alias("language"),
         F.array("lang").alias("keywords"), F.lit("api").alias("source_layer"), source.alias("source"),
         F.array(source).alias("source_apis"), F.lit(0.0).alias("tier_score"), F.lit(0.0).alias("recency_score"),
-        F.lit(None).cast("double").alias("support_score"), F.lit(None).cast("double").alias("composite_score"))
+        F.lit(None).cast("double").alias("support_score"), F.lit(None).cast("double").alias("composite_score"), *more)
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -588,9 +588,10 @@ def verdict_log(spark, sf):
     """Verdicts of the labelled papers, in two runs."""
     lab = B.table(spark, sf, "labels").join(B.papers(spark, sf), "doc_id")
     verdict = F.when(F.col("quality") == 1, F.lit("VERIFIED")).when(F.col("toxic") == 1, F.lit("CONFLICT")).otherwise(F.lit("LIKELY_REAL"))
-    second = lab.where("doc_id % 4 = 0").withColumn("verdict", F.lit("UNVERIFIED")).withColumn("ord", F.col("doc_id") + F.lit(10 ** 9))
-    both = lab.withColumn("verdict", verdict).unionByName(second)
-    return both.select(F.lit("verification").alias("event"), paper_id_of().alias("paper_id"), "verdict", "ord")
+    first = F.struct(verdict.alias("verdict"), F.col("ord").alias("ord"))
+    second = F.struct(F.lit("UNVERIFIED").alias("verdict"), (F.col("doc_id") + F.lit(10 ** 9)).alias("ord"))
+    runs = lab.select(paper_id_of().alias("paper_id"), F.array(first, F.when(F.col("doc_id") % 4 == 0, second)).alias("runs"))
+    return X.unnest(runs, "runs", "paper_id", value="r").select(F.lit("verification").alias("event"), "paper_id", "r.verdict", "r.ord")
 
 
 @query
@@ -615,7 +616,7 @@ def chain_gaps(spark, sf):
 def marked_documents(spark, sf):
     """Whole documents that cite at their end: their own marker, a numbered one,
     and one that no paper has."""
-    p = B.papers(spark, sf).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    p = B.papers(spark, sf, "text")
     return p.select("doc_id", F.concat(
         F.col("text"), F.lit(" "), cite.apa_in_text(PaperColumns()), F.lit(" and ["), F.col("doc_id").cast("string"), F.lit("] or (Nobody"),
         (F.col("doc_id") % 3).cast("string"), F.lit(", 1999).")).alias("text"))
