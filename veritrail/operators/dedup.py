@@ -9,13 +9,17 @@ fields. It is done in three exact moves:
 2. similar title pairs come from an equi-join on short character pieces and
    only pairs over the threshold leave the join. Records outside every pair
    are finished;
-3. the others are resolved by a fixpoint: from an assignment of records to
-   clusters follow the states every cluster passes through (windows over its
-   members), and from these the first cluster that agrees with each record at
-   its place in the order (an equi-join on title, first author and year, and a
-   minimum). A record depends on earlier ones only, so every round settles at
-   least the next record of each group of titles, in practice nearly all, and
-   the assignment that repeats itself is the sequential one.
+3. the others are taken in order, each group of connected titles on its own: a
+   record depends on earlier ones of its group only. A group is replayed in one
+   go, with the clusters found by title, first author and year, so its time grows
+   with its records and pairs;
+4. a group that is too large for that is resolved by a fixpoint: from an
+   assignment of records to clusters follow the states every cluster passes
+   through (windows over its members), and from these the first cluster that
+   agrees with each record at its place in the order (an equi-join on title,
+   first author and year, and a minimum). Every round settles at least the next
+   record of each group, in practice nearly all, and the assignment that repeats
+   itself is the sequential one.
 
 Only matching columns take part, never the abstracts; payloads are merged by the
 same aggregation as the DOI groups. Where records compete within small scopes
@@ -25,6 +29,7 @@ same aggregation as the DOI groups. Where records compete within small scopes
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,18 +37,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import normalize_doi, paper_id_of
-from ..functions.text import indel_ratio, match_last_name, normalize_title, normalized_similarity, unnest
+from ..functions.text import indel_ratio, match_last_name, normalize_title, normalized_similarity
 from ..session import broadcast_checked, cut_lineage
 from ..sources.mappers import OTHER_PRIORITY, SOURCE_PRIORITY, source_priority
+from .components import connected_components
 from .merge import authors_quality, merge_records, year_quality
+from .titles import title_candidates
 
 # Fixed value: similarity from which two titles count as the same paper.
 DUPLICATE_SIMILARITY = 0.90
 
-# A piece bucket with more rows than this is cut into blocks of that size.
+# Titles that may meet are cut into cells of so many rows of a side.
 HOT_BUCKET = 20_000
 
-_ANY, _UNKNOWN = "*", "?"
+_ANY = "*"
 
 
 def merge_by_doi(papers: DataFrame, order: str = "ord", scope: Sequence[str] = (),
@@ -77,115 +84,16 @@ def _key(kind: str, columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("\x1f", F.lit(kind), *[F.col(c).cast("string") for c in columns]))
 
 
-def _pieces(n, title):
-    """Start offsets and length of the pieces of a title of length n.
-
-    Two titles within the threshold differ by at most 2n/9 inserted or deleted
-    characters, so among floor(2n/9) + 1 pieces one is intact in the other."""
-    count = F.floor(n * 2 / 9).cast("int") + 1
-    return count, F.greatest(F.lit(1), F.floor(n / count).cast("int"))
-
-
-def _keyed(scope: Sequence[str], piece: Column, at: Column, blocks: Column) -> Column:
-    """{key, at} of a piece in each of its blocks. The key is a hash: pieces that
-    share one by chance are candidates that the later tests drop."""
-    return F.transform(blocks, lambda block: F.struct(
-        F.xxhash64(*[F.col(c) for c in scope], block, piece).alias("key"), at.cast("int").alias("at")))
-
-
-def _piece_rows(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
-    count, width = _pieces(F.col("n"), F.col("title"))
-    blocks = F.when(F.col("last") == "", F.array(F.lit(_UNKNOWN), F.lit(_ANY))).otherwise(
-        F.array(F.col("last"), F.lit(_ANY)))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _keyed(
-        scope, F.substring(F.col("title"), i * width + 1, width), i * width, blocks)))
-    return unnest(nodes, pieces, *_CARRIED, "open", value="s").select("s.key", "s.at", *_CARRIED, "open")
-
-
-def _probe_rows(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Every substring that can be a piece of a partner: partners are between
-    9/11 and 11/9 of the title's length, which fixes the piece widths."""
-    n = F.col("n")
-    partner_lengths = F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int"))
-    widths = F.array_distinct(F.transform(partner_lengths, lambda m: _pieces(m, None)[1]))
-    blocks = F.when(F.col("last") == "", F.array(F.lit(_ANY))).otherwise(
-        F.array(F.col("last"), F.lit(_UNKNOWN)))
-    spots = F.flatten(F.transform(widths, lambda w: F.when(
-        w <= n, F.flatten(F.transform(F.sequence(F.lit(0), n - w), lambda i: _keyed(
-            scope, F.substring(F.col("title"), i + 1, w), i, blocks)))
-    ).otherwise(F.array().cast("array<struct<key:bigint,at:int>>"))))
-    return unnest(nodes, spots, *_CARRIED, value="s").select("s.key", "s.at", *_CARRIED)
-
-
-# What a node takes into the join besides its pieces, and the length up to which
-# its character counts fit into a byte each.
-_CARRIED = ("id", "n", "c0", "c1")
-_COUNTED = 250
-
-
-def _character_counts(title: Column, half: int) -> Column:
-    """Eight of sixteen counts of characters, by code point, a byte each."""
-    def add(sum_: Column, char: Column) -> Column:
-        group = F.ascii(char) % 16 - 8 * half
-        return sum_ + F.when((group >= 0) & (group < 8), F.call_function("shiftleft", F.lit(1).cast("bigint"), (group * 8).cast("int"))).otherwise(
-            F.lit(0).cast("bigint"))
-    return F.aggregate(F.split(F.left(title, F.lit(_COUNTED)), ""), F.lit(0).cast("bigint"), add)
-
-
-def _count_distance() -> Column:
-    """Characters by which the counts of a and b differ: at least so many are
-    inserted or deleted between the titles. Long titles are not told apart."""
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("bigint"))
-    terms = [F.abs(byte(f"a{c}", k) - byte(f"b{c}", k)) for c in (0, 1) for k in range(8)]
-    return F.when(F.greatest("na", "nb") <= _COUNTED, sum(terms[1:], terms[0])).otherwise(F.lit(0).cast("bigint"))
-
-
-def _blocked(side: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
-    """Cut hot buckets into blocks: a row keeps its own block number and is
-    repeated for each block of the other side, so block pairs meet exactly once
-    and none is larger than HOT_BUCKET rows on a side."""
-    joined = side.join(hot, "key", "left")
-    mine = F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int")
-    theirs = F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int"))
-    return joined.withColumn(own, mine).withColumn(other, F.explode(theirs)).drop("blocks")
-
-
-def title_candidates(known: DataFrame, scope: Sequence[str] = (), hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(a, b) ids of nodes that share a piece near the same place and whose lengths
-    and character counts allow the similarity. These tests are made inside the
-    join: pairs of common pieces grow with the square of the titles, so they must
-    not be written. known: nodes with an `id` that stays the same."""
-    counted = cut_lineage(known.withColumn("c0", _character_counts(F.col("title"), 0)).withColumn(
-        "c1", _character_counts(F.col("title"), 1)))
-    index, probe = _piece_rows(counted, scope), _probe_rows(counted.where("open"), scope)
-    hot = broadcast_checked(cut_lineage(
-        index.select("key").unionAll(probe.select("key")).groupBy("key").count().where(F.col("count") > hot_bucket)
-        .select("key", F.ceil(F.col("count") / hot_bucket).alias("blocks"))))
-    side = lambda rows, own, other, s: _blocked(rows, hot, own, other).select(
-        "key", "bi", "bj", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"p{s}"), F.col("c0").alias(f"{s}0"),
-        F.col("c1").alias(f"{s}1"), *(["open"] if s == "b" else []))
-    slack = F.floor((F.col("na") + F.col("nb")) / 10)
-    return (side(probe, "bi", "bj", "a").join(side(index, "bj", "bi", "b"), ["key", "bi", "bj"])
-            .where(F.col("a") != F.col("b"))
-            .where(~F.col("open") | (F.col("a") < F.col("b")))
-            .where(F.abs(F.col("na") - F.col("nb")) <= slack)
-            .where(F.abs(F.col("pa") - F.col("pb")) <= slack)
-            .where(_count_distance() <= slack)
-            .select("a", "b").distinct())
-
-
 def similar_titles(nodes: DataFrame, scope: Sequence[str] = (),
                    hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b) node pairs with similarity >= 0.90 and agreeing last names, where
     at least one side has no DOI.
 
     nodes: scope..., node, title (normalised, not empty), n (its length), last,
-    open (true for records without a DOI). Exact: the pieces are a necessary
-    condition, and so are the length, offset and count filters inside the join and
-    the edit distance after it."""
+    open (true for records without a DOI). Exact: name, length, counts and classes
+    are necessary conditions, and so is the edit distance behind them."""
     known = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
-    met = title_candidates(known, scope, hot_bucket)
-    # A pair meets in many pieces; its titles are compared once.
+    met = cut_lineage(title_candidates(known, scope, hot_bucket))
     title = lambda side: known.select(F.col("id").alias(side), F.col("node").alias(f"n{side}"), F.col("title").alias(f"t{side}"))
     pairs = met.join(title("a"), "a").join(title("b"), "b").where(F.expr(
         "levenshtein(ta, tb, cast(floor((length(ta) + length(tb)) / 10) as int))") >= 0)
@@ -333,7 +241,7 @@ class _Cluster:
             pair = (row.source, self.source) if leads else (self.source, row.source)
             union = list(dict.fromkeys(s for s in pair if s))
         self.apis = union
-        self.source = "+".join(union) if union else self.source
+        self.source = "+".join(s or "" for s in union) if union else self.source
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,6 +268,119 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
+# --- groups of connected titles ---------------------------------------------------
+
+#: Records of a group and look-ups among its titles up to which it is replayed in
+#: one go; what a task holds is in proportion to them.
+GROUP_WORK = 500_000
+
+
+class _Group:
+    """The clusters of one group, by what a record may look for."""
+
+    def __init__(self):
+        self.near: dict[str, list[str]] = {}
+        self.clusters: list[_Cluster] = []
+        self.places: dict[tuple, list[int]] = {}
+        self.waiting: list[tuple] = []
+
+    def _keys(self, cluster: _Cluster) -> list[tuple]:
+        return [(cluster.title, last, year) for last in {cluster.last, _ANY} for year in {cluster.year, _ANY_YEAR}]
+
+    def _first(self, key: tuple) -> int | None:
+        """The first cluster that shows the key; entries of passed states go."""
+        heap = self.places.get(key)
+        while heap:
+            c = self.clusters[heap[0]]
+            if c.title == key[0] and key[1] in (c.last, _ANY) and key[2] in (c.year, _ANY_YEAR):
+                return heap[0]
+            heappop(heap)
+        return None
+
+    def home(self, row) -> int | None:
+        names = (_ANY,) if row.last == "" else (row.last, "")
+        years = (_ANY_YEAR,) if row.year == _UNKNOWN_YEAR else (row.year - 1, row.year, row.year + 1, _UNKNOWN_YEAR)
+        found = (self._first((title, last, year)) for title in self.near.get(row.title, ()) for last in names for year in years)
+        return min((c for c in found if c is not None), default=None)
+
+    def take(self, row) -> None:
+        """Records of one place in the order do not see each other."""
+        if not row.tie:
+            self.settle()
+        self.waiting.append((row, None if row.has_doi else self.home(row)))
+
+    def settle(self) -> None:
+        for row, home in self.waiting:
+            if home is None:
+                home = len(self.clusters)
+                self.clusters.append(_Cluster(row))
+                new = self._keys(self.clusters[home])
+            else:
+                cluster = self.clusters[home]
+                before = self._keys(cluster)
+                cluster.absorb(row)
+                new = [k for k in self._keys(cluster) if k not in before]
+            for key in new:
+                heappush(self.places.setdefault(key, []), home)
+        self.waiting = []
+
+    def members(self) -> list[tuple]:
+        self.settle()
+        return [(key, c.key, pref) for c in self.clusters if len(c.members) > 1 for key, pref in c.members]
+
+
+def _replay_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive sorted by group, a group's pairs of titles before its records
+    and these by position; only the current group is held."""
+    current, group, names = None, _Group(), {}
+    done = lambda: pd.DataFrame(group.members(), columns=["row_key", "cluster", "pref"])
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.group_key != current:
+                yield done()
+                current, group, names = row.group_key, _Group(), {}
+            if row.row_key is None:
+                group.near.setdefault(row.title, []).append(names.setdefault(row.theirs, row.theirs))
+            else:
+                group.take(row)
+    yield done()
+
+
+def _in_groups(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(row_key, cluster, pref) of records in clusters of two or more; rows and
+    near as in resolve_first_match."""
+    linked = connected_components(near.where("mine < theirs"), "mine", "theirs")
+    titles = near.groupBy("mine").agg(F.count(F.lit(1)).alias("pairs")).join(
+        linked, F.col("mine") == F.col("node"), "left").select(
+        F.col("mine").alias("tkey"), F.coalesce("component", "mine").alias("group_key"), "pairs")
+    grouped = cut_lineage(rows.join(titles, "tkey"))
+    work = grouped.groupBy("group_key").agg(F.sum(F.when(F.col("has_doi"), 1).otherwise(F.col("pairs") + 1)).alias("work"))
+    large = cut_lineage(work.where(F.col("work") > GROUP_WORK).select("group_key"))
+    several = large.limit(1).count() > 0
+    looking = grouped.where("not has_doi").select("tkey", "group_key").distinct()
+    pairs = near.join(looking, F.col("mine") == F.col("tkey")).select("group_key", "mine", "theirs")
+    replayed = _replayed_groups(*[part.join(broadcast_checked(large), "group_key", "left_anti") if several else part for part in (grouped, pairs)])
+    if not several:
+        return replayed
+    rest = grouped.join(broadcast_checked(large), "group_key", "left_semi").drop("group_key", "pairs")
+    return replayed.unionByName(resolve_first_match(rest, near.join(
+        rest.select(F.col("tkey").alias("mine")).distinct(), "mine", "left_semi")))
+
+
+def _replayed_groups(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    records = rows.select("group_key", "pos", "row_key", F.col("tkey").alias("title"), "last", "year", "year_quality",
+                          "authors_quality", "source", "source_apis", "has_doi")
+    none = {c: F.lit(0) for c in ("year", "year_quality", "authors_quality")} | {"has_doi": F.lit(False)}
+    both = records.unionByName(pairs.select(
+        "group_key", F.col("mine").alias("title"), "theirs", *[v.alias(c) for c, v in none.items()]), allowMissingColumns=True)
+    order = [F.col("row_key").isNotNull(), "pos", "row_key"]
+    before = W.partitionBy("group_key").orderBy(*order)
+    tie = F.lag("row_key").over(before).isNotNull() & F.lag("pos").over(before).eqNullSafe(F.col("pos"))
+    ordered = (both.repartition("group_key").withColumn("tie", F.coalesce(tie, F.lit(False)))
+               .sortWithinPartitions("group_key", *order).drop("pos"))
+    return ordered.mapInPandas(_replay_groups, _REPLAYED)
+
+
 def deduplicate(papers: DataFrame, order: str = "ord", scope: Sequence[str] = (),
                 keep_doi: bool = False, empty_as_null: bool = False,
                 hot_bucket: int = HOT_BUCKET, bounded: bool = False) -> DataFrame:
@@ -436,7 +457,7 @@ def _clusters(light: DataFrame, scope: Sequence[str], hot_bucket: int) -> DataFr
     whole = both.unionByName(both.select("mine", F.col("mine").alias("theirs")))
     near = cut_lineage(whole.distinct())
     rows = light.join(near.select(F.col("mine").alias("tkey")).distinct(), "tkey", "left_semi").drop(*scope, "node", "title")
-    return resolve_first_match(rows, near)
+    return _in_groups(rows, near)
 
 
 def deduplicate_pairs(first: DataFrame, second: DataFrame, order: str = "ord", **options) -> DataFrame:
