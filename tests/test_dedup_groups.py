@@ -37,7 +37,7 @@ def test_groups_are_replayed(spark, monkeypatch):
     papers = frame(spark, rows)
     shape = lambda out: sorted((r.ord, r.merged_from, r.title, r.year, r.source) for r in out.collect())
     with monkeypatch.context() as m:
-        m.setattr(dedup, "GROUP_WORK", 10)
+        m.setattr(dedup, "GROUP_WORK", 100)
         assert shape(dedup.deduplicate(papers)) == in_order(rows)
     def refuse(*_):
         raise AssertionError("resolved in rounds")

@@ -209,6 +209,8 @@ def _priority(source: str | None) -> int:
 class _Cluster:
     """Matching columns of a merged record and the rank of its members."""
 
+    __slots__ = ("key", "title", "last", "quality", "year", "year_quality", "apis", "source", "members", "front", "back")
+
     def __init__(self, row):
         self.key, self.title, self.last, self.quality = row.row_key, row.title, row.last, row.authors_quality
         self.year, self.year_quality = row.year, row.year_quality
@@ -216,12 +218,13 @@ class _Cluster:
         self.members = [(row.row_key, 0)]
         self.front = self.back = 0
 
-    def agrees(self, row) -> bool:
+    def fits(self, row) -> bool:
         if row.year and self.year and abs(row.year - self.year) > 1:
             return False
-        if row.last and self.last and row.last != self.last:
-            return False
-        return indel_ratio(row.title, self.title) >= DUPLICATE_SIMILARITY
+        return not (row.last and self.last and row.last != self.last)
+
+    def agrees(self, row) -> bool:
+        return self.fits(row) and indel_ratio(row.title, self.title) >= DUPLICATE_SIMILARITY
 
     def absorb(self, row) -> None:
         leads = _priority(row.source) < _priority(self.source)
@@ -270,22 +273,42 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 # --- groups of connected titles ---------------------------------------------------
 
-#: Records of a group and look-ups among its titles up to which it is replayed in
-#: one go; what a task holds is in proportion to them.
-GROUP_WORK = 500_000
+#: A group is replayed in one go up to this many look-ups among its titles, a record
+#: counting as RECORD_WORK of them; what a task holds is in proportion to them.
+GROUP_WORK = 3_000_000
+RECORD_WORK = 8
+# Clusters of one title up to which they are looked through one by one.
+_FEW = 8
 
 
 class _Group:
-    """The clusters of one group, by what a record may look for."""
+    """The clusters of one group, by what a record may look for: the title, and for
+    titles of many clusters also the name and year."""
 
     def __init__(self):
         self.near: dict[str, list[str]] = {}
         self.clusters: list[_Cluster] = []
+        self.few: dict[str, list[int]] = {}
+        self.many: set[str] = set()
         self.places: dict[tuple, list[int]] = {}
         self.waiting: list[tuple] = []
 
-    def _keys(self, cluster: _Cluster) -> list[tuple]:
-        return [(cluster.title, last, year) for last in {cluster.last, _ANY} for year in {cluster.year, _ANY_YEAR}]
+    def _show(self, c: int) -> None:
+        """Cluster c can be found by its present state from now on."""
+        title, new = self.clusters[c].title, [c]
+        if title not in self.many:
+            held = self.few.setdefault(title, [])
+            if c not in held:
+                held.append(c)
+            if len(held) <= _FEW:
+                return
+            self.many.add(title)
+            new = [x for x in self.few.pop(title) if self.clusters[x].title == title]
+        for x in new:
+            cluster = self.clusters[x]
+            for last in {cluster.last, _ANY}:
+                for year in {cluster.year, _ANY_YEAR}:
+                    heappush(self.places.setdefault((title, last, year), []), x)
 
     def _first(self, key: tuple) -> int | None:
         """The first cluster that shows the key; entries of passed states go."""
@@ -297,10 +320,16 @@ class _Group:
             heappop(heap)
         return None
 
+    def _agreeing(self, row, title: str) -> Iterator[int | None]:
+        if title in self.many:
+            names = (_ANY,) if row.last == "" else (row.last, "")
+            years = (_ANY_YEAR,) if row.year == _UNKNOWN_YEAR else (row.year - 1, row.year, row.year + 1, _UNKNOWN_YEAR)
+            yield from (self._first((title, last, year)) for last in names for year in years)
+        else:
+            yield from (x for x in self.few.get(title, ()) if self.clusters[x].title == title and self.clusters[x].fits(row))
+
     def home(self, row) -> int | None:
-        names = (_ANY,) if row.last == "" else (row.last, "")
-        years = (_ANY_YEAR,) if row.year == _UNKNOWN_YEAR else (row.year - 1, row.year, row.year + 1, _UNKNOWN_YEAR)
-        found = (self._first((title, last, year)) for title in self.near.get(row.title, ()) for last in names for year in years)
+        found = (c for title in self.near.get(row.title, ()) for c in self._agreeing(row, title))
         return min((c for c in found if c is not None), default=None)
 
     def take(self, row) -> None:
@@ -314,14 +343,13 @@ class _Group:
             if home is None:
                 home = len(self.clusters)
                 self.clusters.append(_Cluster(row))
-                new = self._keys(self.clusters[home])
+                self._show(home)
             else:
                 cluster = self.clusters[home]
-                before = self._keys(cluster)
+                state = (cluster.title, cluster.last, cluster.year)
                 cluster.absorb(row)
-                new = [k for k in self._keys(cluster) if k not in before]
-            for key in new:
-                heappush(self.places.setdefault(key, []), home)
+                if state != (cluster.title, cluster.last, cluster.year):
+                    self._show(home)
         self.waiting = []
 
     def members(self) -> list[tuple]:
@@ -354,7 +382,7 @@ def _in_groups(rows: DataFrame, near: DataFrame) -> DataFrame:
         linked, F.col("mine") == F.col("node"), "left").select(
         F.col("mine").alias("tkey"), F.coalesce("component", "mine").alias("group_key"), "pairs")
     grouped = cut_lineage(rows.join(titles, "tkey"))
-    work = grouped.groupBy("group_key").agg(F.sum(F.when(F.col("has_doi"), 1).otherwise(F.col("pairs") + 1)).alias("work"))
+    work = grouped.groupBy("group_key").agg(F.sum(F.when(F.col("has_doi"), 0).otherwise(F.col("pairs")) + RECORD_WORK).alias("work"))
     large = cut_lineage(work.where(F.col("work") > GROUP_WORK).select("group_key"))
     several = large.limit(1).count() > 0
     looking = grouped.where("not has_doi").select("tkey", "group_key").distinct()
